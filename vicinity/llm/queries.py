@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vicinity.llm import idplanes, matroska, packing, simhash, tokencount
+from vicinity.llm import idplanes, matroska, mixing, packing, quality, rules, simhash, tokencount, urlfilter
 from vicinity.llm.common import documents
 from vicinity.llm.tokens import default_path
 
@@ -31,9 +32,45 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
 
+#: Fixed by the query: (verdict, rule).
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES, urlfilter.train(urlfilter.default_labelled()))
+
+
+def held_out(key: str = "doc_id") -> Column:
+    """Rows whose labels are never learned from."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return rules.judge(docs, rules.fit(docs, _labels(spark, sf_dir), only=~held_out()))
+
+
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_rank").alias("block_rank"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = quality.score(docs, quality.fit(docs, _labels(spark, sf_dir), only=~held_out()))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_matroska_media, op3_bit_plane_ids, op4_token_counts, op5_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_matroska_media, op3_bit_plane_ids, op4_token_counts, op5_best_fit_packing, op6_url_filter, op7_quality_rules, op8_temperature_mixing, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_url_filter": urlfilter.judge_sql(URL_RULES, urlfilter.train(urlfilter.default_labelled())),
+        "op8_temperature_mixing": mixing.mix_sql(),
+    }
