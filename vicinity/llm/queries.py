@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import idplanes, matroska, mixing, packing, quality, rules, simhash, tokencount, urlfilter
+from vicinity.llm import htmltext, idplanes, matroska, mixing, packing, quality, rules, simhash, tokencount, urlfilter
 from vicinity.llm.common import documents
 from vicinity.llm.tokens import default_path
 
@@ -65,8 +65,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_matroska_media, op3_bit_plane_ids, op4_token_counts, op5_best_fit_packing, op6_url_filter, op7_quality_rules, op8_temperature_mixing, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_matroska_media, op3_bit_plane_ids, op4_token_counts, op5_best_fit_packing, op6_url_filter, op7_quality_rules, op8_temperature_mixing, op9_quality_classifier, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
