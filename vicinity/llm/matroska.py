@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinity.llm.common import bounded_batches
+
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -303,6 +305,8 @@ def media_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """For each row: the sizes and digests of its payload, as read back from the stored form, and of
     the stored form itself, and a feature string from the packet table and the samples."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf(DIGEST)
     def digest(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_digest(x) for x in texts], columns=[x.split()[0] for x in DIGEST.split(", ")])

@@ -21,11 +21,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from vicinity.llm.common import fresh, save
+from vicinity.llm.common import bounded_batches, fresh, save
 from vicinity.llm.components import components, forest
 
 BITS_APART = 3
@@ -67,6 +67,8 @@ def fingerprint(text: str | None, words_each: int = 3) -> int:
 def fingerprint_column(text: str, words_each: int = 3):
     """A column with the fingerprint of the string column ``text``."""
 
+    bounded_batches(SparkSession.getActiveSession())
+
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(x, words_each) for x in texts], dtype="int64")

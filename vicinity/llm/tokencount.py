@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinity.llm.common import bounded_batches
+
 REMEMBERED = 600_000
 LONGEST = 64
 LIMIT = 512
@@ -146,6 +148,8 @@ TOGETHER = 1 << 20
 def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) of each row; repeated keys give a row each."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("n_bytes long, n_tokens long, over_limit boolean")
     def counts(texts: pd.Series) -> pd.DataFrame:
         count, values, out, group, held = counter(tokenizer), [x or "" for x in texts], [], [], 0
