@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import new_path, save
-from vicinity.llm.tokens import END_ID, encoder
+from vicinity.llm.common import bounded_batches, new_path, save
+from vicinity.llm.tokens import END_ID, encoder, in_groups
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
-LEVEL = 3
+LEVEL = 1
 
 
 def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -46,8 +46,8 @@ def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
     raw = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8).reshape(-1, 4)
     if mode == "byte":
         return [np.ascontiguousarray(raw[:, k]).tobytes() for k in range((top + 7) // 8)]
-    bits = np.unpackbits(raw[:, : (top + 7) // 8], axis=1, bitorder="little")
-    return [np.packbits(bits[:, k], bitorder="little").tobytes() for k in range(top)]
+    columns = [np.ascontiguousarray(raw[:, k]) for k in range((top + 7) // 8)]
+    return [np.packbits((columns[k // 8] >> (k % 8)) & 1, bitorder="little").tobytes() for k in range(top)]
 
 
 def from_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
@@ -55,11 +55,12 @@ def from_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
     if mode == "byte":
         for k, plane in enumerate(planes):
             raw[:, k] = np.frombuffer(plane, np.uint8)
-    elif planes:
-        bits = np.zeros((n, -(-len(planes) // 8) * 8), np.uint8)
-        for k, plane in enumerate(planes):
-            bits[:, k] = np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little")
-        raw[:, : bits.shape[1] // 8] = np.packbits(bits, axis=1, bitorder="little")
+    else:
+        for at in range(0, len(planes), 8):
+            column = np.zeros(n, np.uint8)
+            for k, plane in enumerate(planes[at : at + 8]):
+                column |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little") << k
+            raw[:, at // 8] = column
     return raw.view("<u4").reshape(n)
 
 
@@ -169,6 +170,7 @@ def _filesystem(uri: str):
 def write_id_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", mode: str = "bit", block: int = BLOCK, parts: int | None = None) -> DataFrame:
     """Writes the files; (shard, uri, documents, ids) for each of them, in key order by ``shard``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     uri = new_path(spark, "ids")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -178,7 +180,7 @@ def write_id_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        shard, ids_of = TaskContext.get().partitionId(), encoder(tokenizer).ids_bytes
+        shard, ids_of = TaskContext.get().partitionId(), encoder(tokenizer).ids_bytes_many
         end = np.array([END_ID], "<u4").tobytes()
         system, folder = _filesystem(uri)
         system.create_dir(folder, recursive=True)
@@ -187,8 +189,10 @@ def write_id_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
             writer = Writer(out, mode, block)
             batch = first
             while batch is not None:
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    writer.add(k, ids_of(t.as_py()) + end)
+                keys = iter(batch.column(0).to_pylist())
+                for group in in_groups(t.as_py() for t in batch.column(1)):
+                    for ids in ids_of(group):
+                        writer.add(next(keys), ids + end)
                 batch = next(batches, None)
             total = writer.close()
         system.move(own, name)

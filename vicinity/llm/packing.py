@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import fresh, save
-from vicinity.llm.tokens import END_ID, encoder
+from vicinity.llm.common import bounded_batches, fresh, save
+from vicinity.llm.tokens import END_ID, encoder, in_groups
 
 CAPACITY = 4096
 
@@ -141,13 +141,13 @@ def pack(pieces: DataFrame, length: str, order: list[str], capacity: int = CAPAC
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(key, piece, start, length, ids_crc32[, ids]): each row's ids with the end id, cut only where
     they are longer than ``capacity``.  ids: little-endian unsigned 32-bit integers."""
+    bounded_batches(docs.sparkSession)
     kind = "array<struct<piece:int,start:long,length:long,ids_crc32:long" + (",ids:binary>>" if with_ids else ">>")
 
     @F.pandas_udf(kind)
     def cut(texts: pd.Series) -> pd.Series:
-        encode, end, out = encoder(tokenizer).ids_bytes, np.array([END_ID], "<u4").tobytes(), []
-        for t in texts:
-            data = encode(t) + end
+        encode, end, out = encoder(tokenizer).ids_bytes_many, np.array([END_ID], "<u4").tobytes(), []
+        for data in (ids + end for group in in_groups(texts) for ids in encode(group)):
             parts = []
             for k, at in enumerate(range(0, len(data), 4 * capacity)):
                 ids = data[at : at + 4 * capacity]

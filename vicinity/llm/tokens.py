@@ -8,15 +8,23 @@ does not hold and then encodes whole texts.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 END_ID = 1
-#: Units whose ids are remembered in a process at most; then the memory starts anew.
-REMEMBERED = 600_000
+#: Units in the newer of two memories of a process at most; then it becomes the older, whose units are
+#: forgotten unless they are met again.
+REMEMBERED = 500_000
+#: Units that the library encodes in one call.
+AT_ONCE = 1_000
+#: A number sign: between other characters it is a pre-token, and a token, of its own.
+BETWEEN = "\u00bd"
 #: Longer units are encoded each time.
 LONGEST = 64
 
@@ -39,37 +47,124 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             self.splits = splits_at_space(json.load(f))
-        self.known: dict[bytes, bytes] = {}
+        self.lowers = self.splits and any(x == "Lowercase" for x in self.steps(json.loads(self.library.to_str())))
+        if self.splits:
+            from tokenizers import normalizers, pre_tokenizers
+
+            marks = self.library.encode(BETWEEN, add_special_tokens=False).ids
+            self.splits, self.mark = len(marks) == 1, marks[0]
+            self.ends = {c: self._raw(c.decode()) for c in (b".", b",")}
+            self.model = Tokenizer.from_file(path)
+            self.model.normalizer = normalizers.Sequence([])
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab = self.library.get_vocab(with_added_tokens=True)
+            self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def steps(config: dict) -> list[str]:
+        norm = config.get("normalizer") or {}
+        return [x.get("type") for x in norm.get("normalizers", [norm] if norm else [])]
 
     def _raw(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids_bytes(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
+    def _units(self, text: str) -> list[bytes]:
+        data = text.encode("utf-8", "surrogatepass")
+        if self.lowers and b"<" not in data:  # special strings are told apart by case
+            data = data.lower()  # bytes: ASCII letters only, which the normalizer lowers too
+        return data.split()  # bytes: ASCII white space only
+
+    def ids_bytes_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.splits:
-            return self._raw(text)
-        units = text.encode("utf-8", "surrogatepass").split()  # bytes: ASCII white space only
-        known = self.known
-        found = list(map(known.get, units))
-        if None in found:
-            new = list({u for u, x in zip(units, found, strict=True) if x is None})
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-            fresh = {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(new, self.library.encode_batch_fast([u.decode() for u in new], add_special_tokens=False), strict=True)}
-            found = [fresh[u] if x is None else x for u, x in zip(units, found, strict=True)]
-            known.update((u, x) for u, x in fresh.items() if len(u) <= LONGEST)
-        return b"".join(found)
+            return [self._raw(t) if t else b"" for t in texts]
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is in a cycle, and long lists take the collector long
+        try:
+            return self._remembered(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _remembered(self, texts: list[str | None]) -> list[bytes]:
+        rows = [self._units(t) if t else [] for t in texts]
+        if len(self.new) > REMEMBERED:  # units that are met again move on to the next memory
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        found = [list(map(new.get, units)) for units in rows]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        missing = {units[i] for units, spots in zip(rows, gaps, strict=True) for i in spots}
+        if old:
+            again = {u: old[u] for u in missing if u in old}
+            new.update(again)
+            missing.difference_update(again)
+        ends = {u for u in missing if u[-1:] in self.ends and u[-2:-1].isalpha()}  # an ASCII letter, then one mark
+        new.update(self._encode([u for u in (missing - ends).union(u[:-1] for u in ends) if u not in new]))
+        new.update((u, new[u[:-1]] + self.ends[u[-1:]]) for u in ends)
+        for units, ids, spots in zip(rows, found, gaps, strict=True):
+            for i in spots:
+                ids[i] = new[units[i]]
+        out = [b"".join(ids) for ids in found]
+        for u in missing:
+            if len(u) > LONGEST:
+                new.pop(u, None)
+        return out
+
+    def _encode(self, units: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """The ids of units, many in one call of the library.
+
+        Units of Latin-1 letters are a pre-token each, which the normalizer only lowers, so they go to
+        the library's model without either, and end where a token with the mark for a word's end is.
+        Other units go through all of it, with a number sign between them that is always a token of
+        its own.
+        """
+        words = [u for u in units if u.isalpha()]  # bytes: ASCII letters only
+        rest = []
+        for u in units:
+            if not u.isalpha():
+                s = u.decode("utf-8", "surrogatepass")
+                (words if s.isalpha() and max(s) <= "\u00ff" else rest).append(u)
+        for kind, library, between, cut in ((words, self.model, b" ", None), (rest, self.library, BETWEEN.encode(), self.mark)):
+            for at in range(0, len(kind), AT_ONCE):
+                part = kind[at : at + AT_ONCE]
+                text = between.join(part).decode("utf-8", "surrogatepass")
+                ids = np.array(library.encode_batch_fast([text.lower() if cut is None else text], add_special_tokens=False)[0].ids, "<u4")
+                stops = np.flatnonzero(self.ends_word[ids]) + 1 if cut is None else np.append(np.flatnonzero(ids == cut), len(ids))
+                if len(stops) != len(part):  # a unit has the number sign itself
+                    yield from ((u, self._raw(u.decode("utf-8", "surrogatepass"))) for u in part)
+                    continue
+                raw, start = ids.tobytes(), 0
+                for u, stop in zip(part, (4 * stops).tolist(), strict=True):
+                    yield u, raw[start:stop]
+                    start = stop + (0 if cut is None else 4)
+
+    def ids_bytes(self, text: str | None) -> bytes:
+        return self.ids_bytes_many([text])[0]
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.ids_bytes(text), "<u4")
 
 
+def in_groups(texts, characters: int = 1 << 20):
+    """Lists of neighbouring texts of about so many characters in all."""
+    group, held = [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t or "")
+        if held >= characters:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def splits_at_space(config: dict) -> bool:
     """Whether no token of this tokenizer, nor its normalizer, reaches over ASCII white space."""
     pre, norm = config.get("pre_tokenizer") or {}, config.get("normalizer") or {}
-    steps = [x.get("type") for x in norm.get("normalizers", [norm] if norm else [])]
+    steps = Encoder.steps(config)
     first = (pre.get("pretokenizers") or [pre])[0]
     return (
         set(steps) <= {"NFC", "Replace", "Lowercase"}
