@@ -219,13 +219,20 @@ PAGE = "struct<text:string,published:string,lat:double,lon:double,address:string
 
 
 def page_columns(c: Column) -> Column:
-    """A struct with all that a page gives, in one pass over the text."""
+    """A struct with all that a page gives, in one pass over the text; nulls for a null page."""
+    names = [f.split(":")[0] for f in PAGE[7:-1].split(",")]
 
-    def read(html: str) -> dict:
+    def read(html: str | None) -> tuple:
+        if html is None:
+            return (None,) * len(names)
         where = event_location(html) or {}
-        return {"text": article_body(html) or None, "published": published_text(html), "lat": where.get("lat"), "lon": where.get("lon"), "address": where.get("address"), "district": district(html)}
+        return article_body(html) or None, published_text(html), where.get("lat"), where.get("lon"), where.get("address"), district(html)
 
-    return _column(PAGE, read)(c)
+    @F.pandas_udf(PAGE)
+    def apply(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read(p) for p in pages], columns=names)
+
+    return apply(c)
 
 
 def article_link_column(url: Column, html: Column) -> Column:
