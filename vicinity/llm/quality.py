@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return pd.Series(list(table(texts)), dtype=object)
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("body")).join(F.broadcast(chosen), "k")  # at most ``most`` pairs of integers
-    sample = rows.select("y", (F.pmod(F.xxhash64(F.lit("calibrate"), "k"), F.lit(4)) == 0).alias("held"), measured("body").alias("x")).repartition(PARTS, F.hash("x")).cache()
+    sample = rows.select("y", (F.pmod(F.xxhash64(F.lit("calibrate"), "k"), F.lit(4)) == 0).alias("held"), measured("body").alias("x")).repartition(PARTS).cache()
     try:
         centre = sample.select(*[F.avg(F.get("x", i)).alias(f"m{i}") for i in range(WIDTH)], *[F.stddev_pop(F.get("x", i)).alias(f"s{i}") for i in range(WIDTH)]).first()
         if centre["m0"] is None:
@@ -140,12 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 z = model.waves(np.stack(batch["x"].to_list())) if len(batch) else np.zeros((0, FEATURES + 1))
                 gram += z.T @ z
                 right += z.T @ batch["y"].to_numpy(float)
-            yield pd.DataFrame({"gram": [gram.ravel()], "right": [right]})
+            yield pd.DataFrame({"gram": [gram.tobytes()], "right": [right.tobytes()]})
 
         gram, right = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
-        for g, r in sample.where(~F.col("held")).select("x", "y").mapInPandas(sums, "gram array<double>, right array<double>").collect():  # PARTS rows
-            gram += np.array(g).reshape(gram.shape)
-            right += np.array(r)
+        for g, r in sample.where(~F.col("held")).select("x", "y").coalesce(PARTS).mapInPandas(sums, "gram binary, right binary").collect():  # PARTS rows at most
+            gram += np.frombuffer(bytes(g)).reshape(gram.shape)
+            right += np.frombuffer(bytes(r))
         keep = np.eye(FEATURES + 1)
         keep[0, 0] = 0
         model.weights = np.linalg.lstsq(gram + RIDGE * max(1.0, gram[0, 0]) * keep, right, rcond=None)[0]
