@@ -35,7 +35,7 @@ def _let(value: str, name: str, body: str) -> str:
 
 def statistics(text: str) -> Column:
     """A struct with the base counts of the string column ``text`` and the features of the rules."""
-    blanks = "' \\t\\n\\u000b\\f\\r'"
+    blanks = "' \\t\\n\\u000b\\u000c\\r'"
     words = f"filter(split(t, '[{_SPACE}]+'), x -> x <> '')"
     lines = f"filter(split(t, '\\n'), x -> x rlike '[^{_SPACE}]')"
     hashes = "if(size(w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))"
