@@ -88,14 +88,10 @@ class Model:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(knots, levels) of the nondecreasing fit of y on x, by pooling adjacent violators."""
-    order = np.lexsort((y, x))
+    values, at = np.unique(x, return_inverse=True)
     pools: list[list[float]] = []  # sum of y, count, first x, last x
-    for a, b in zip(x[order], y[order], strict=True):
-        if pools and pools[-1][3] == a:
-            pools[-1][0] += b
-            pools[-1][1] += 1
-        else:
-            pools.append([b, 1, a, a])
+    for a, n, s in zip(values, np.bincount(at), np.bincount(at, weights=y), strict=True):
+        pools.append([s, n, a, a])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, _, z = pools.pop()
             pools[-1][0] += s
