@@ -79,18 +79,20 @@ def _hash(*parts: Column | str) -> Column:
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", repetition: float | None = REPETITION, entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: str = "mix") -> DataFrame:
     """``docs``, all columns, each row once for each time it is used, with ``mix_tokens``, ``mix_epoch``
-    (pass, from 0), ``mix_block`` and ``mix_rank`` (place of its block in that pass).  Give either
-    ``repetition`` or ``entropy``."""
+    (pass, from 0), ``mix_block`` and ``mix_rank`` (place of its block in that pass); where ``docs``
+    has one of these, the new one is underscored.  Give either ``repetition`` or ``entropy``.  An
+    empty table gives an empty one; empty texts have one token."""
     if entropy is None and repetition is None:
         raise ValueError("give a repetition limit or a target entropy")
-    tokens, name, ident, order = fresh(docs, "mix_tokens", "mix_source", "mix_key", "mix_order")
+    tokens, epoch, block, rank, name, ident, order, total, uses, use = fresh(docs, "mix_tokens", "mix_epoch", "mix_block", "mix_rank", "mix_source", "mix_key", "mix_order", "mix_blocks", "mix_uses", "mix_use")
+    own = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.withColumns({tokens: token_count(text), name: F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")), ident: F.coalesce(F.col(key).cast("string"), F.lit(""))})
     rows = rows.withColumn(order, _hash(seed, F.col(ident)))
     thin = save(rows.select(F.col(name).alias("name"), F.col(tokens).alias("tokens"), F.col(order).alias("hash")), "mix")
     sizes = save(thin.groupBy("name").agg(F.sum("tokens").alias("total")), "sizes")
     ends = sizes.agg(F.min("total").alias("least"), F.max("total").alias("most")).first()
     if ends["most"] is None:
-        return rows.drop(name, ident, order).withColumns({"mix_epoch": F.lit(0), "mix_block": F.lit(0).cast("long"), "mix_rank": F.lit(0)})
+        return rows.select(*own, tokens, F.lit(0).alias(epoch), F.lit(0).cast("long").alias(block), F.lit(0).alias(rank))
     exponent = entropy_exponent(sizes, "total", entropy) if entropy is not None else repetition_exponent(ends["least"], ends["most"], repetition)
     scale = ends["most"] ** (1 - exponent) if budget is None else budget / sizes.agg(F.sum(F.pow(F.col("total").cast("double"), F.lit(exponent)))).first()[0]
     passes = F.pow(F.col("total").cast("double"), F.lit(exponent - 1)) * F.lit(float(scale))
@@ -110,12 +112,12 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     part = part.join(last, ["name", "block"], "left")
     epochs = part.select("name", "block", "full", "extra", "last", F.explode(F.expr("filter(sequence(0, full), e -> e < full or extra <> 'none')")).alias("mix_epoch"))
     place = F.row_number().over(W.partitionBy("name", "mix_epoch").orderBy(_hash(seed, F.col("mix_epoch").cast("string"), F.col("name"), F.col("block").cast("string")), "block")) - 1
-    uses = epochs.withColumn("mix_rank", place).groupBy("name", "block").agg(F.sort_array(F.collect_list(F.struct("mix_epoch", "mix_rank", ((F.col("mix_epoch") == F.col("full")) & (F.col("extra") == "part")).alias("partly"), "last"))).alias("uses"))
-    uses = save(uses.join(plan.select("name", "blocks"), "name").select(F.col("name").alias(name), F.col("block").alias("mix_block"), "uses"), "uses")
-    counts = save(plan.select(F.col("name").alias(name), F.col("blocks").alias("mix_blocks")), "counts")
-    dealt = rows.join(counts, name).withColumn("mix_block", F.pmod(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), F.col("mix_blocks"))).join(uses, [name, "mix_block"])
-    used = dealt.withColumn("use", F.explode("uses")).where(~F.col("use.partly") | (F.col(order) <= F.col("use.last")))
-    return used.select(*docs.columns, F.col(tokens).alias("mix_tokens"), F.col("use.mix_epoch").alias("mix_epoch"), "mix_block", F.col("use.mix_rank").alias("mix_rank"))
+    taken = epochs.withColumn("mix_rank", place).groupBy("name", "block").agg(F.sort_array(F.collect_list(F.struct("mix_epoch", "mix_rank", ((F.col("mix_epoch") == F.col("full")) & (F.col("extra") == "part")).alias("partly"), "last"))).alias("uses"))
+    taken = save(taken.join(plan.select("name", "blocks"), "name").select(F.col("name").alias(name), F.col("block").alias(block), F.col("uses").alias(uses)), "uses")
+    counts = save(plan.select(F.col("name").alias(name), F.col("blocks").alias(total)), "counts")
+    dealt = rows.join(counts, name).withColumn(block, F.pmod(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), F.col(total))).join(taken, [name, block])
+    used = dealt.withColumn(use, F.explode(uses)).where(~F.col(f"{use}.partly") | (F.col(order) <= F.col(f"{use}.last")))
+    return used.select(*own, tokens, F.col(f"{use}.mix_epoch").alias(epoch), block, F.col(f"{use}.mix_rank").alias(rank))
 
 
 def mix_sql(repetition: float = REPETITION, block_tokens: int = BLOCK_TOKENS, seed: str = "mix", table: str = "documents") -> str:

@@ -105,16 +105,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, li
     return runs, opened
 
 
-def ranked(rows: DataFrame, length: str, *order: str) -> DataFrame:
+def ranked(rows: DataFrame, length: str, rank: str, *order: str) -> DataFrame:
     """``rows`` with ``rank``: numbers from 0 among the rows of equal ``length``, by hashed buckets."""
-    spark = rows.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy(length, "bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy(length).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select(length, "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy(length, "bucket").orderBy(*order)) - 1
-    return dealt.withColumn("own", own).join(sizes, [length, "bucket"]).withColumn("rank", F.col("before") + F.col("own")).drop("bucket", "own", "before")
+    bucket, own, before, n = fresh(rows, "bucket", "own", "before", "n")
+    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    sizes = dealt.groupBy(length, bucket).agg(F.count("*").alias(n))
+    earlier = F.sum(n).over(W.partitionBy(length).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(length, bucket, F.coalesce(earlier, F.lit(0)).alias(before))
+    place = F.row_number().over(W.partitionBy(length, bucket).orderBy(*order)) - 1
+    return dealt.withColumn(own, place).join(sizes, [length, bucket]).withColumn(rank, F.col(before) + F.col(own)).drop(bucket, own, before)
 
 
 def pack(pieces: DataFrame, length: str, order: list[str], capacity: int = CAPACITY) -> DataFrame:
@@ -135,7 +135,9 @@ def pack(pieces: DataFrame, length: str, order: list[str], capacity: int = CAPAC
             out[i] = first + (r - rank) // each, offset + (r - rank) % each * n
         return pd.DataFrame(out, columns=["sequence_id", "offset"])
 
-    return ranked(pieces, length, *order).withColumn("placed", place(F.col(length), F.col("rank"))).select(*pieces.columns, "placed.sequence_id", "placed.offset")
+    rank, placed = fresh(pieces, "rank", "placed")
+    done = ranked(pieces, length, rank, *order).withColumn(placed, place(F.col(length), F.col(rank)))
+    return done.select(*[F.col(f"`{c}`") for c in pieces.columns], f"{placed}.sequence_id", f"{placed}.offset")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
