@@ -249,3 +249,22 @@ def link_note(url: Column, link: Column, text_: Column, title: Column) -> Column
 
     rolling = text.is_rolling_url(url) | text.is_rolling_url(link)
     return F.when(rolling & ~text.text_matches_title(text_, title), "rolling source link may no longer show this item").when(rolling, "rolling source link")
+
+
+def xml_text(xml: str, tag: str) -> str | None:
+    """The text of the first element of a name that is not closed in itself; CDATA is unwrapped."""
+    for found in re.finditer(rf"<{re.escape(tag)}(?:\s[^>]*)?>", xml):
+        if found[0].endswith("/>"):
+            continue
+        end = xml.find(f"</{tag}>", found.end())
+        if end < 0:
+            return None
+        inside = xml[found.end() : end].strip()
+        cdata = re.fullmatch(r"<!\[CDATA\[(.*?)\]\]>", inside, re.S)
+        return (cdata[1].strip() if cdata else decode(inside).strip()) or None
+    return None
+
+
+def xml_attribute(xml: str, tag: str, name: str) -> str | None:
+    found = re.search(rf"<{re.escape(tag)}\s[^>]*>", xml)
+    return attribute(found[0], name) if found else None
