@@ -90,6 +90,13 @@ def test_unwanted_parts_stay_out():
     assert htmltext.extract(page, htmltext.votes(page)[0][0]) == text.strip() + "\n\nEnd."
 
 
+def test_layout_names_around_the_whole_page_do_no_harm():
+    story = "Sentence of the story. " * 20
+    for wrap in ("<div class='page with-sidebar'>%s</div>", "<div class='has-menu'><div id='header-large'>%s</div></div>"):
+        page = _page(wrap % f"<div class='sidebar'><p>Side</p></div><div class='content'><p>{story}</p></div><div class='comments'><p>{'Reader. ' * 200}</p></div>")
+        assert htmltext.extract(page, htmltext.votes(page)[0][0]) == story.strip()
+
+
 def test_hosts_agree_on_a_path(spark):
     story = lambda k: f"<div class='main c{k}'><div class='post p{k}'><p>{'Long story words. ' * 30}</p></div><div class='box'><p>{'side words ' * 3}</p></div></div>"
     odd = "<div class='main c1'><div class='post p1'><p>short</p></div><div class='box'><p>" + "much longer box text " * 40 + "</p></div></div>"

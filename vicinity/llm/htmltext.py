@@ -46,6 +46,9 @@ _NAMES = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall comment comments respond reply replies disqus discussion share sharing social related recommended recommendations "
     "pagination pager toolbar search form tags taglist skip".split()
 )
+#: Names that layouts also use around the whole page ("with-sidebar"): they count against parts only.
+_LAYOUT = frozenset("sidebar aside rail header masthead topbar footer nav navbar navigation menu menubar banner widget widgets form search toolbar notice notices alert related tags promo share sharing social".split())
+_WHOLE = 0.6
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 _LIKELY = frozenset("article content main post entry story body text".split())
 _WORDS = re.compile(r"[a-z]+")
@@ -58,6 +61,7 @@ class Node:
     name: str = ""
     path: str = ""
     dropped: bool = False
+    layout: bool = False
     children: list = field(default_factory=list)  # nodes and strings
 
 
@@ -65,15 +69,17 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if text.strip(" /\n\t\r") else {}
 
 
-def _unwanted(tag: str, attrs: dict[str, str]) -> bool:
+def _unwanted(tag: str, attrs: dict[str, str]) -> tuple[bool, bool]:
+    """(left out, only for names that layouts use too)."""
     if tag in _DROPPED:
-        return True
+        return True, False
     if not attrs or tag in ("html", "body", "article", "main"):
-        return bool(attrs) and attrs.get("role", "") in _ROLES
+        return bool(attrs) and attrs.get("role", "") in _ROLES, False
     if attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+        return True, False
     words = [w for k in ("class", "id") if k in attrs for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs[k]).lower())]
-    return any(w in _NAMES for w in words)
+    named = {w for w in words if w in _NAMES}
+    return bool(named), bool(named) and named <= _LAYOUT
 
 
 def parse(page: str) -> Node:
@@ -118,7 +124,7 @@ def parse(page: str) -> Node:
                     break
         parent = stack[-1]
         first = re.sub(r"\d+", "#", (attrs.get("class", "").split() or [""])[0])
-        node = Node(tag, first, f"{parent.path}/{tag}" + (f".{first}" if first else ""), _unwanted(tag, attrs))
+        node = Node(tag, first, f"{parent.path}/{tag}" + (f".{first}" if first else ""), *_unwanted(tag, attrs))
         parent.children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -127,9 +133,28 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
         elif tag not in _VOID and not found["attrs"].rstrip().endswith("/"):
             stack.append(node)
+    _spare(root)
     return root
 
 
+def _spare(root: Node) -> None:
+    """Takes back elements left out for a layout's name that hold most of the page or its article."""
+    order, suspects = [root], False
+    for x in order:  # grows meanwhile: parents come before their children
+        order += [c for c in x.children if not isinstance(c, str) and (c.layout or not c.dropped)]
+        suspects = suspects or x.layout
+    if not suspects:
+        return
+    held, whole = {}, {}
+    for x in reversed(order):
+        below = [c for c in x.children if not isinstance(c, str) and c in held]
+        held[x] = sum(len(c.strip()) for c in x.children if isinstance(c, str)) + sum(held[c] for c in below)
+        whole[x] = x.tag in ("article", "main") or any(whole[c] for c in below)
+    for x in order:
+        if x.layout and (whole[x] or held[x] >= _WHOLE * max(1, held[root])):
+            x.dropped = False
+
+
 def blocks(node: Node) -> list[str]:
     """The texts of the blocks below a node, in order, without what never counts."""
     out: list[str] = []
