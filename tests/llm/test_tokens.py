@@ -163,3 +163,17 @@ def test_packing_keeps_clashing_columns(spark):
     assert got.columns == [*rows.columns, "sequence_id", "offset"] and got.count() == 50
     with pytest.raises(ValueError, match="lengths"):
         packing.pack(rows, "length", ["id"], 5)
+
+
+def test_idle_memories_are_let_go(monkeypatch):
+    import time
+
+    from vicinity.llm.tokens import Forgetful
+
+    monkeypatch.setattr(Forgetful, "IDLE_SECONDS", 0.2)
+    for own, held in ((Encoder(WORDS), lambda o: o.new), (tokencount.Counter(BYTES), lambda o: o.known)):
+        call = own.ids_bytes_many if isinstance(own, Encoder) else own.count_many
+        first = call(["some words here"])
+        assert held(own)
+        time.sleep(0.8)
+        assert not held(own) and list(call(["some words here"])) == list(first)

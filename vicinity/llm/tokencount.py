@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.llm.common import bounded_batches
+from vicinity.llm.tokens import Forgetful
 
 REMEMBERED = 600_000
 LONGEST = 64
@@ -43,8 +44,9 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in printable else next(spare)) for b in range(256)]
 
 
-class Counter:
+class Counter(Forgetful):
     def __init__(self, path: str) -> None:
+        super().__init__()
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         pre = config["pre_tokenizer"]
@@ -111,8 +113,20 @@ class Counter:
             return self.find(text)
         return [parts[0], *(" " + p for p in parts[1:])]
 
+    def forget(self) -> None:
+        self.known = {}
+
     def count_many(self, texts: list[str | None]) -> np.ndarray:
         """Tokens of each text."""
+        self.busy = True
+        try:
+            self.used()
+            return self._count_many(texts)
+        finally:
+            self.used()
+            self.busy = False
+
+    def _count_many(self, texts: list[str | None]) -> np.ndarray:
         rows, total = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             pieces = [text or ""]

@@ -8,9 +8,13 @@ does not hold and then encodes whole texts.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import json
 import os
+import threading
+import time
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,10 +39,47 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
+class Forgetful:
+    """Remembers things for a busy process, and lets go of them once it has been idle for a while: a
+    worker that waits for other work does not hold memory that the next stage may need."""
+
+    IDLE_SECONDS = 2.0
+
+    def __init__(self) -> None:
+        self.last, self.watched, self.holds = time.monotonic(), False, False
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def used(self) -> None:
+        """Says that a call begins or ends here."""
+        self.last, self.holds = time.monotonic(), True
+        if not self.watched:
+            self.watched = True
+            threading.Thread(target=self._watch, daemon=True).start()
+
+    def _watch(self) -> None:
+        while True:
+            time.sleep(self.IDLE_SECONDS / 2)
+            if self.holds and not self.busy and time.monotonic() - self.last > self.IDLE_SECONDS:
+                self.holds = False
+                self.forget()  # a call that begins meanwhile goes on with the tables it has
+                trim()
+
+    busy = False
+
+
+def trim() -> None:
+    """Gives free memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+class Encoder(Forgetful):
     """``ids(text)``: the ids of a whole text, an array of unsigned 32-bit integers."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -81,14 +122,20 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.splits:
             return [self._raw(t) if t else b"" for t in texts]
-        collects = gc.isenabled()
+        collects, self.busy = gc.isenabled(), True
         gc.disable()  # nothing here is in a cycle, and long lists take the collector long
         try:
+            self.used()
             return self._remembered(texts)
         finally:
+            self.used()
+            self.busy = False
             if collects:
                 gc.enable()
 
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
     def _remembered(self, texts: list[str | None]) -> list[bytes]:
         rows = [self._units(t) if t else [] for t in texts]
         if len(self.new) > REMEMBERED:  # units that are met again move on to the next memory
