@@ -177,3 +177,9 @@ def test_idle_memories_are_let_go(monkeypatch):
         assert held(own)
         time.sleep(0.8)
         assert not held(own) and list(call(["some words here"])) == list(first)
+
+
+@pytest.mark.parametrize("uri", ["{}", "file:{}", "file://{}"])
+def test_folders_are_found_in_any_writing(tmp_path, uri):
+    system, path = idplanes._filesystem(uri.format(tmp_path))
+    assert path == str(tmp_path) and system.type_name == "local"
