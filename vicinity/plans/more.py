@@ -156,7 +156,7 @@ def social_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.social_posts(pages).select("guid", "title", "link", "published_at")
 
 
-@query(f"WITH t AS (SELECT doc_id, trim(regexp_replace({TITLE_SQL}, '\\s+', ' ', 'g')) AS title FROM documents) SELECT 'g' || doc_id AS guid, title, 'https://x.test/' || doc_id AS link, 1704067200 + doc_id AS published_at, CASE WHEN doc_id % 2 = 0 THEN 52.5 END AS lat FROM t WHERE title <> ''")
+@query(f"WITH t AS (SELECT doc_id, trim(regexp_replace({TITLE_SQL}, '\\s+', ' ', 'g')) AS title FROM documents) SELECT 'g' || doc_id AS guid, title, 'https://x.test/' || doc_id AS link, 1704067200 + doc_id AS published_at, CASE WHEN doc_id % 2 = 0 THEN 52.5::DOUBLE END AS lat FROM t WHERE title <> ''")
 def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as feeds of fifty entries, parsed and normalised."""
     rows = items(spark, sf_dir)
