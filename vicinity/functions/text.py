@@ -8,6 +8,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def term_pattern(term: str, place: bool = False) -> str:
     a letter counts only before the second half of a name that still means the place.
     """
     t = normalize_text(term)
-    pattern = rf"(?<!{ALNUM})\Q{t}\E"
+    pattern = rf"\Q{t}\E(?<!{ALNUM}\Q{t}\E)"  # the literal comes first: it is searched for as such
     if len(t) < 5 or t[-1:] in "0123456789":
         pattern += rf"(?!{ALNUM})"
     if place:
@@ -105,7 +107,7 @@ def mentions_any(prominent: Column, rest: Column, terms: list[str], place: bool
 def contains_term(text: Column, term: str) -> Column:
     """Whether the normalised text has the term with a word's boundary on both sides."""
     t = normalize_text(term)
-    return text.rlike(rf"(?<!{ALNUM})\Q{t}\E(?!{ALNUM})") if t else F.lit(False)
+    return text.rlike(rf"\Q{t}\E(?<!{ALNUM}\Q{t}\E)(?!{ALNUM})") if t else F.lit(False)
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:
@@ -215,8 +217,9 @@ def concise_sentences(c: Column, most: int) -> Column:
 
 def relevant_article_text(c: Column) -> Column:
     """The text up to the first of the closing markers as whole words; null is empty."""
-    marks = "|".join(rf"\Q{m}\E" for m in ARTICLE_END_MARKERS)
-    return F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?isU)(?<!{ALNUM})(?:{marks})(?!{ALNUM}).*\z", "")
+    marks, whole = "|".join(rf"\Q{m}\E" for m in ARTICLE_END_MARKERS), F.coalesce(c, F.lit(""))
+    low = F.lower(whole)
+    return F.when(~contains_any(low, ARTICLE_END_MARKERS), whole).otherwise(F.regexp_replace(whole, rf"(?isU)(?<!{ALNUM})(?:{marks})(?!{ALNUM}).*\z", ""))
 
 
 def short_location(c: Column) -> Column:
@@ -265,21 +268,22 @@ def plain_text(c: Column, decode=None) -> Column:
     return squeeze(stripped if decode is None else decode(stripped))
 
 
-def fnv1a_64(text: Column) -> Column:
-    """FNV-1a over the UTF-8 bytes, 16 hex digits.  Unsigned products run over 64 bits, so the hash is
-    carried as two 32-bit halves in longs."""
-    low_prime, high_prime = 0x1B3, 0x100
+def fnv1a_64(c: Column) -> Column:
+    """FNV-1a over the UTF-8 bytes, 16 hex digits.  Products wrap at 64 bits, which columns of longs
+    refuse to do, so all rows of an Arrow batch take a byte at a time in an unsigned array."""
 
-    def step(h: Column, byte: Column) -> Column:
-        low = h["low"].bitwiseXOR(byte)
-        product = low * low_prime
-        high = h["high"] * low_prime + low * high_prime + F.shiftright(product, 32)
-        return F.struct(high.bitwiseAND(0xFFFFFFFF).alias("high"), product.bitwiseAND(0xFFFFFFFF).alias("low"))
+    @F.pandas_udf("string")
+    def digest(values: pd.Series) -> pd.Series:
+        data = [(v or "").encode() for v in values]
+        left = np.array([len(d) for d in data], np.int64)
+        hashes = np.full(len(data), 0xCBF29CE484222325, np.uint64)
+        flat, starts = np.frombuffer(b"".join(data), np.uint8), np.cumsum(left) - left
+        for i in range(int(left.max(initial=0))):
+            on = np.flatnonzero(left > i)
+            hashes[on] = (hashes[on] ^ flat[starts[on] + i]) * np.uint64(0x100000001B3)
+        return pd.Series([None if v is None else f"{h:016x}" for v, h in zip(values, hashes.tolist(), strict=True)], dtype=object)
 
-    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
-    data = F.hex(F.encode(text, "utf-8"))
-    bytes_ = F.when(F.length(data) == 0, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(data), F.lit(2)), lambda i: F.conv(F.substr(data, i, F.lit(2)), 16, 10).cast("long")))
-    return F.aggregate(bytes_, start, step, lambda h: F.lower(F.concat(F.lpad(F.hex(h["high"]), 8, "0"), F.lpad(F.hex(h["low"]), 8, "0"))))
+    return digest(c)
 
 
 def sql_escape(value: str) -> str:
