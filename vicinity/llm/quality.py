@@ -74,6 +74,7 @@ class Model:
     weights: np.ndarray
     knots: np.ndarray
     levels: np.ndarray
+    learned: bool = True  # False: there was no labelled row, and scores say nothing
 
     def waves(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.centre) / self.scale, -8, 8)
@@ -110,7 +111,7 @@ def _start(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED, only: Column | None = None) -> Model:
     """A model from rows with a label of 0 or 1.  ``only``: a condition on the labels' ``key`` that all
-    rows used in any way meet.  Without any such row every score is 0.5."""
+    rows used in any way meet.  Without any such row every score is 0.5, and ``keep`` keeps all."""
     bounded_batches(docs.sparkSession)
     own = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
     own = (own if only is None else own.where(only)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     try:
         centre = sample.select(*[F.avg(F.get("x", i)).alias(f"m{i}") for i in range(WIDTH)], *[F.stddev_pop(F.get("x", i)).alias(f"s{i}") for i in range(WIDTH)]).first()
         if centre["m0"] is None:
-            return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(2), np.array([0.0]), np.array([0.5]))
+            return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(2), np.array([0.0]), np.array([0.5]), learned=False)
         _, _, turn, phase = _start(np.zeros((0, WIDTH)))
         scale = np.array([centre[f"s{i}"] for i in range(WIDTH)])
         model = Model(np.array([centre[f"m{i}"] for i in range(WIDTH)]), np.where(scale > 1e-9, scale, 1.0), turn, phase, np.zeros(FEATURES + 1), np.zeros(1), np.zeros(1))
@@ -171,7 +172,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows scored at the threshold or above, all columns."""
+    """The rows scored at the threshold or above, all columns; every row if nothing was learned."""
+    if not model.learned:
+        return docs
     bounded_batches(docs.sparkSession)
     mark, = fresh(docs, "score")
     return docs.withColumn(mark, score_column(text, model)).where(F.col(mark) >= threshold).drop(mark)
