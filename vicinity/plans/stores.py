@@ -43,7 +43,9 @@ _OUTCOMES = "WITH o AS (SELECT 'user ' || user_id AS source_name, CASE event_typ
 
 @query(_OUTCOMES + ", u AS (SELECT DISTINCT 'user ' || i AS source_name FROM range(0, 200) t(i)) SELECT source_name, count(outcome) AS total, count(*) FILTER (outcome = 'queued') AS queued, count(*) FILTER (outcome = 'candidate') AS candidate, count(*) FILTER (outcome = 'dropped') AS dropped, count(*) FILTER (outcome = 'retry') AS retry_later FROM u LEFT JOIN o USING (source_name) GROUP BY source_name")
 def outcome_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.outcome_counts(outcomes(spark, sf_dir), spark.range(200).select(F.concat(F.lit("user "), F.col("id").cast("string")).alias("source_name")))
+    """All users of the events, and the first 200 numbers, which may have no items."""
+    users = spark.range(200).union(spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null").select("user_id"))
+    return routing.outcome_counts(outcomes(spark, sf_dir), users.select(F.concat(F.lit("user "), F.col("id").cast("string")).alias("source_name")))
 
 
 @query(_OUTCOMES + " SELECT outcome, reason, count(*) AS n FROM o GROUP BY ALL")
