@@ -2,10 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from vicinity.plans import stores
+from vicinity.operators import enrich, routing
+from vicinity.plans import more, stores
 
 
 def test_outcomes_of_all_sources_are_counted(spark, tmp_path):
     spark.range(900).select(F.col("id").alias("event_id"), (F.col("id") % 450).alias("user_id"), F.lit("click").alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
     got = {r["source_name"]: r["total"] for r in stores.outcome_counts_by_source(spark, str(tmp_path)).collect()}
     assert got == {f"user {i}": 2 for i in range(450)}
+
+
+def test_the_round_asks_for_every_page(spark, sf_dir, monkeypatch):
+    seen, read = [], enrich.with_pages
+    monkeypatch.setattr(enrich, "with_pages", lambda items, pages, *a: seen.append(items) or read(items, pages, *a))
+    got = {r["guid"] for r in more.poll_round(spark, sf_dir).select("guid").collect()}
+    asked = seen[0].where(routing.needs_article(F.col("filter"), F.col("base_implied_meters"), F.col("article_text"), F.col("link"))).select("link").distinct()
+    pages = {f"p{r['page_id']}" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id").collect()}
+    assert pages and pages <= {r["link"] for r in asked.collect()} and pages <= got

@@ -187,9 +187,12 @@ _ROUND = FilterConfig(area=plan_items.CONFIG.area, places=plan_items.CONFIG.plac
 
 @query()
 def poll_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole round over documents: sources, pages, all evidence, outcome."""
+    """A round over documents and an item for each page: sources, pages, evidence but geocoded, outcome."""
     n = F.col("doc_id")
     docs = items(spark, sf_dir).select(n.cast("string").alias("guid"), "title", F.when(n % 5 == 0, F.concat(F.lit("p"), (n % 300).cast("string"))).alias("link"), F.lit(None).cast("string").alias("description"), F.when(n % 5 != 0, F.col("text")).alias("article_text"), "source_name", (F.lit(NOW) - n * 420).alias("published_at"), F.when(n % 9 == 0, F.lit(52.52)).alias("lat"), F.when(n % 9 == 0, F.lit(13.47)).alias("lon"), F.lit(None).cast("string").alias("district"))
+    n = F.col("page_id")
+    linked = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), n.cast("string")).alias("guid"), F.col("url").alias("title"), F.concat(F.lit("p"), n.cast("string")).alias("link"), F.lit("pages").alias("source_name"), (F.lit(NOW) - n * 420).alias("published_at"))
+    docs = docs.unionByName(linked, allowMissingColumns=True)
     names = docs.select(F.col("source_name").alias("name")).distinct().select("name", F.lit(96).cast("bigint").alias("max_age_hours"), (F.col("name") != "src3").alias("filter"), F.when(F.col("name") == "src4", F.lit(900.0)).alias("base_implied_meters"), F.lit(None).cast("array<string>").alias("required"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("url"), "html")
     none = lambda schema: spark.createDataFrame([], schema)
