@@ -36,7 +36,7 @@ def test_other_tokenizers_encode_whole_texts():
 def test_memory_turns_over(monkeypatch):
     from vicinity.llm import tokens
 
-    monkeypatch.setattr(tokens, "REMEMBERED", 20)
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 20 * (tokens.OVERHEAD + 8))
     own, library = Encoder(WORDS), Tokenizer.from_file(WORDS)
     for k in range(12):
         text = " ".join(f"w{k * 7 % 50 + i}" for i in range(15))
@@ -93,7 +93,7 @@ def test_files_round_trip(mode, top):
 
 def test_id_files_have_all_documents_in_key_order(spark):
     docs, own = _docs(spark), Encoder(WORDS)
-    files = idplanes.write_id_files(docs, WORDS, parts=4, block=4096)
+    files = idplanes.write_id_files(docs, WORDS, parts=4, block=4096, ids_a_file=2000)
     got = idplanes.read_id_files(files).orderBy("start").collect()
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     assert [r["doc_id"] for r in got] == [r["doc_id"] for r in rows]
@@ -165,18 +165,39 @@ def test_packing_keeps_clashing_columns(spark):
         packing.pack(rows, "length", ["id"], 5)
 
 
-def test_idle_memories_are_let_go(monkeypatch):
-    import time
-
-    from vicinity.llm.tokens import Forgetful
+def test_memories_are_bounded_in_bytes(monkeypatch):
+    from vicinity.llm import tokens
 
-    monkeypatch.setattr(Forgetful, "IDLE_SECONDS", 0.2)
-    for own, held in ((Encoder(WORDS), lambda o: o.new), (tokencount.Counter(BYTES), lambda o: o.known)):
-        call = own.ids_bytes_many if isinstance(own, Encoder) else own.count_many
-        first = call(["some words here"])
-        assert held(own)
-        time.sleep(0.8)
-        assert not held(own) and list(call(["some words here"])) == list(first)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghij", k=rng.choice([3, 9, 100]))) + rng.choice(["", ".", ",", "\u00e9!", "9"]) + " " + " ".join(f"w{rng.randint(0, 400)}" for _ in range(6)) for _ in range(600)]
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 30_000)
+    monkeypatch.setattr(tokencount, "REMEMBERED_BYTES", 30_000)
+    ids, count, words, plain = Encoder(WORDS), tokencount.Counter(BYTES), Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
+    for at in range(0, 600, 30):
+        part = texts[at : at + 30]
+        assert [len(x) // 4 for x in ids.ids_bytes_many(part)] == [len(words.encode(t, add_special_tokens=False).ids) for t in part]
+        assert count.count_many(part).tolist() == [len(plain.encode(t, add_special_tokens=False).ids) for t in part]
+        for own, each, over in ((ids, 1, tokens.OVERHEAD), (count, 2, tokencount.OVERHEAD)):
+            assert max(map(len, own.new), default=0) <= 64
+            held = sum(over + each * len(k) + (len(v) if each == 1 else 0) for k, v in own.new.items() if k)
+            assert own.held == held < 60_000 and len(own.old) * over < 60_000
+
+
+def test_files_hold_a_bounded_number_of_ids(spark):
+    docs = _docs(spark)
+    files = idplanes.write_id_files(docs, WORDS, parts=2, ids_a_file=500).collect()
+    longest = 200_000
+    assert len(files) > 4 and all(r["ids"] < 500 + longest for r in files)
+    assert sum(r["documents"] for r in files) == docs.count()
+    with pytest.raises(ValueError, match="whole numbers"):
+        idplanes.write_id_files(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), WORDS)
+
+
+def test_equal_rows_are_spread_over_files(spark):
+    docs = spark.createDataFrame([(7, "the same text again")] * 200, "doc_id long, text string").repartition(4)
+    files = idplanes.write_id_files(docs, WORDS, parts=4, ids_a_file=100)
+    got = idplanes.read_id_files(files).orderBy("start").collect()
+    assert [r["start"] for r in got] == [5 * i for i in range(200)] and files.count() >= 8
 
 
 @pytest.mark.parametrize("uri", ["{}", "file:{}", "file://{}"])

@@ -55,13 +55,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Rows that go to a Python worker at once, at most: texts may be long, and both sides hold a batch.
-BATCH_ROWS = 512
+def own_names(key: str, *made: str) -> None:
+    """Refuses a key column that has the name of a column that is made."""
+    if key.lower() in made:
+        raise ValueError(f"the key column is named {key}, as a column that is made: rename it first")
+
+
+#: Rows and bytes that go to a Python worker at once, at most: texts may be long, and both sides hold a batch.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows if they are larger."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` if they are larger.
+    Plans are made when they run, so the session keeps these settings."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)

@@ -10,19 +10,23 @@ and the magic.  The index starts with the counts of chunks and documents and the
 each chunk its place, ids, planes and the planes' lengths, then documents' keys, whether they have
 one, and lengths.
 
-:func:`write_id_files` encodes documents and writes one file for each range of keys into the shared
-folder, in ascending key order; a task writes under a name of its own and renames the file when it is
-whole, so a repeated task does no harm.  :func:`read_id_files` reads the files back.
+:func:`write_id_files` encodes each document once, into a table of its ids at two bytes each (four where
+an id needs them), deals that table by ranges of the key, and writes files of a bounded number of ids
+into the shared folder, in ascending key order.  So texts are never shuffled, and a file's index, which
+a reader holds, does not grow with the input.  A task writes under a name of its own and renames the
+file when it is whole, so a repeated task does no harm.  :func:`read_id_files` reads the files back.
 
 Nulls count as empty texts (the end id alone); rows without a key come first; rows with equal keys
-follow the hash of their text.  An empty table gives no files.
+follow the hash of their text, and equal rows their place in the table.  An empty table gives no files.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from vicinity.llm.common import bounded_batches, new_path, save
 from vicinity.llm.tokens import END_ID, encoder, in_groups
@@ -38,6 +43,8 @@ from vicinity.llm.tokens import END_ID, encoder, in_groups
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 LEVEL = 1
+#: Ids of a file: about 12 MB on disk.  More for larger inputs, if fewer files are wanted.
+IDS_A_FILE = 1 << 23
 
 
 def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -74,12 +81,13 @@ class Writer:
         self.pack = zstandard.ZstdCompressor(level=LEVEL)
         self.waiting, self.held, self.at = [], 0, len(MAGIC)
         self.chunks: list[bytes] = []
-        self.keys: list[int | None] = []
-        self.lengths: list[int] = []
+        self.keys, self.has, self.lengths, self.total = array("q"), bytearray(), array("I"), 0
         out.write(MAGIC)
 
     def add(self, key: int | None, ids: bytes) -> None:
-        self.keys.append(key)
+        self.keys.append(key or 0)
+        self.has.append(key is not None)
+        self.total += len(ids) // 4
         self.lengths.append(len(ids) // 4)
         self.waiting.append(ids)
         self.held += len(ids)
@@ -101,9 +109,9 @@ class Writer:
         while self.held:
             self._flush()
         head = struct.pack("<IQIB", len(self.chunks), len(self.keys), self.block, self.mode == "byte")
-        index = self.pack.compress(b"".join([head, *self.chunks, np.array([k or 0 for k in self.keys], "<i8").tobytes(), np.array([k is not None for k in self.keys], np.uint8).tobytes(), np.array(self.lengths, "<u4").tobytes()]))
+        index = self.pack.compress(b"".join([head, *self.chunks, np.array(self.keys, "<i8").tobytes(), bytes(self.has), np.array(self.lengths, "<u4").tobytes()]))
         self.out.write(index + struct.pack("<QQ", self.at, len(index)) + MAGIC)
-        return sum(self.lengths)
+        return self.total
 
 
 class Reader:
@@ -127,8 +135,7 @@ class Reader:
             place, n, planes = struct.unpack_from("<QIB", index, at)
             self.chunks.append((place, n, struct.unpack_from(f"<{planes}I", index, at + 13)))
             at += 13 + 4 * planes
-        has = np.frombuffer(index, np.uint8, documents, at + 8 * documents)
-        self.keys = [k if h else None for k, h in zip(np.frombuffer(index, "<i8", documents, at).tolist(), has, strict=True)]
+        self.keys = np.ma.masked_array(np.frombuffer(index, "<i8", documents, at), np.frombuffer(index, np.uint8, documents, at + 8 * documents) == 0)
         self.lengths = np.frombuffer(index, "<u4", documents, at + 9 * documents).astype(np.int64)
 
     def chunk(self, i: int) -> np.ndarray:
@@ -151,7 +158,7 @@ class Reader:
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(key, ids) of each document in order; memory: one chunk and one document."""
         held, i = np.empty(0, "<u4"), 0
-        for key, n in zip(self.keys, self.lengths.tolist(), strict=True):
+        for key, n in zip(self.keys.tolist(), self.lengths.tolist(), strict=True):
             parts, have = [held], len(held)
             while have < n:
                 parts.append(self.chunk(i))
@@ -167,48 +174,79 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_id_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", mode: str = "bit", block: int = BLOCK, parts: int | None = None) -> DataFrame:
-    """Writes the files; (shard, uri, documents, ids) for each of them, in key order by ``shard``."""
+def _coded(docs: DataFrame, tokenizer: str, key: str, text: str) -> DataFrame:
+    """(id, turn, n, ids): each row's ids with the end id, ``n`` of them, at two or four bytes each."""
+    end = np.array([END_ID], "<u4").tobytes()
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = encoder(tokenizer).ids_bytes_many
+        for batch in batches:
+            counts, packed = [], []
+            for group in in_groups(t.as_py() for t in batch.column(2)):
+                for ids in ids_of(group):
+                    wide = np.frombuffer(ids + end, "<u4")
+                    counts.append(len(wide))
+                    packed.append((wide if int(wide.max()) >> 16 else wide.astype("<u2")).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["id", "turn", "n", "ids"])
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("turn"), F.col(text).alias("body"))
+    return rows.mapInArrow(code, "id long, turn long, n long, ids binary")
+
+
+def write_id_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", mode: str = "bit", block: int = BLOCK, parts: int | None = None, ids_a_file: int = IDS_A_FILE) -> DataFrame:
+    """Writes the files; (shard, part, uri, documents, ids) for each of them, in key order by ``shard``
+    and ``part``.  A file takes no further document once it has ``ids_a_file`` ids.  The key is a column
+    of whole numbers; other columns are not read."""
     spark = docs.sparkSession
+    if not isinstance(docs.select(key).schema[0].dataType, IntegralType):
+        raise ValueError("the key is a column of whole numbers")
     bounded_batches(spark)
     uri = new_path(spark, "ids")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coded = save(_coded(docs, tokenizer, key, text), "coded")
+    ids = coded.agg(F.sum("n")).first()[0] or 0
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(ids / ids_a_file))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        shard, ids_of = TaskContext.get().partitionId(), encoder(tokenizer).ids_bytes_many
-        end = np.array([END_ID], "<u4").tobytes()
-        system, folder = _filesystem(uri)
-        system.create_dir(folder, recursive=True)
-        name, own = f"{folder}/part-{shard:06d}.idp", f"{folder}/.part-{shard:06d}-{uuid.uuid4().hex}"
-        with system.open_output_stream(own) as out:
-            writer = Writer(out, mode, block)
-            batch = first
-            while batch is not None:
-                keys = iter(batch.column(0).to_pylist())
-                for group in in_groups(t.as_py() for t in batch.column(1)):
-                    for ids in ids_of(group):
-                        writer.add(next(keys), ids + end)
-                batch = next(batches, None)
+        system = writer = out = None
+        shard, part, done = TaskContext.get().partitionId(), 0, []
+
+        def finish() -> None:
             total = writer.close()
-        system.move(own, name)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{uri}/part-{shard:06d}.idp"]), pa.array([len(writer.keys)], pa.int64()), pa.array([total], pa.int64())], ["shard", "uri", "documents", "ids"])
+            out.close()
+            system.move(own, f"{folder}/{name}")
+            done.append((shard, part, f"{uri}/{name}", len(writer.keys), total))
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
-    order = [F.col("id").asc_nulls_first(), F.xxhash64("body")]
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return save(dealt.mapInArrow(write, "shard int, uri string, documents long, ids long"), "id-files")
+        for batch in batches:
+            for x, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if writer is None:
+                    if system is None:
+                        system, folder = _filesystem(uri)
+                        system.create_dir(folder, recursive=True)
+                    name = f"part-{shard:06d}-{part:06d}.idp"
+                    own = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                    out = system.open_output_stream(own)
+                    writer = Writer(out, mode, block)
+                writer.add(x, data if len(data) == 4 * n else np.frombuffer(data, "<u2").astype("<u4").tobytes())
+                if writer.total >= ids_a_file:
+                    finish()
+                    writer, part = None, part + 1
+        if writer is not None:
+            finish()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["shard", "part", "uri", "documents", "ids"])
+
+    order = [F.col("id").asc_nulls_first(), F.col("turn"), F.col("uid")]
+    dealt = coded.withColumn("uid", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return save(dealt.select("id", "n", "ids").mapInArrow(write, "shard int, part int, uri string, documents long, ids long"), "id-files")
 
 
 def read_id_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files themselves; ``start``
     counts the ids of all documents before it."""
-    before = F.sum("ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))  # one row a file
-    placed = files.select("shard", "uri", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
+    before = F.sum("ids").over(W.orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1))  # one row a file
+    placed = files.select("shard", "part", "uri", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +258,7 @@ def read_id_files(files: DataFrame) -> DataFrame:
                     sums = np.fromiter((zlib.crc32(ids.tobytes()) for _, ids in reader.documents()), np.int64, len(reader.keys))
                     for i in range(0, len(starts), 1 << 15):
                         at = slice(i, i + (1 << 15))
-                        yield pa.RecordBatch.from_arrays([pa.array(reader.keys[at], pa.int64()), pa.array(starts[at]), pa.array(reader.lengths[at]), pa.array(sums[at])], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(reader.keys.data[at], mask=reader.keys.mask[at]), pa.array(starts[at]), pa.array(reader.lengths[at]), pa.array(sums[at])], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(parts, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(parts, "shard", "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

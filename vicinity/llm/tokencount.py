@@ -18,14 +18,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import bounded_batches
-from vicinity.llm.tokens import Forgetful
+from vicinity.llm.common import bounded_batches, own_names
+from vicinity.llm.tokens import byte_symbols
 
-REMEMBERED = 600_000
+#: Bytes that the newer of two memories of a process may take, about; then it becomes the older, whose
+#: units are forgotten unless they are met again.  A process holds twice this at most.
+REMEMBERED_BYTES = 32 << 20
+#: Bytes that a remembered unit takes beside its characters, at two bytes each.
+OVERHEAD = 110
 LONGEST = 64
 LIMIT = 512
 #: Symbols merged at once at most, beyond one pre-token.
@@ -36,17 +42,8 @@ _NONE = np.int64(1 << 40)
 AMID = re.compile(r"\s \s").search
 
 
-def byte_symbols() -> list[str]:
-    """The character that stands for each byte in a byte-level vocabulary: printable bytes for
-    themselves, the others from code point 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in printable else next(spare)) for b in range(256)]
-
-
-class Counter(Forgetful):
+class Counter:
     def __init__(self, path: str) -> None:
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         pre = config["pre_tokenizer"]
@@ -60,10 +57,14 @@ class Counter(Forgetful):
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in config["added_tokens"]):
+            raise ValueError("added tokens that take white space or stand as whole words only are not supported")
         specials = [regex.escape(t["content"]) for t in config["added_tokens"]]
         self.special = regex.compile("|".join(specials)) if specials else None
         self.find = regex.compile(PRE_TOKENS).findall
-        self.known: dict[str, int] = {}
+        self.new: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.held = 0
 
     def merge(self, words: list[bytes]) -> np.ndarray:
         """How many symbols are left of each (non-empty) pre-token."""
@@ -107,46 +108,56 @@ class Counter(Forgetful):
             owner = owner[live]
         return out
 
-    def _units(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if "" in parts or AMID(text):  # several spaces in a row, one at an end, or one amid other white space
-            return self.find(text)
-        return [parts[0], *(" " + p for p in parts[1:])]
-
-    def forget(self) -> None:
-        self.known = {}
-
     def count_many(self, texts: list[str | None]) -> np.ndarray:
-        """Tokens of each text."""
-        self.busy = True
-        try:
-            self.used()
-            return self._count_many(texts)
-        finally:
-            self.used()
-            self.busy = False
-
-    def _count_many(self, texts: list[str | None]) -> np.ndarray:
-        rows, total = [], np.zeros(len(texts), np.int64)
+        """Tokens of each text.  Texts with single spaces only between pre-tokens are split there in
+        Arrow, and each distinct part is looked up once; other texts go through the pattern whole."""
+        total, plain, owner = np.zeros(len(texts), np.int64), [], []
         for i, text in enumerate(texts):
             pieces = [text or ""]
             if self.special and self.special.search(pieces[0]):
                 total[i] = len(self.special.findall(pieces[0]))
                 pieces = self.special.split(pieces[0])
-            rows.append([u for p in pieces if p for u in self._units(p)])
-        known = self.known
-        new = list({u for units in rows for u in units if u not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({u for units in rows for u in units})
-        found = [self.find(u) for u in new]
+            for piece in filter(None, pieces):
+                if "  " in piece or piece[0] == " " or piece[-1] == " " or AMID(piece):
+                    units = self.find(piece)
+                    distinct = list(dict.fromkeys(units))
+                    size = dict(zip(distinct, self._lookup(distinct), strict=True))
+                    total[i] += sum(map(size.__getitem__, units))
+                else:
+                    plain.append(piece)
+                    owner.append(i)
+        if plain:
+            split = pc.split_pattern(pa.array([x.encode("utf-8", "surrogatepass") for x in plain], pa.binary()).view(pa.string()), " ")
+            coded, cuts = split.values.dictionary_encode(), split.offsets.to_numpy()
+            parts = [x.decode("utf-8", "surrogatepass") for x in coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)]
+            each = np.array(self._lookup([" " + x for x in parts]), np.int64)[coded.indices.to_numpy()]
+            first = [parts[k] for k in coded.indices.to_numpy()[cuts[:-1]].tolist()]  # no space before these
+            size = dict(zip(distinct := list(dict.fromkeys(first)), self._lookup(distinct), strict=True))
+            each[cuts[:-1]] = [size[x] for x in first]
+            np.add.at(total, owner, np.add.reduceat(each, cuts[:-1]))
+        return total
+
+    def _lookup(self, units: list[str]) -> list[int]:
+        """The tokens of distinct units."""
+        if self.held > REMEMBERED_BYTES:  # units that are met again move on to the next memory
+            self.old, self.new, self.held = self.new, {}, 0
+        new, old = self.new, self.old
+        missing = [u for u in units if u not in new]
+        self._keep({u: old[u] for u in missing if u in old})
+        missing = [u for u in missing if u not in new]
+        found = [self.find(u) for u in missing]
         flat = list({w for words in found for w in words})
         size = dict(zip(flat, self.merge([w.encode("utf-8", "surrogatepass") for w in flat]).tolist(), strict=True))
-        fresh = {u: sum(map(size.__getitem__, words)) for u, words in zip(new, found, strict=True)}
-        for i, units in enumerate(rows):
-            total[i] += sum(known[u] if u in known else fresh[u] for u in units)
-        known.update((u, n) for u, n in fresh.items() if len(u) <= LONGEST)
-        return total
+        self._keep({u: sum(map(size.__getitem__, words)) for u, words in zip(missing, found, strict=True)})
+        out = list(map(new.__getitem__, units))
+        for u in [u for u in missing if len(u) > LONGEST]:
+            del new[u]
+            self.held -= OVERHEAD + 2 * len(u)
+        return out
+
+    def _keep(self, counts: dict[str, int]) -> None:
+        self.new.update(counts)
+        self.held += OVERHEAD * len(counts) + 2 * sum(map(len, counts))
 
 
 @lru_cache(maxsize=2)
@@ -160,7 +171,10 @@ TOGETHER = 1 << 20
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """(key, n_bytes, n_tokens, over_limit) of each row; repeated keys give a row each."""
+    """(key, n_bytes, n_tokens, over_limit) of each row.  Repeated rows and keys give a row each, null
+    keys stay null, null and empty texts have no tokens, an empty table gives an empty one.  Other
+    columns are not read; a ``key`` with the name of a new column is an error."""
+    own_names(key, "n_bytes", "n_tokens", "over_limit")
 
     bounded_batches(docs.sparkSession)
 

@@ -8,27 +8,30 @@ does not hold and then encodes whole texts.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import json
 import os
-import threading
-import time
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
-#: Units in the newer of two memories of a process at most; then it becomes the older, whose units are
-#: forgotten unless they are met again.
-REMEMBERED = 500_000
+#: Bytes that the newer of two memories of a process may take, about; then it becomes the older, whose
+#: units are forgotten unless they are met again.  A process holds twice this at most.
+REMEMBERED_BYTES = 48 << 20
+#: Bytes that a remembered unit takes beside its own and those of its ids: two objects, its place in the
+#: table and what the table has in reserve.
+OVERHEAD = 140
 #: Units that the library encodes in one call.
-AT_ONCE = 1_000
+AT_ONCE = 10_000
 #: A number sign: between other characters it is a pre-token, and a token, of its own.
 BETWEEN = "\u00bd"
+#: Marks that are a pre-token, and tokens, of their own behind a letter.
+ENDS = b".,;:!?"
 #: Longer units are encoded each time.
 LONGEST = 64
 
@@ -39,47 +42,18 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Forgetful:
-    """Remembers things for a busy process, and lets go of them once it has been idle for a while: a
-    worker that waits for other work does not hold memory that the next stage may need."""
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes for
+    themselves, the others from code point 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in printable else next(spare)) for b in range(256)]
 
-    IDLE_SECONDS = 2.0
 
-    def __init__(self) -> None:
-        self.last, self.watched, self.holds = time.monotonic(), False, False
-
-    def forget(self) -> None:
-        raise NotImplementedError
-
-    def used(self) -> None:
-        """Says that a call begins or ends here."""
-        self.last, self.holds = time.monotonic(), True
-        if not self.watched:
-            self.watched = True
-            threading.Thread(target=self._watch, daemon=True).start()
-
-    def _watch(self) -> None:
-        while True:
-            time.sleep(self.IDLE_SECONDS / 2)
-            if self.holds and not self.busy and time.monotonic() - self.last > self.IDLE_SECONDS:
-                self.holds = False
-                self.forget()  # a call that begins meanwhile goes on with the tables it has
-                trim()
-
-    busy = False
-
-
-def trim() -> None:
-    """Gives free memory back to the system, where the C library can."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
-class Encoder(Forgetful):
+class Encoder:
     """``ids(text)``: the ids of a whole text, an array of unsigned 32-bit integers."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -94,15 +68,17 @@ class Encoder(Forgetful):
 
             marks = self.library.encode(BETWEEN, add_special_tokens=False).ids
             self.splits, self.mark = len(marks) == 1, marks[0]
-            self.ends = {c: self._raw(c.decode()) for c in (b".", b",")}
+            self.ends = {bytes([c]): self._raw(chr(c)) for c in ENDS}
             self.model = Tokenizer.from_file(path)
             self.model.normalizer = normalizers.Sequence([])
-            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.symbols = dict(enumerate(byte_symbols())) | {ord(" "): " "}
             vocab = self.library.get_vocab(with_added_tokens=True)
             self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
             self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.new: dict[bytes, bytes] = {}
+        self.new: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def steps(config: dict) -> list[str]:
@@ -112,81 +88,99 @@ class Encoder(Forgetful):
     def _raw(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _units(self, text: str) -> list[bytes]:
-        data = text.encode("utf-8", "surrogatepass")
+    def _plain(self, text: str | None) -> bytes:
+        data = (text or "").encode("utf-8", "surrogatepass")
         if self.lowers and b"<" not in data:  # special strings are told apart by case
             data = data.lower()  # bytes: ASCII letters only, which the normalizer lowers too
-        return data.split()  # bytes: ASCII white space only
+        return data
 
     def ids_bytes_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.splits:
             return [self._raw(t) if t else b"" for t in texts]
-        collects, self.busy = gc.isenabled(), True
+        collects = gc.isenabled()
         gc.disable()  # nothing here is in a cycle, and long lists take the collector long
         try:
-            self.used()
             return self._remembered(texts)
         finally:
-            self.used()
-            self.busy = False
             if collects:
                 gc.enable()
 
-    def forget(self) -> None:
-        self.new, self.old = {}, {}
+    def _keep(self, ids: dict[bytes, bytes]) -> None:
+        self.new.update(ids)
+        self.held += OVERHEAD * len(ids) + sum(map(len, ids)) + sum(map(len, ids.values()))
 
     def _remembered(self, texts: list[str | None]) -> list[bytes]:
-        rows = [self._units(t) if t else [] for t in texts]
-        if len(self.new) > REMEMBERED:  # units that are met again move on to the next memory
-            self.old, self.new = self.new, {}
+        """Splits the texts into units, looks each distinct one up once, and puts the ids together."""
+        if not texts:
+            return []
+        split = pc.ascii_split_whitespace(pa.array(map(self._plain, texts), pa.binary()).view(pa.string()))
+        coded, cuts = split.values.dictionary_encode(), split.offsets.to_numpy()
+        found = self._lookup(coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, data = coded.indices.to_numpy(), np.frombuffer(b"".join(found), "<u4")
+        each = lengths[at]
+        ends = np.append(0, np.cumsum(each))
+        out = data[np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        stops = (4 * ends[cuts]).tolist()
+        return [out[x:y] for x, y in zip(stops[:-1], stops[1:], strict=True)]
+
+    def _lookup(self, units: list[bytes]) -> list[bytes]:
+        """The ids of distinct units."""
+        if self.held > REMEMBERED_BYTES:  # units that are met again move on to the next memory
+            self.old, self.new, self.held = self.new, {b"": b""}, 0
         new, old = self.new, self.old
-        found = [list(map(new.get, units)) for units in rows]
-        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
-        missing = {units[i] for units, spots in zip(rows, gaps, strict=True) for i in spots}
+        missing = [u for u in units if u not in new]
         if old:
-            again = {u: old[u] for u in missing if u in old}
-            new.update(again)
-            missing.difference_update(again)
-        ends = {u for u in missing if u[-1:] in self.ends and u[-2:-1].isalpha()}  # an ASCII letter, then one mark
-        new.update(self._encode([u for u in (missing - ends).union(u[:-1] for u in ends) if u not in new]))
-        new.update((u, new[u[:-1]] + self.ends[u[-1:]]) for u in ends)
-        for units, ids, spots in zip(rows, found, gaps, strict=True):
-            for i in spots:
-                ids[i] = new[units[i]]
-        out = [b"".join(ids) for ids in found]
-        for u in missing:
-            if len(u) > LONGEST:
-                new.pop(u, None)
-        return out
-
-    def _encode(self, units: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """The ids of units, many in one call of the library.
-
-        Units of Latin-1 letters are a pre-token each, which the normalizer only lowers, so they go to
-        the library's model without either, and end where a token with the mark for a word's end is.
-        Other units go through all of it, with a number sign between them that is always a token of
-        its own.
-        """
-        words = [u for u in units if u.isalpha()]  # bytes: ASCII letters only
-        rest = []
+            self._keep({u: old[u] for u in missing if u in old})
+            missing = [u for u in missing if u not in new]
+        words, ended, rest = self._kinds(missing)
+        words = [w for w in {*words, *(u[:-1] for u in ended)} if w not in new]
+        self._keep(dict(self._encode_words(words)))
+        self._keep({u: new[u[:-1]] + self.ends[u[-1:]] for u in ended})
+        self._keep(dict(self._encode_rest(rest)))
+        found = list(map(new.__getitem__, units))
+        for u in [u for u in {*missing, *words} if len(u) > LONGEST]:
+            self.held -= OVERHEAD + len(u) + len(new.pop(u))
+        return found
+
+    def _kinds(self, units: list[bytes]) -> tuple[list[bytes], list[bytes], list[bytes]]:
+        """Units of Latin-1 letters only, such units with one mark behind, and all others."""
+        words, ended, rest = [], [], []
         for u in units:
-            if not u.isalpha():
-                s = u.decode("utf-8", "surrogatepass")
-                (words if s.isalpha() and max(s) <= "\u00ff" else rest).append(u)
-        for kind, library, between, cut in ((words, self.model, b" ", None), (rest, self.library, BETWEEN.encode(), self.mark)):
-            for at in range(0, len(kind), AT_ONCE):
-                part = kind[at : at + AT_ONCE]
-                text = between.join(part).decode("utf-8", "surrogatepass")
-                ids = np.array(library.encode_batch_fast([text.lower() if cut is None else text], add_special_tokens=False)[0].ids, "<u4")
-                stops = np.flatnonzero(self.ends_word[ids]) + 1 if cut is None else np.append(np.flatnonzero(ids == cut), len(ids))
-                if len(stops) != len(part):  # a unit has the number sign itself
-                    yield from ((u, self._raw(u.decode("utf-8", "surrogatepass"))) for u in part)
-                    continue
-                raw, start = ids.tobytes(), 0
-                for u, stop in zip(part, (4 * stops).tolist(), strict=True):
-                    yield u, raw[start:stop]
-                    start = stop + (0 if cut is None else 4)
+            kind, body = (ended, u[:-1]) if u[-1] in ENDS else (words, u)
+            if not body.isalpha():  # bytes: ASCII letters only
+                s = body.decode("utf-8", "surrogatepass")
+                if not s.isalpha() or max(s) > "\u00ff":
+                    kind = rest
+            kind.append(u)
+        return words, ended, rest
+
+    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """The ids of units of Latin-1 letters, many in one call.  Each is a pre-token, which the
+        normalizer only lowers, so they go to the library's model without either, and end where a
+        token with the mark for a word's end is."""
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at : at + AT_ONCE]
+            text = b" ".join(part).decode("utf-8").lower() if self.lowers else b" ".join(part).decode("utf-8")
+            ids = np.array(self.model.encode_batch_fast([text.encode("utf-8").decode("latin-1").translate(self.symbols)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            yield from self._cut(part, ids, stops - np.diff(stops, prepend=0), stops)
+
+    def _encode_rest(self, units: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """The ids of other units, through all of the library, with a number sign between them that is
+        always a token of its own."""
+        for at in range(0, len(units), AT_ONCE):
+            part = units[at : at + AT_ONCE]
+            ids = np.array(self.library.encode_batch_fast([BETWEEN.encode().join(part).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
+            marks = np.flatnonzero(ids == self.mark)
+            yield from self._cut(part, ids, np.append(0, marks + 1), np.append(marks, len(ids)))
+
+    def _cut(self, units: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        if len(stops) != len(units):  # as where a unit has the number sign itself
+            return ((u, self._raw(u.decode("utf-8", "surrogatepass"))) for u in units)
+        raw = ids.tobytes()
+        return zip(units, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * stops).tolist(), strict=True)], strict=True)
 
     def ids_bytes(self, text: str | None) -> bytes:
         return self.ids_bytes_many([text])[0]
@@ -195,7 +189,7 @@ class Encoder(Forgetful):
         return np.frombuffer(self.ids_bytes(text), "<u4")
 
 
-def in_groups(texts, characters: int = 1 << 20):
+def in_groups(texts, characters: int = 1 << 21):
     """Lists of neighbouring texts of about so many characters in all."""
     group, held = [], 0
     for t in texts:
