@@ -73,7 +73,8 @@ def _page(body, head="<title>T</title><style>p{}</style><script>var a='</p>';</s
 
 def test_blocks_and_references():
     page = _page("<div class='ad'>Buy <b>now</b></div><article><h1>A &amp; B</h1><p>One\n two<br>three<p>Four <b>five&nbsp;six.</p><ul><li>l1<li>l2</ul><script>x</script><form><input>f</form></article>")
-    assert htmltext.extract(page, "/html/body/article") == "A & B\n\nOne two three\n\nFour five six.\n\nl1\n\nl2"
+    path = next(p for p, *_ in htmltext.votes(page) if p.startswith("html/body/article#"))
+    assert htmltext.extract(page, path) == htmltext.extract(page, None) == "A & B\n\nOne two three\n\nFour five six.\n\nl1\n\nl2"
 
 
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<!--", "</div></p>", "plain &lt;text&gt;", "<div><div><div>", "<table><tr><td>a<td>b<tr><td>c</table>", "<p>" * 3000 + "x", "<div>" * 3000 + "deep"])
@@ -83,6 +84,52 @@ def test_any_markup_gives_a_text(page):
         assert htmltext.extract(page, None) == "plain <text>"
 
 
+@pytest.mark.parametrize(("page", "text"), [('<p class="x>Hello</p>', "Hello"), ("<p title=it's>Hello</p>", "Hello"), ('<p class="x>Gone</p><p class="y">Hello</p>', "Hello"), ("a < b <c", "a < b"), ("</>x</ >y", "xy"), ("<div\n class=a id='b'/>t", "t"), ('<x"y>z', "z"), ("<a <b>c", "c"), ("<p a = 'b' c>t", "t"), ("<!-->a<!-- -->b", "ab"), ("<?x?>a<![CDATA[<b>]]>", "a<b>"), ("1 &lt; 2 < 3", "1 < 2 < 3")])
+def test_odd_markup_is_read_as_browsers_do(page, text):
+    assert htmltext.extract(page, None) == text
+
+
+HOSTILE = {
+    "nested": lambda n: "<div>" * n + "x", "quotes": lambda n: '<a href="' * n, "single": lambda n: "<a href='x" * n, "signs": lambda n: "<" * n, "cdata": lambda n: "<![CDATA[" * n, "comments": lambda n: "<!--" * n,
+    "ends": lambda n: "<b><article>" + "<div>" * n + "</b>" * n, "paragraphs": lambda n: "<p>" * n, "items": lambda n: "<ul>" * n + "<li>x" * n, "attributes": lambda n: "<a " + 'x="y" ' * n + "x", "equals": lambda n: "<a " + "=" * n, "raw": lambda n: "<script>" * n, "cells": lambda n: "<table>" * n + "<td>x" * n, "amps": lambda n: "&" * n, "classes": lambda n: "<div class='" + "a" * n + "'>x", "steps": lambda n: "<div>" * (n // 2) + "<span>x</span>" * n,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_time_grows_with_the_length_of_a_page(kind):
+    import time
+
+    def took(n):
+        start = time.process_time()
+        page = HOSTILE[kind](n)
+        for path, *_ in htmltext.votes(page)[:1] or [("#", 0, 0)]:
+            htmltext.extract(page, path)
+        return time.process_time() - start
+
+    took(100)
+    small, large = min(took(5_000) for _ in range(2)), took(40_000)
+    assert large < 30 * small + 0.5  # eight times the page; quadratic: 64 times
+
+
+def test_all_containers_of_a_page_vote():
+    page = "<body>" + "".join(f"<div class='k{chr(97 + i)}'><p>{'word ' * (40 - i)}</p></div>" for i in range(20))
+    got = htmltext.votes(page)
+    assert len(got) == 21 and [w for *_, w in got] == sorted((w for *_, w in got), reverse=True) and got[-1][2] == 1
+
+
+def test_large_tables_are_looked_up_by_split_keys(spark, monkeypatch):
+    from vicinity.llm import common
+
+    rows = spark.createDataFrame([(i, f"h{i % 7}" if i % 3 else "hot", f"t{i}") for i in range(600)] + [(-1, None, None)], "part long, host string, text string")
+    table = common.save(spark.createDataFrame([("hot", 200, "p"), ("h1", 60, "q"), ("h2", 60, None), ("none", 1, "r")], "host string, n long, path string"), "table")
+    small = common.look_up(rows, table, "host", "n", ["part", "text"])
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1)
+    large = common.look_up(rows, table, "host", "n", ["part", "text"])
+    assert "Broadcast" in small._jdf.queryExecution().toString() and small.columns == large.columns
+    key = lambda r: str(tuple(r))
+    assert sorted(small.collect(), key=key) == sorted(large.collect(), key=key) and large.count() == 601
+
+
 def test_unwanted_parts_stay_out():
     text = "Sentence of the story. " * 20
     parts = ["<div class='cookie-notice'>C</div>", "<aside>S</aside>", "<div id='comments'><p>R</p></div>", "<section class='related'>L</section>", "<div role='search'>Q</div>", "<div class='share-buttons'>H</div>", "<div style='display: none'>N</div>", "<header>T</header>"]
@@ -103,7 +150,7 @@ def test_hosts_agree_on_a_path(spark):
     rows = [(i, "http://H.test/a", _page(story(1))) for i in range(5)] + [(7, "https://h.test/b", _page(odd)), (8, None, _page(story(2))), (9, "http://h.test/x", None), (10, "http://other.test/", "<p>only this</p>"), (None, "http://h.test/", ""), (0, "http://h.test/a", _page(story(1)))]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, path string")
     paths = {r["host"]: r["path"] for r in htmltext.host_paths(pages).collect()}
-    assert paths["h.test"].endswith("/div.main/div.post")
+    assert "/div.main/div.post#" in paths["h.test"]
     got = htmltext.main_texts(pages)
     texts = {r["page_id"]: r["text"] for r in got.collect()}
     assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == len(rows)

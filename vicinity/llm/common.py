@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,15 +32,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: later steps neither recompute it
     nor depend on blocks of an executor that may be lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes what was written below these paths of the shared folder, which no later step reads."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard_saved(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`save` has made and no later step reads."""
+    for table in tables:
+        discard(table.sparkSession, *{f.rpartition("/")[0] for f in table.inputFiles()})
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -55,6 +69,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bytes of keys and values that a table may have to be broadcast.
+BROADCAST_BYTES = 16 << 20
+#: A key with more than this part of all rows is dealt over several tasks; there can be no more such keys.
+HOT = 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str, salt: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table`` (a saved table with one row a ``key``), null where it has
+    none.  ``weight``: a column of ``table`` with the number, or another measure, of the key's rows.
+
+    A table of at most ``BROADCAST_BYTES``, measured, is broadcast.  A larger one is joined by key, and
+    keys with over 1/HOT of the weight, of which there are fewer than ``HOT``, are dealt over tasks in
+    proportion to it, by a hash of the ``salt`` columns of ``rows``.  Both ways give the same rows."""
+    others = [F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in table.columns]
+    size, total = table.agg(F.sum(sum(others, F.lit(64))), F.sum(weight)).first()
+    if (size or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), key, "left")
+    part, ways, mark = fresh(rows.join(table.limit(0), key), "part", "ways", "mark")
+    hot = table.where(F.col(weight) * HOT > total).groupBy(F.xxhash64(key).alias(mark)).agg(F.max(F.ceil(F.col(weight) * HOT / total)).cast("int").alias(ways))
+    split = lambda df: df.withColumn(mark, F.xxhash64(key)).join(F.broadcast(hot), mark, "left").drop(mark)  # noqa: E731  fewer than HOT pairs of integers
+    left = split(rows).withColumn(part, F.pmod(F.xxhash64(*salt), F.coalesce(ways, F.lit(1)))).drop(ways)
+    right = split(table).withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(ways, F.lit(1)).cast("long") - 1))).drop(ways)
+    return left.join(right, [key, part], "left").drop(part)
+
+
 def own_names(key: str, *made: str) -> None:
     """Refuses a key column that has the name of a column that is made."""
     if key.lower() in made:

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from vicinity.llm.common import bounded_batches, new_path, save
+from vicinity.llm.common import bounded_batches, discard_saved, new_path, save
 from vicinity.llm.tokens import END_ID, encoder, in_groups
 
 MAGIC = b"IDPLANE1"
@@ -202,7 +202,7 @@ def write_id_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
         raise ValueError("the key is a column of whole numbers")
     bounded_batches(spark)
     uri = new_path(spark, "ids")
-    coded = save(_coded(docs, tokenizer, key, text), "coded")
+    coded = save(_coded(docs, tokenizer, key, text), "coded", "zstd")
     ids = coded.agg(F.sum("n")).first()[0] or 0
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(ids / ids_a_file))
 
@@ -239,7 +239,9 @@ def write_id_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
 
     order = [F.col("id").asc_nulls_first(), F.col("turn"), F.col("uid")]
     dealt = coded.withColumn("uid", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return save(dealt.select("id", "n", "ids").mapInArrow(write, "shard int, part int, uri string, documents long, ids long"), "id-files")
+    files = save(dealt.select("id", "n", "ids").mapInArrow(write, "shard int, part int, uri string, documents long, ids long"), "id-files")
+    discard_saved(coded)
+    return files
 
 
 def read_id_files(files: DataFrame) -> DataFrame:
