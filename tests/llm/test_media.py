@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinity.llm import matroska as m
+from vicinity.llm.common import save
 
 
 @pytest.mark.parametrize("lacing", [m.NO_LACING, m.XIPH, m.FIXED, m.EBML_LACING])
@@ -21,8 +22,14 @@ def test_samples_round_trip(lacing, frames):
     for p in found["packets"]:
         times.setdefault(p[1], p[4])
     for (time, track, at), (cluster, first) in zip(found["cues"], sorted(times.items()), strict=True):
-        key, body, _ = m.vint(data, at, True)
-        assert (key, track, time) == (m.CLUSTER, 1, first) and m.vint(data, body, False)[1] == found["clusters"][cluster]
+        key, _, _ = m.vint(data, at, True)
+        assert (key, track, time) == (m.CLUSTER, 1, first) and (at, time) == found["clusters"][cluster]
+    assert m.payload(data, found) == payload
+    with pytest.raises(ValueError, match="leads to no cluster"):
+        m.payload(data, found | {"cues": [(time, track, at + 1)]})
+    if len(found["cues"]) > 1:
+        with pytest.raises(ValueError, match="leave out"):
+            m.payload(data, found | {"cues": found["cues"][1:]})
 
 
 def test_other_writers_files():
@@ -51,14 +58,21 @@ def test_variable_length_numbers():
 def test_query_and_packet_table(spark):
     texts = ["", None, "a", "x" * 64, "ä" * 40_000, "x" * 64]
     docs = spark.createDataFrame([(i if i else None, t, "s", i) for i, t in enumerate(texts)], "doc_id long, text string, track string, start int")
-    for r in m.media_digests(docs).collect():
+    stored = save(m.media_table(docs), "media")
+    for r in m.media_digests(stored).collect():
         raw = (texts[r["doc_id"] or 0] or "").encode()
         payload = raw + bytes(-len(raw) % 64 or 64 * (not raw))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r["media_sha256"] == hashlib.sha256(m.mux(payload)).hexdigest() and r["media_bytes"] == len(m.mux(payload))
-    same = {r["feature"] for r in m.media_digests(docs).where("doc_id in (3, 5)").collect()}
-    assert len(same) == 1 and m.media_digests(docs.where(F.lit(False))).count() == 0
-    media = docs.select("doc_id", "track", "start", m.media_column("text").alias("data")).unionByName(spark.createDataFrame([(9, "t", 0, b"broken"), (10, "t", 0, None)], "doc_id long, track string, start int, data binary"))
-    table = m.packet_table(media, "data")
-    assert {"packet_track", "packet_start", "track", "start", "cluster", "time_ns", "end"} <= set(table.columns)
-    assert table.where("doc_id = 4").count() == 1250 and table.where("doc_id > 8").count() == 0
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["error"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), None)
+        assert r["media_sha256"] == hashlib.sha256(m.mux(payload)).hexdigest() and r["media_bytes"] == len(m.mux(payload)) and "8000 Hz" in r["feature"]
+    same = {r["feature"] for r in m.media_digests(stored).where("doc_id in (3, 5)").collect()}
+    assert len(same) == 1 and m.media_digests(stored.where(F.lit(False))).count() == 0
+    file = m.mux(b"x" * 64)
+    broken = [b"broken", None, file[:-3], file[:60], file.replace(m._uint(m.CUE_TIME, 0), m._uint(m.CUE_TIME, 9))]
+    extra = spark.createDataFrame([(i + 9, "t", 0, x) for i, x in enumerate(broken)], "doc_id long, track string, start int, data binary")
+    bad = m.media_digests(extra.select("doc_id", F.lit(0).alias("n_bytes"), F.col("data").alias("media"))).collect()
+    assert all(r["error"] and r["payload_sha256"] is None for r in bad) and len(bad) == len(broken)
+    table = m.packet_table(docs.select("doc_id", "track", "start", m.media_column("text").alias("data")).unionByName(extra), "data")
+    assert {"packet_track", "packet_start", "track", "start", "cluster", "time_ns", "end", "error"} <= set(table.columns)
+    assert table.where("doc_id = 4").count() == 1250 and table.where("doc_id in (9, 10, 11, 12)").where("cluster is null and (error is not null) = (doc_id <> 10)").count() == 4
+    with pytest.raises(ValueError, match="rename"):
+        m.media_table(docs.withColumnRenamed("start", "n_bytes"), "n_bytes")

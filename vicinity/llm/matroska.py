@@ -4,9 +4,15 @@
 EBML header, then a segment with info, one track, clusters of laced blocks, and cues.
 :func:`packets` reads any Matroska file: variable-length element ids and sizes, unknown sizes,
 clusters, simple blocks and block groups, all four lacings, and cues; it gives a row for each frame
-with track, time and byte range.  Samples are read back through those ranges.
+with track, time and byte range.  :func:`payload` checks that each cue leads to a cluster of its time and
+reads samples back cluster by cluster through the cues and packet ranges.
 
-Nulls count as empty texts.  A payload is padded with zero bytes to a positive multiple of 64.
+:func:`media_table` is a table with the files as a binary column; :func:`packet_table` and
+:func:`media_digests` read such a column, as stored.  A file that cannot be read gives one row with an
+``error`` and nulls; it is never passed over.
+
+Nulls count as empty texts.  A payload is padded with zero bytes to a positive multiple of 64.  Repeated
+rows give a row each, an empty table an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import bounded_batches
+from vicinity.llm.common import bounded_batches, fresh, own_names
 
 # Element ids of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -111,9 +117,10 @@ def vint(data: bytes, at: int, keep_marker: bool) -> tuple[int, int, bool]:
     return (raw if keep_marker else value), at + width, value == (1 << 7 * width) - 1
 
 
-def _elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, bool]]:
-    """(id, start of the body, end of the body, size known) of the elements from ``at`` to ``end``."""
+def _elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """(id, start of the body, end of the body, start) of the elements from ``at`` to ``end``."""
     while at < end:
+        begin = at
         key, body, _ = vint(data, at, True)
         size, body, unknown = vint(data, body, False)
         stop = end if unknown else body + size
@@ -127,7 +134,7 @@ def _elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, b
                     break
                 size, start, _ = vint(data, start, False)
                 stop = start + size
-        yield key, body, stop, not unknown
+        yield key, body, stop, begin
         at = stop
 
 
@@ -173,6 +180,7 @@ def packets(data: bytes) -> dict:
     ``packets``: (track, cluster, block, frame, time in ns, keyframe, start, end), the last two being
     the byte range in the file.  Times of later frames of a lacing follow the track's default
     duration where it has one.  ``cues``: (time in ns, track, byte position of the cluster).
+    ``clusters``: (byte position, time in ns).
     """
     out: dict = {"tracks": {}, "cues": [], "packets": [], "clusters": [], "duration": None, "scale": 1_000_000}
     for key, body, end, _ in _elements(data, 0, len(data)):
@@ -183,7 +191,7 @@ def packets(data: bytes) -> dict:
 
 def _segment(data: bytes, begin: int, end: int, out: dict) -> None:
     blocks = 0
-    for key, body, stop, _ in _elements(data, begin, end):
+    for key, body, stop, place in _elements(data, begin, end):
         if key == INFO:
             for k, a, z, _ in _elements(data, body, stop):
                 if k == TIMESTAMP_SCALE:
@@ -202,11 +210,12 @@ def _segment(data: bytes, begin: int, end: int, out: dict) -> None:
                     out["cues"].append((int.from_bytes(cue[CUE_TIME], "big") * out["scale"], int.from_bytes(cue[CUE_TRACK], "big"), begin + int.from_bytes(cue[CUE_CLUSTER_POSITION], "big")))
         elif key == CLUSTER:
             time, cluster = 0, len(out["clusters"])
-            out["clusters"].append(body)
+            out["clusters"].append((place, 0))
             for k, a, z, _ in _elements(data, body, stop):
                 key_frame = True
                 if k == TIMESTAMP:
                     time = _number(data, a, z)
+                    out["clusters"][-1] = (place, time * out["scale"])
                     continue
                 if k == BLOCK_GROUP:
                     inner = {x: (p, q) for x, p, q, _ in _elements(data, a, z)}
@@ -245,6 +254,24 @@ def samples(data: bytes, table: list[tuple]) -> bytes:
     return b"".join(out)
 
 
+def payload(data: bytes, found: dict, track: int = 1) -> bytes:
+    """The samples of a track in the order of its cues (of the file, where it has none)."""
+    places = {place: k for k, (place, _) in enumerate(found["clusters"])}
+    tables: list[list[tuple]] = [[] for _ in places]
+    for row in found["packets"]:
+        if row[0] == track:
+            tables[row[1]].append(row)
+    order = list(range(len(tables)))
+    if cues := sorted(c for c in found["cues"] if c[1] == track):
+        for time, _, at in cues:
+            if at not in places or found["clusters"][places[at]][1] != time:
+                raise ValueError(f"the cue for {time} ns leads to no cluster of that time")
+        order = [places[at] for _, _, at in cues]
+        if sorted(order) != [k for k, t in enumerate(tables) if t]:
+            raise ValueError("the cues leave out a cluster")
+    return b"".join(samples(data, tables[k]) for k in order)
+
+
 def _text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -259,56 +286,77 @@ def media_column(text: str):
     return muxed(F.col(text))
 
 
-PACKETS = "array<struct<track:int,cluster:int,block:int,frame:int,time_ns:long,keyframe:boolean,start:long,end:long>>"
+def media_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, media) of each row: the text's bytes without padding, and its file."""
+    own_names(key, "n_bytes", "media")
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), media_column(text).alias("media"))
+
+
+PACKETS = "track:int,cluster:int,block:int,frame:int,time_ns:long,keyframe:boolean,start:long,end:long"
+#: What the bytes of a broken file can raise in the parser.
+_BROKEN = (ValueError, IndexError, KeyError, OverflowError)
 
 
 def packet_table(media: DataFrame, data: str) -> DataFrame:
-    """``media`` with one row for each packet of the binary column ``data``, which goes; packet columns
-    that clash with others get the prefix ``packet_``.  A null or broken file gives no rows."""
+    """``media`` with one row for each packet of the binary column ``data``, which goes, and ``error``;
+    new columns that clash with others get the prefix ``packet_``.  A file without packets, a null and a
+    broken file give one row without a packet, a broken one with its ``error``."""
 
-    @F.pandas_udf(PACKETS)
-    def parse(files: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf(f"struct<error:string,packets:array<struct<{PACKETS}>>>")
+    def parse(files: pd.Series) -> pd.DataFrame:
+        out, names = [], [c.split(":")[0] for c in PACKETS.split(",")]
         for x in files:
             try:
-                found = packets(bytes(x))["packets"] if x is not None else []
-            except (ValueError, IndexError, KeyError):
-                found = []
-            out.append([dict(zip(("track", "cluster", "block", "frame", "time_ns", "keyframe", "start", "end"), p, strict=True)) for p in found])
-        return pd.Series(out, dtype=object)
+                rows, error = packets(bytes(x))["packets"] if x is not None else [], None
+            except _BROKEN as e:
+                rows, error = [], f"{type(e).__name__}: {e}"
+            out.append((error, [dict(zip(names, p, strict=True)) for p in rows]))
+        return pd.DataFrame(out, columns=["error", "packets"])
 
     names = {c.lower() for c in media.columns if c != data}
-    at = "packet" if "packet" not in names else "packet_row"
-    rows = media.withColumn(at, F.explode(parse(F.col(data)))).drop(data)
-    inner = [f.name for f in rows.schema[at].dataType.fields]
-    return rows.select(*[c for c in rows.columns if c != at], *[F.col(f"{at}.{c}").alias(f"packet_{c}" if c in names else c) for c in inner])
-
-
-def _digest(text: str | None) -> tuple:
-    data = _text_bytes(text)
-    media = mux(pad(data))
-    found = packets(media)
-    payload = samples(media, found["packets"])
-    levels = np.frombuffer(payload, np.uint8)
-    track = found["tracks"][1]
-    feature = (
-        f"{track[CODEC_ID].decode()} {int.from_bytes(track[BIT_DEPTH], 'big')}-bit {RATE} Hz; {len(found['clusters'])} clusters, {found['packets'][-1][2] + 1} blocks, {len(found['packets'])} packets, {len(found['cues'])} cues; "
-        f"{found['packets'][-1][4] // 1_000_000 + _FRAME_MS} ms; level {int(levels.min())} to {int(levels.max())}, mean {int(levels.sum(dtype=np.int64)) / len(levels):.6f}; crossings {int(np.count_nonzero(np.diff(levels >= 128)))}"
+    cell, at = fresh(media, "cell", "at")
+    rows = media.withColumn(cell, parse(F.col(data))).drop(data)
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.explode_outer(f"{cell}.packets").alias(at))
+    named = lambda c: f"packet_{c}" if c in names else c
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in (cell, at)], *[F.col(f"{at}.{f.name}").alias(named(f.name)) for f in rows.schema[at].dataType.fields], F.col(f"{cell}.error").alias(named("error")))
+
+
+def _feature(found: dict, levels: np.ndarray) -> str:
+    track, table = found["tracks"][1], found["packets"]
+    rate = float(np.frombuffer(track[SAMPLING_FREQUENCY], ">f8" if len(track[SAMPLING_FREQUENCY]) == 8 else ">f4")[0])
+    lasts = int.from_bytes(track[DEFAULT_DURATION], "big")
+    return (
+        f"{track[CODEC_ID].decode()} {int.from_bytes(track[BIT_DEPTH], 'big')}-bit {rate:g} Hz; {len(found['clusters'])} clusters, {table[-1][2] + 1} blocks, {len(table)} packets, {len(found['cues'])} cues; "
+        f"{(table[-1][4] + lasts) // 1_000_000} ms; level {int(levels.min())} to {int(levels.max())}, mean {int(levels.sum(dtype=np.int64)) / len(levels):.6f}; crossings {int(np.count_nonzero(np.diff(levels >= 128)))}"
     )
-    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def _digest(media: bytes | None) -> tuple:
+    if media is None:
+        return (None,) * 6 + ("no file",)
+    try:
+        found = packets(media)
+        read = payload(media, found)
+        feature = _feature(found, np.frombuffer(read, np.uint8))
+    except _BROKEN as e:
+        return (None,) * 6 + (f"{type(e).__name__}: {e}",)
+    return len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, None
 
 
-def media_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: the sizes and digests of its payload, as read back from the stored form, and of
-    the stored form itself, and a feature string from the packet table and the samples."""
+DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
-    bounded_batches(docs.sparkSession)
+
+def media_digests(stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_bytes, sizes and digests of the payload as read back and of the stored file, feature,
+    error) for each row of a :func:`media_table`.  The feature is of the parsed track, packet table and
+    samples.  A broken or missing file has an ``error`` and nulls."""
+    own_names(key, "n_bytes", *[x.split()[0] for x in DIGEST.split(", ")])
+    bounded_batches(stored.sparkSession)
 
     @F.pandas_udf(DIGEST)
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_digest(x) for x in texts], columns=[x.split()[0] for x in DIGEST.split(", ")])
+    def digest(files: pd.Series) -> pd.DataFrame:
+        done = pd.DataFrame([_digest(None if x is None else bytes(x)) for x in files], columns=[x.split()[0] for x in DIGEST.split(", ")], dtype=object)
+        return done.astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
 
-    return docs.select(F.col(key), digest(F.col(text)).alias("digest")).select(key, "digest.*")
+    return stored.select(F.col(key), "n_bytes", digest(F.col("media")).alias("digest")).select(key, "n_bytes", "digest.*")
