@@ -1,16 +1,18 @@
 """Quality rules: a decision list learned from labelled statistics, as ordered Spark expressions.
 
 Statistics of a text are one expression: words, characters, symbols, repeated lines, words in
-repeated three-word windows (windows are compared by 64-bit hashes).  It reads the text once, within
-its row, without a shuffle.
+repeated three-word windows.  It reads the text once, within its row, without a shuffle.  Windows are
+compared by 64-bit hashes first and, where two of a text are equal, word by word.
 
 Sequential covering learns the list: each rule grows by the threshold condition with the best
 information gain until it covers no good text, is pruned from its end on held-back rows, and is kept
 if it is precise there; texts that it covers are then set aside.  The list becomes nested
 conditional expressions in the order learned.  It is learned from at most ``MOST_LABELLED`` labelled
-rows, those with the lowest hashes of their key; everything else covers all rows.
+rows: labels with the lowest hashes of their key, and of the rows that these find (a key may have many)
+those with the lowest hashes of key and text.  Everything else covers all rows.
 
-Null texts have no words.  A text without words fails the base rule.
+Null texts have no words.  A text without words fails the base rule.  Repeated rows and keys are judged
+each; ties between conditions go to the first in the order of ``FEATURES`` and cuts.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import fresh
+from vicinity.llm.common import fresh, own_names
 
 #: Labelled rows that a list is learned from, at most.
 MOST_LABELLED = 20_000
@@ -39,10 +41,11 @@ def statistics(text: str) -> Column:
     words = f"filter(split(t, '[{_SPACE}]+'), x -> x <> '')"
     lines = f"filter(split(t, '\\n'), x -> x rlike '[^{_SPACE}]')"
     hashes = "if(size(w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))"
-    # windows that are found twice or more: neighbours in hash order; then the words that they cover
-    twice = "filter(transform(s, (x, i) -> if((i > 0 and get(s, i - 1).h = x.h) or (i < size(s) - 1 and get(s, i + 1).h = x.h), x.p, -1)), p -> p >= 0)"
+    # windows that are found twice or more: neighbours in the order of hashes and words; then the words that they cover
+    same = lambda i: f"(get(s, {i}).h = x.h and get(s, {i}).v = x.v)"
+    twice = f"filter(transform(s, (x, i) -> if((i > 0 and {same('i - 1')}) or (i < size(s) - 1 and {same('i + 1')}), x.p, -1)), p -> p >= 0)"
     covered = "aggregate(sequence(0, size(d) - 1), 0L, (n, i) -> n + if(i = size(d) - 1, 3, least(3, get(d, i + 1) - d[i])))"
-    repeated = _let(hashes, "h", "if(size(array_distinct(h)) = size(h), 0L, " + _let("sort_array(transform(h, (x, i) -> named_struct('h', x, 'p', i)))", "s", _let(f"sort_array({twice})", "d", covered)) + ")")
+    repeated = _let(hashes, "h", "if(size(array_distinct(h)) = size(h), 0L, " + _let("sort_array(transform(h, (x, i) -> named_struct('h', x, 'v', concat_ws(' ', w[i], w[i + 1], w[i + 2]), 'p', i)))", "s", _let(f"sort_array({twice})", "d", covered)) + ")")
     counted = (
         "named_struct('n_words', cast(size(w) as bigint), "
         f"'word_chars', cast(length(translate(t, {blanks}, '')) as bigint), "
@@ -52,7 +55,7 @@ def statistics(text: str) -> Column:
         "'n_pipes', cast(length(t) - length(replace(t, '|', '')) as bigint), "
         "'n_bangs', cast(length(t) - length(replace(t, '!', '')) as bigint), "
         "'n_upper', cast(regexp_count(t, '\\\\p{Lu}') as bigint), "
-        "'n_lines', cast(size(split(t, '\\n')) as bigint), "
+        "'n_lines', cast(length(t) - length(replace(t, '\\n', '')) + 1 as bigint), "
         "'n_stops', cast(length(t) - length(replace(t, '.', '')) as bigint), "
         "'n_distinct', cast(size(array_distinct(w)) as bigint))"
     )
@@ -144,18 +147,26 @@ def rejects_sql(rules: list[list[Condition]], stats: str) -> str:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED, only: Column | None = None) -> list[list[Condition]]:
     """The list learned from rows of ``docs`` with a label of 0 (reject) or 1.  ``only`` narrows the
     labelled rows by a condition on ``key``.  Rows of a key that is labelled twice differently count
-    for both."""
+    for both.  No labelled row, or labels of one kind: an empty list."""
     own = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
     own = (own if only is None else own.where(only)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     chosen = own.orderBy(F.xxhash64("k"), "k", "y").limit(most)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("body")).join(F.broadcast(chosen), "k").select("k", "y", statistics("body").alias("s"))  # at most ``most`` pairs of integers
-    got = rows.select("y", F.pmod(F.xxhash64(F.lit("held"), "k"), F.lit(3)).alias("part"), *[F.col(f"s.{f}").cast("double").alias(f) for f in FEATURES]).orderBy(*FEATURES, "y", "part").limit(most).collect()
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("body")).join(F.broadcast(chosen), "k")  # at most ``most`` pairs of integers
+    rows = found.select("y", held_part("k").alias("part"), F.xxhash64("k", "body").alias("turn"), statistics("body").alias("s"))
+    got = rows.select("turn", "y", "part", *[F.col(f"s.{f}").cast("double").alias(f) for f in FEATURES]).orderBy("turn", "y").limit(most).collect()
     x = np.array([[r[f] for f in FEATURES] for r in got], float).reshape(-1, len(FEATURES))
     return learn(x, np.array([1 - r["y"] for r in got], int), np.array([r["part"] == 0 for r in got], bool))
 
 
+def held_part(key: str) -> Column:
+    """0, 1 or 2 by a hash of the key: rows of part 0 prune and judge rules."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("held:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(3))
+
+
 def judge(docs: DataFrame, rules: list[list[Condition]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, base counts, base_failed, kept) of each row."""
+    """(key, n_words, base counts, base_failed, kept) of each row.  Other columns are not read, whatever
+    their names; a ``key`` with the name of a new column is an error.  An empty table gives an empty one."""
+    own_names(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     stats = docs.select(F.col(key), statistics(text).alias("stats"))
     return stats.select(key, *[f"stats.{c}" for c in base], (~F.col("stats.base_failed") & ~rejects(rules, "stats")).alias("kept"))
@@ -178,3 +189,30 @@ def _rejects_of(s: Column, rules: list[list[Condition]]) -> Column:
             holds = holds & (value >= cut if sign == ">=" else value < cut)
         out = F.when(holds, True).otherwise(out)
     return out
+
+
+def statistics_sql(table: str = "documents") -> str:
+    """A chain of DuckDB's WITH tables that ends in ``stats``: row number, doc_id and all statistics."""
+    blanks = r"\x20\x09-\x0D"
+    ratio = lambda a, b: f"round({a}::DOUBLE / greatest({b}, 1), 6)"
+    without = lambda c: f"(length(t) - length(replace(t, '{c}', '')))"
+    return f"""
+    texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {table}),
+    worded AS (SELECT *, list_filter(regexp_split_to_array(t, '[{blanks}]+'), lambda x: x <> '') AS w,
+               list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{blanks}]')) AS l FROM texts),
+    spots AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM worded WHERE len(w) > 2),
+    windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM spots),
+    repeated AS (SELECT rid, count(DISTINCT i + k) AS n FROM windows, range(3) AS r(k) WHERE n > 1 GROUP BY rid),
+    counted AS (SELECT worded.rid, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[{blanks}]', '', 'g'))::BIGINT AS word_chars,
+                (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+                {without('|')} AS n_pipes, {without('!')} AS n_bangs, {without('.')} AS n_stops, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_upper, len(string_split(t, chr(10))) AS n_lines, len(list_distinct(w)) AS n_distinct
+                FROM worded LEFT JOIN repeated ON worded.rid = repeated.rid),
+    stats AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {ratio('n_symbols', 'n_words')} AS symbol_ratio, {ratio('n_upper', 'word_chars')} AS upper_ratio, {ratio('n_pipes', 'n_words')} AS pipe_ratio,
+              {ratio('n_bangs', 'n_words')} AS bang_ratio, {ratio('n_repeat_words', 'n_words')} AS repeat_ratio, {ratio('n_dup_lines', 'n_lines')} AS dup_line_ratio, {ratio('word_chars', 'n_words')} AS word_length,
+              {ratio('n_distinct', 'n_words')} AS distinct_ratio, {ratio('n_stops', 'n_words')} AS stop_ratio FROM counted)"""
+
+
+def judge_sql(rules: list[list[Condition]], table: str = "documents") -> str:
+    """The rows of :func:`judge` for a learned list, in DuckDB's SQL."""
+    verdict = rejects_sql(rules, "stats").replace("D and", " and").replace("D then", " then")
+    return f"WITH {statistics_sql(table)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({verdict}) AS kept FROM stats"
