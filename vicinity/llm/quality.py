@@ -1,20 +1,22 @@
 """Quality classifier: random Fourier features, ridge scores, isotonic calibration.
 
 Statistics of a text are standardised and mapped by fixed random cosine features, which approximate
-a Gaussian kernel.  Partitions of the labelled sample sum the normal equations of their rows (a
-matrix of a fixed size each); the sums are added and solved for ridge weights.  A part of the
-labelled rows that the weights have not seen gives the isotonic map from raw scores to the share of
-good texts.  Scores use the text alone: no label, language, source or key.
-
-The model is fitted on at most ``MOST_LABELLED`` labelled rows, those with the lowest hashes of
-their key; all rows are scored.  Nulls count as empty texts, which get a score like any other.
+a Gaussian kernel.  Parts of the labelled sample, by a hash of the key, sum the normal equations of their
+rows (a matrix of a fixed size each); the sums are added and solved for ridge weights.  The isotonic map
+from raw scores to the share of good texts is fitted across: each fold of parts is scored by weights from
+the other folds' sums, so every labelled row serves both ends, at every size.  Scores use the text alone:
+no label, language, source or key.
+
+The model is fitted on at most ``MOST_LABELLED`` labelled rows: labels with the lowest hashes of their
+key, and of the rows that these find (a key may have many) those with the lowest hashes of key and text.
+Sums are of sorted rows and added in order, so a repeated task or another cluster gives the same model.
+All rows are scored.  Nulls count as empty texts, which get a score like any other.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,14 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import bounded_batches, fresh
+from vicinity.llm.common import bounded_batches, discard_saved, fresh, own_names, save
 
 MOST_LABELLED = 20_000
 FEATURES = 256
 BANDWIDTH = 4.0
 RIDGE = 1e-3
-#: Partitions whose sums are added on the driver: each is a matrix of FEATURES + 1 squared doubles.
-PARTS = 16
+#: Parts whose sums are added on the driver, each a matrix of FEATURES + 1 squared doubles, and their folds.
+PARTS, FOLDS = 16, 4
 THRESHOLD = 0.7
 _MARKS = re.compile(r"[#*$%&|<>]")
 _UPPER = re.compile(r"\b[^\W\d_a-z]{2,}\b")
@@ -83,6 +85,30 @@ class Model:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.waves(x) @ self.weights
 
+    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The normal equations of these rows."""
+        z = self.waves(x)
+        return z.T @ z, z.T @ y
+
+    def finish(self, parts: dict[int, tuple[np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray, part: np.ndarray) -> None:
+        """Weights from the sums of all parts, and the isotonic map from scores by the other folds' sums."""
+
+        def solved(chosen: list[int]) -> np.ndarray:
+            gram, right = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
+            for p in chosen:
+                gram, right = gram + parts[p][0], right + parts[p][1]
+            free = np.eye(FEATURES + 1)
+            free[0, 0] = 0
+            return np.linalg.lstsq(gram + RIDGE * max(1.0, gram[0, 0]) * free, right, rcond=None)[0]
+
+        self.weights, raw = solved(sorted(parts)), np.zeros(len(x))
+        for fold in range(FOLDS):
+            inside = part % FOLDS == fold
+            others = [p for p in sorted(parts) if p % FOLDS != fold]
+            if inside.any():  # labelled rows of one fold only: they have no others
+                raw[inside] = self.waves(x[inside]) @ (solved(others) if others else self.weights)
+        self.knots, self.levels = isotonic(np.round(raw, 9), y)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(x), self.knots, self.levels), 0, 1)
 
@@ -111,7 +137,8 @@ def _start(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED, only: Column | None = None) -> Model:
     """A model from rows with a label of 0 or 1.  ``only``: a condition on the labels' ``key`` that all
-    rows used in any way meet.  Without any such row every score is 0.5, and ``keep`` keeps all."""
+    rows used in any way meet.  Without any such row every score is 0.5, and ``keep`` keeps all.  A key
+    labelled twice counts for both labels, repeated rows count each."""
     bounded_batches(docs.sparkSession)
     own = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
     own = (own if only is None else own.where(only)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
@@ -122,39 +149,31 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return pd.Series(list(table(texts)), dtype=object)
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("body")).join(F.broadcast(chosen), "k")  # at most ``most`` pairs of integers
-    sample = rows.select("y", (F.pmod(F.xxhash64(F.lit("calibrate"), "k"), F.lit(4)) == 0).alias("held"), measured("body").alias("x")).repartition(PARTS).cache()
-    try:
-        centre = sample.select(*[F.avg(F.get("x", i)).alias(f"m{i}") for i in range(WIDTH)], *[F.stddev_pop(F.get("x", i)).alias(f"s{i}") for i in range(WIDTH)]).first()
-        if centre["m0"] is None:
-            return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(2), np.array([0.0]), np.array([0.5]), learned=False)
-        _, _, turn, phase = _start(np.zeros((0, WIDTH)))
-        scale = np.array([centre[f"s{i}"] for i in range(WIDTH)])
-        model = Model(np.array([centre[f"m{i}"] for i in range(WIDTH)]), np.where(scale > 1e-9, scale, 1.0), turn, phase, np.zeros(FEATURES + 1), np.zeros(1), np.zeros(1))
-
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            gram, right = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
-            for batch in batches:
-                z = model.waves(np.stack(batch["x"].to_list())) if len(batch) else np.zeros((0, FEATURES + 1))
-                gram += z.T @ z
-                right += z.T @ batch["y"].to_numpy(float)
-            yield pd.DataFrame({"gram": [gram.tobytes()], "right": [right.tobytes()]})
-
-        gram, right = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
-        for g, r in sample.where(~F.col("held")).select("x", "y").coalesce(PARTS).mapInPandas(sums, "gram binary, right binary").collect():  # PARTS rows at most
-            gram += np.frombuffer(bytes(g)).reshape(gram.shape)
-            right += np.frombuffer(bytes(r))
-        keep = np.eye(FEATURES + 1)
-        keep[0, 0] = 0
-        model.weights = np.linalg.lstsq(gram + RIDGE * max(1.0, gram[0, 0]) * keep, right, rcond=None)[0]
-        got = sample.select("x", "y", "held").collect()  # at most ``most`` rows
-        x, y, held = np.array([r["x"] for r in got], float), np.array([r["y"] for r in got], float), np.array([r["held"] for r in got])
-        if held.sum() < 50:  # too few to calibrate on their own
-            held[:] = True
-        raw = np.round(model.raw(x[held]), 9)
-        model.knots, model.levels = isotonic(raw, y[held])
-        return model
-    finally:
-        sample.unpersist()
+    part = F.pmod(F.xxhash64(F.lit("calibrate"), "k"), F.lit(PARTS)).cast("int")
+    turned = rows.select("y", part.alias("part"), F.xxhash64("k", "body").alias("turn"), measured("body").alias("x"))
+    sample = save(turned.orderBy("turn", "y", "part").limit(most), "sample")
+    got = in_order(sample.toPandas())  # at most ``most`` rows
+    if not len(got):
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(2), np.array([0.0]), np.array([0.5]), learned=False)
+    x = np.stack(got["x"].to_list())
+    centre, scale, turn, phase = _start(x)
+    model = Model(centre, scale, turn, phase, np.zeros(FEATURES + 1), np.zeros(1), np.zeros(1))
+
+    def sums(group: pd.DataFrame) -> pd.DataFrame:
+        group = in_order(group)
+        gram, right = model.sums(np.stack(group["x"].to_list()), group["y"].to_numpy(float))
+        return pd.DataFrame({"part": group["part"][:1], "gram": [gram.tobytes()], "right": [right.tobytes()]})
+
+    summed = sample.groupBy("part").applyInPandas(sums, "part int, gram binary, right binary").collect()  # PARTS rows at most
+    discard_saved(sample)
+    model.finish({r["part"]: (np.frombuffer(bytes(r["gram"])).reshape(FEATURES + 1, -1), np.frombuffer(bytes(r["right"]))) for r in summed}, x, got["y"].to_numpy(float), got["part"].to_numpy())
+    return model
+
+
+def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sorted by all columns, so that sums do not depend on how rows came; equal rows are alike."""
+    values = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, WIDTH))
+    return rows.iloc[np.lexsort([*values.T[::-1], rows["y"], rows["turn"]])].reset_index(drop=True)
 
 
 def score_column(text: str, model: Model):
@@ -166,13 +185,16 @@ def score_column(text: str, model: Model):
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, score, predicted) of each row."""
+    """(key, score, predicted) of each row, repeated rows each.  Other columns are not read, whatever
+    their names; a ``key`` with the name of a new column is an error.  An empty table gives an empty one."""
+    own_names(key, "score", "predicted")
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(key), score_column(text, model).alias("score")).select(key, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows scored at the threshold or above, all columns; every row if nothing was learned."""
+    """The rows scored at the threshold or above, all columns, repeated rows each; every row if nothing
+    was learned.  An empty table gives an empty one."""
     if not model.learned:
         return docs
     bounded_batches(docs.sparkSession)
