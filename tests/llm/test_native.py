@@ -185,6 +185,20 @@ def test_budget_entropy_and_edges(spark):
         mixing.repetition_exponent(1, 2, 0.5)
 
 
+def test_a_source_without_keys_is_dealt_over_blocks(spark):
+    docs = spark.createDataFrame([(None, f"text number {i}", "one", 0) for i in range(300)] + [(5, "same", "one", 0)] * 40, "doc_id long, text string, source string, uses int")
+    mixed = mixing.mix(docs, block_tokens=60).collect()
+    sizes = Counter(r["mix_block"] for r in mixed if r["doc_id"] is None)
+    assert len(mixed) == 340 and len(sizes) > 15 and max(sizes.values()) < 60
+    assert sorted({r["mix_rank"] for r in mixed}) == list(range(len({r["mix_block"] for r in mixed})))
+
+
+def test_windows_are_compared_word_by_word(spark):
+    text = "a b c " * 3 + "ab c d a bc d " + "x y z w " * 2
+    got = spark.createDataFrame([(text,)], "text string").select(rules.statistics("text").alias("s")).first()["s"]
+    assert got["n_repeat_words"] == _brute_counts(text)[4]
+
+
 def test_mix_is_the_same_each_time(spark):
     docs = _sources(spark)
     a, b = (mixing.mix(d, repetition=2.5, block_tokens=150) for d in (docs, docs.repartition(7)))

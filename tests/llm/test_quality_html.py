@@ -67,6 +67,45 @@ def test_held_out_accuracy_and_edges(spark):
     assert quality.keep(docs.where("doc_id > 10"), good).count() == docs.where("doc_id > 10").count() and quality.score(docs.where("false"), good).count() == 0
 
 
+def test_the_whole_fit_is_that_of_plain_numpy(spark):
+    docs, labels = _docs(spark, 300)
+    docs = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id = 11"))
+    model = quality.fit(docs, labels)
+    marks = {r["doc_id"]: r["quality"] for r in labels.where("doc_id is not null and quality is not null").collect()}
+    parts = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(quality.PARTS)).alias("p")).collect()}
+    rows = [(r["text"], marks[r["doc_id"]], parts[r["doc_id"]]) for r in docs.collect() if r["doc_id"] in marks]
+    x, y, fold = np.array([quality.statistics(t) for t, _, _ in rows]), np.array([q for _, q, _ in rows], float), np.array([p % quality.FOLDS for *_, p in rows])
+    rng = np.random.default_rng(7)
+    turn, phase = rng.normal(0, 1 / quality.BANDWIDTH, (quality.WIDTH, quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    centre, scale = x.mean(0), x.std(0)
+    waves = lambda v: np.hstack([np.ones((len(v), 1)), np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((v - centre) / np.where(scale > 1e-9, scale, 1), -8, 8) @ turn + phase)])
+
+    def weights(inside):
+        z, free = waves(x[inside]), np.diag([0.0] + [1.0] * quality.FEATURES)
+        return np.linalg.solve(z.T @ z + quality.RIDGE * inside.sum() * free, z.T @ y[inside])
+
+    raw = np.zeros(len(x))
+    for f in range(quality.FOLDS):
+        raw[fold == f] = waves(x[fold == f]) @ weights(fold != f)
+    values, levels = _brute_isotonic(np.round(raw, 6), y)
+    texts = [r["text"] for r in docs.collect()]
+    want = np.interp(waves(np.array([quality.statistics(t) for t in texts])) @ weights(np.ones(len(x), bool)), values, levels)
+    got = model.score(quality.table(texts))
+    assert np.abs(got - want).max() < 1e-3 and len(rows) > 330
+    again = quality.fit(docs.repartition(7), labels.repartition(3))
+    assert np.array_equal(again.weights, model.weights) and np.array_equal(again.levels, model.levels)
+
+
+def test_a_key_with_many_rows_stays_within_the_sample(spark):
+    docs, labels = _docs(spark, 200)
+    many = docs.unionByName(spark.range(300).selectExpr("3L as doc_id", "concat('text ', id) as text", "0 as score"))
+    small = quality.fit(many, labels, most=150)
+    assert np.array_equal(small.weights, quality.fit(many.repartition(5), labels, most=150).weights)
+    from vicinity.llm import rules
+
+    assert rules.fit(many, labels, most=150) == rules.fit(many.repartition(5), labels, most=150)
+
+
 def _page(body, head="<title>T</title><style>p{}</style><script>var a='</p>';</script>"):
     return f"<!DOCTYPE html><html><head>{head}</head><body><nav><ul><li><a href='/'>Menu</a></li></ul></nav><!-- x -->{body}<footer>&copy; us</footer></body></html>"
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.llm import htmltext, idplanes, matroska, mixing, packing, quality, rules, simhash, tokencount, urlfilter
-from vicinity.llm.common import documents
+from vicinity.llm.common import documents, save
 from vicinity.llm.tokens import default_path
 
 
@@ -17,7 +17,8 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.media_digests(documents(spark, sf_dir))
+    stored = save(matroska.media_table(documents(spark, sf_dir)), "media", "zstd")
+    return matroska.media_digests(stored)
 
 
 def op3_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def held_out(key: str = "doc_id") -> Column:
     """Rows whose labels are never learned from."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,16 @@ def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_rank").alias("block_rank"))
 
 
+def mix_to_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents mixed to an entropy of ``ENTROPY`` in place of a repetition limit."""
+    mixed = mixing.mix(documents(spark, sf_dir), repetition=None, entropy=ENTROPY)
+    return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_rank").alias("block_rank"))
+
+
+#: Natural logarithm: some six sources of equal weight.
+ENTROPY = 1.8
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = quality.score(docs, quality.fit(docs, _labels(spark, sf_dir), only=~held_out()))
@@ -70,11 +81,43 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_matroska_media, op3_bit_plane_ids, op4_token_counts, op5_best_fit_packing, op6_url_filter, op7_quality_rules, op8_temperature_mixing, op9_quality_classifier, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_matroska_media, op3_bit_plane_ids, op4_token_counts, op5_best_fit_packing, op6_url_filter, op7_quality_rules, op8_temperature_mixing, mix_to_entropy, op9_quality_classifier, op10_html_extraction)}
+
+
+#: The tables that the SQL of ``op7`` learns its list from: those that it will run on.
+ORACLE_DIR = "ORACLE_SF_DIR"
+
+
+def op7_sql(sf_dir: str) -> str:
+    """The SQL for the tables in ``sf_dir``: statistics are SQL of their own, the list is learned from
+    these by the same sequential covering, and its conditions are ordered arms of one expression."""
+    import hashlib
+    import zlib
+
+    import duckdb
+    import numpy as np
+
+    with duckdb.connect() as c:
+        for t in ("documents", "labels"):
+            c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        got = c.sql(f"WITH {rules.statistics_sql()} SELECT s.doc_id, quality, {', '.join(rules.FEATURES)} FROM stats s JOIN labels USING (doc_id) WHERE quality IN (0, 1)").fetchall()
+    if len(got) > rules.MOST_LABELLED:
+        raise ValueError("the bounded sample of labelled rows is not said in SQL")
+    got = [r for r in got if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    held = np.array([int(hashlib.md5(f"held:{r[0]}".encode()).hexdigest()[:8], 16) % 3 == 0 for r in got], bool)
+    learned = rules.learn(np.array([r[2:] for r in got], float).reshape(-1, len(rules.FEATURES)), np.array([1 - r[1] for r in got], int), held)
+    return rules.judge_sql(learned)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    import os
+
+    out = {
         "op6_url_filter": urlfilter.judge_sql(URL_RULES, urlfilter.train(urlfilter.default_labelled())),
         "op8_temperature_mixing": mixing.mix_sql(),
+        "mix_to_entropy": mixing.mix_sql(repetition=None, entropy=ENTROPY),
     }
+    sf_dir = os.environ.get(ORACLE_DIR, "/root/testdata/sf0.01")
+    if os.path.isdir(sf_dir):
+        out["op7_quality_rules"] = op7_sql(sf_dir)
+    return out
