@@ -78,7 +78,42 @@ def test_civil_warnings(spark, value):
     assert [r["id"] for r in hazards.civil_dashboard(spark.createDataFrame([(page,), ("{}",)], "body string")).collect()] == ["mow.X-001"]
     now = spark.createDataFrame([("a", "k2", "Update"), ("b", "k", "Cancel"), ("c", "k", "Alert"), ("e", "k", "Alert"), ("f", "k", "Cancel")], "id string, key string, msg_type string")
     then = spark.createDataFrame([("a", "k1"), ("b", "k"), ("d", "k"), ("e", "k")], "id string, key string")
-    assert {r["id"]: r["action"] for r in alerts.civil_diff(now, then).collect()} == {"a": "edit", "b": "all_clear", "c": "post", "d": "all_clear", "e": "noop"}
+    assert {r["id"]: r["action"] for r in alerts.civil_diff(now, then).collect()} == {"a": "edit", "b": "all_clear", "c": "post", "e": "noop", "f": "forget"}
+    assert {r["id"] for r in alerts.civil_diff(now, then, spark.createDataFrame([("k2",), ("k",)], "id string")).collect()} == set()
+
+
+def test_what_follows_an_attempt(spark, value):
+    next_ = lambda a, r: value(alerts.after_edit(F.lit(a), F.lit(r)))
+    assert [next_(a, "missing_original") for a in ("edit", "update", "reconcile", "up", "all_clear")] == ["repost"] * 4 + ["end"]
+    assert [next_(a, "failed") for a in ("edit", "all_clear", "post")] == ["retry"] * 3 and next_("new", "ok") == "store"
+    diff = spark.createDataFrame([("k1", "k1", "noop"), ("k2", "k2", "noop"), ("k3", "k3", "update"), (None, "k4", "all_clear")], "key string, old_key string, action string")
+    active = spark.createDataFrame([("k1", "{}"), ("k2", None), ("k3", "{}")], "id string, event_ids string")
+    got = lambda due: {r["old_key"]: r["action"] for r in alerts.reconciled(diff, active, F.lit(due)).collect()}
+    assert got(True) == {"k1": "reconcile", "k2": "noop", "k3": "update", "k4": "all_clear"} and got(False)["k1"] == "noop"
+    due = lambda last: value(alerts.reconcile_due(F.lit(last).cast("bigint"), F.lit(10_000_000)))
+    assert due(None) and due(6_400_000) and not due(6_400_001)
+
+
+def test_reposts_keep_the_first_attempts_window(spark):
+    kind = "id string, source string, key string, start_ms bigint, end_ms bigint, created_at bigint"
+    gone = lambda end: spark.createDataFrame([("w", "dwd", 5, end, '{"!a":"$1"}', "p", "h")], "id string, source string, start_ms bigint, end_ms bigint, event_ids string, plain string, html string")
+    rooms = outbox.rooms(spark, ["!a", "!b"])
+    keys, first = outbox.reposts(gone(9), spark.createDataFrame([], kind), rooms, 1)
+    keys, second = outbox.reposts(gone(12), keys, rooms, 2)
+    assert {r["txn_id"] for r in first.collect()} == {r["txn_id"] for r in second.collect()}
+    answer = lambda lost: outbox.send_all(second, lambda r: (None, "down") if r["room"] == lost else (f"${r['room']}", None))
+    assert outbox.reposted(keys, answer("!b")).count() == 0
+    done = outbox.reposted(keys, answer(None)).first()
+    assert (done["id"], done["start_ms"], done["end_ms"]) == ("w", 5, 9) and set(json.loads(done["event_ids"])) == {"!a", "!b"}
+
+
+def test_a_sink_writes_what_came_of_each_message(spark, tmp_path):
+    rows = outbox.posts(spark.createDataFrame([("k", "p", "h"), ("l", "p", "h")], "alert_key string, plain string, html string"), outbox.rooms(spark, ["!a", "!b"]))
+    sink = outbox.room_sink(lambda r: (None, "M_UNKNOWN") if (r["alert_key"], r["room"]) == ("l", "!b") else ("$" + r["txn_id"], None), str(tmp_path))
+    sink(rows, 3)
+    sink(rows, 3)
+    results = spark.read.parquet(f"{tmp_path}/batch=3")
+    assert results.count() == 4 and {r["alert_key"]: r["all_ok"] for r in outbox.delivered(results).collect()} == {"k": True, "l": False}
 
 
 def test_quakes_and_disasters(spark, value):

@@ -58,6 +58,11 @@ def test_data_source_batch_and_stream(spark, tmp_path):
     q = spark.readStream.format("feed_documents").load(str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).start()
     q.awaitTermination()
     assert {r["source_name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"A", "S"}
+    (tmp_path / "in/0-first-by-name.xml").write_text(ATOM)
+    q = spark.readStream.format("feed_documents").load(str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).start()
+    q.awaitTermination()
+    got = [r["source_name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == ["0-first-by-name", "A", "S", "S", "S"]
 
 
 def test_entities():
@@ -94,33 +99,34 @@ def test_links(value):
     assert note("https://x/ticker", "Regenwetter dauert an") == "rolling source link may no longer show this item"
 
 
-@pytest.mark.parametrize(("body", "names"), [("Einsatz Erlenauer Straße 94", ["Erlenauer Straße 94"]), ("Feuer in der Tulpenweggasse.", ["Tulpenweggasse"]), ("Kreuzung Nordener Allee/Südener Straße", ["Nordener Allee", "Südener Straße"]), ("Demo über die Max Reuss Allee", ["Max Reuss Allee"]), ("Unfall (Neue Hofstraße 5)", ["Neue Hofstraße 5"]), ("das Risiko ist gering", []), ("an der Straße", []), ("Hofstraße und HOFSTRASSE und hofstraße, 30447", ["Hofstraße", "HOFSTRASSE"])])
+@pytest.mark.parametrize(("body", "names"), [("Sperrung Quittenberger Straße 31", ["Quittenberger Straße 31"]), ("Rohrbruch in der Kupferbachgasse.", ["Kupferbachgasse"]), ("Sperre Wolfsteiner Allee/Rappacher Straße", ["Wolfsteiner Allee", "Rappacher Straße"]), ("Umzug durch die Ida Korn Allee", ["Ida Korn Allee"]), ("Rohrbruch (Alte Torstraße 12)", ["Alte Torstraße 12"]), ("der Kommunalplan ist fertig", []), ("bei der Allee", []), ("Torstraße und TORSTRASSE und torstraße, 99990", ["Torstraße", "TORSTRASSE"])])
 def test_street_names(body, names):
     assert streets.candidates(body) == names
 
 
 def _answers(spark):
     kind = "candidate string, pos int, lat string, lon string, name string, display_name string, address map<string,string>, geojson string"
-    rows = [("", "Grüne Straße", "Jena"), ("Erlenauer Straße", "Erlenauer Straße", "Gera"), ("Erlenauer Straße", "Erlenauer Straße", "Jena"), ("", "Erlenauer Straße", "Jena")]
+    rows = [("", "Stille Straße", "Suhl"), ("Quittenberger Straße", "Quittenberger Straße", "Plauen"), ("Quittenberger Straße", "Quittenberger Straße", "Suhl"), ("", "Quittenberger Straße", "Suhl")]
     return lambda asked: spark.createDataFrame([(asked, i, "52.5", "13.4", n, n, {"road": r, "city": c} | ({"quarter": "Nord"} if i == 2 else {}), None) for i, (n, r, c) in enumerate(rows)], kind)
 
 
 def test_geocoder_answers_are_the_street_in_the_city(spark):
     answers = _answers(spark)
-    hits = streets.validated_hits(answers("Feuerwehr Erlenauer Straße 94"), "Jena, DE").orderBy("pos").collect()
+    hits = streets.validated_hits(answers("Sperrung Quittenberger Straße 31"), "Suhl, DE").orderBy("pos").collect()
     assert [h["pos"] for h in hits] == [2, 3] and hits[0]["suburb"] == "Nord" and hits[0]["shape"] == []
-    assert streets.validated_hits(answers("Parkplatz"), "Jena").count() == 0 and streets.validated_hits(answers("x"), "").count() == 4
+    assert streets.validated_hits(answers("Parkplatz"), "Suhl").count() == 0 and streets.validated_hits(answers("x"), "").count() == 4
 
 
 def test_nearest_street_and_districts(spark):
+    """Along the equator: a thousandth of a degree is 111.2 m; the reference point is 0, 0."""
     line = "array<struct<lat:double,lon:double>>"
-    hit = lambda i, c, lon1, lon2, suburb: (c, i, 52.5145, lon1, f"{c}, {suburb}", suburb, None, [[(52.5145, lon1), (52.5145, lon2)]])
-    hits = spark.createDataFrame([hit(0, "Lange Allee", 13.49, 13.50, "Ostdorf"), hit(1, "Lange Allee", 13.465, 13.475, "Westdorf"), hit(2, "Lange Allee", 13.50, 13.51, "Ostdorf"), hit(0, "Ferne Gasse", 15.0, 15.1, "X")], f"candidate string, pos int, lat double, lon double, display_name string, suburb string, borough string, shape array<{line}>")
-    mentions = spark.createDataFrame([(1, "Lange Allee", 5, True, 0), (2, "Lange Allee", 5, True, 0), (3, "Ferne Gasse", 5, True, 0), (4, "Lange Allee", 2, False, 0)], "id int, candidate string, confidence int, prominent boolean, pos int")
-    texts = spark.createDataFrame([(1, "unfall", "", None), (2, "unfall in ostdorf", "", None), (3, "x", "", None), (4, "y", "", None)], "id int, prominent_text string, rest_text string, district string")
-    got = {r["id"]: r for r in streets.nearest_street(mentions, hits, texts, 52.5136, 13.4705).collect()}
-    assert set(got) == {1, 2} and got[1]["meters"] < 150 and got[1]["label"].endswith("Westdorf") and got[1]["penalty"] == 1
-    assert got[2]["meters"] > 1000 and got[2]["label"].endswith("Ostdorf")
+    hit = lambda i, c, west, east, suburb: (c, i, 0.0, west, f"{c}, {suburb}", suburb, None, [[(0.0, west), (0.0, east)]])
+    hits = spark.createDataFrame([hit(0, "Breite Allee", 0.03, 0.035, "Amsel"), hit(1, "Breite Allee", 0.001, 0.02, "Drossel"), hit(2, "Breite Allee", 0.04, 0.045, "Amsel"), hit(0, "Späte Gasse", 2.0, 2.1, "Fink")], f"candidate string, pos int, lat double, lon double, display_name string, suburb string, borough string, shape array<{line}>")
+    mentions = spark.createDataFrame([(1, "Breite Allee", 5, True, 0), (2, "Breite Allee", 5, True, 0), (3, "Späte Gasse", 5, True, 0), (4, "Breite Allee", 2, False, 0)], "id int, candidate string, confidence int, prominent boolean, pos int")
+    texts = spark.createDataFrame([(1, "rohrbruch", "", None), (2, "rohrbruch in amsel", "", None), (3, "x", "", None), (4, "y", "", None)], "id int, prominent_text string, rest_text string, district string")
+    got = {r["id"]: r for r in streets.nearest_street(mentions, hits, texts, 0.0, 0.0).collect()}
+    assert set(got) == {1, 2} and abs(got[1]["meters"] - 111.2) < 1 and got[1]["label"].endswith("Drossel") and got[1]["penalty"] == 2
+    assert abs(got[2]["meters"] - 3335.8) < 2 and got[2]["label"].endswith("Amsel")
 
 
 def test_street_evidence_keeps_the_first_mention(spark):

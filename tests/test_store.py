@@ -51,8 +51,8 @@ def test_statistics_with_ties_and_reports(spark):
     top = store.stats_summary(rows, NOW, 24)
     assert [(r["source_name"], r["total"]) for r in top.collect()] == [("d", 0), ("a", 3), ("b", 3)]
     assert store.stats_summary(rows, NOW, 99999).count() == 4 and store.stats_summary(rows, NOW, 24, 1).count() == 1
-    assert store.stats_report(top, 24).first()[0].split("\n")[1] == "d: 0 total, 2 queued, 0 candidate, 0 dropped, 0 retry"
-    assert store.stats_report(top.where("false"), 5).first()[0] == "No source statistics in the last 5h."
+    assert store.stats_report(top, 24).first()[0].split("\n\n")[1] == "📰 d\n📥 0 total · 📬 2 queued\n🔎 0 candidate · 🗑️ 0 dropped · 🔁 0 retry"
+    assert store.stats_report(top.where("false"), 5).first()[0] == "🤷 No source stats in the last 5h."
     assert [store.report_hours(x) for x in ("", "x", "0", "9999", " 48 ")] == [24, 24, 1, 720, 48]
     assert store.append_stats(rows, rows.withColumn("ts", F.col("ts") - 31 * 86400), NOW).count() == 4
 

@@ -9,6 +9,13 @@ MINUTES = "HH:mm"
 FULL = "EEE, dd MMM HH:mm"
 
 
+def local_seconds(text: Column, zone: str, form: str) -> Column:
+    """Seconds since the epoch of a local date and time in ``zone``, whatever the session's zone is; null
+    for anything of another form.  A time that a clock change skips moves on by the change."""
+    at = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{form} Z"))  # the wall clock, read as if it were UTC
+    return F.unix_seconds(F.to_utc_timestamp(at, zone)) if zone.upper() != "UTC" else F.unix_seconds(at)
+
+
 def _try(text: Column, *formats: str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
@@ -26,10 +33,10 @@ def parse_feed_date(c: Column) -> Column:
 def parse_page_date(c: Column, zone: str = "UTC") -> Column:
     """A feed date, else a local date and time, else the first ten characters as a day at noon UTC."""
     text = F.trim(c)
-    local = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), text)
-    local = F.unix_seconds(F.to_utc_timestamp(F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss")), zone))
+    local = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), F.replace(text, F.lit("T"), F.lit(" ")))
+    local = local_seconds(local, zone, "yyyy-MM-dd HH:mm:ss")
     day = F.when(F.substring(text, 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.substring(text, 1, 10))
-    return F.coalesce(parse_feed_date(text), local, F.unix_seconds(F.try_to_timestamp(day, F.lit("yyyy-MM-dd"))) + 12 * 3600)
+    return F.coalesce(parse_feed_date(text), local, local_seconds(F.concat(day, F.lit(" 12:00:00")), "UTC", "yyyy-MM-dd HH:mm:ss"))
 
 
 def since(now: Column, hours: int) -> Column:

@@ -170,6 +170,29 @@ def next_active(current: DataFrame, active: DataFrame, diff: DataFrame) -> DataF
     return active.join(gone.distinct(), "id", "left_anti").unionByName(fresh.select(F.col("key").alias("id"), "region", "event", "level", "start_ms", "end_ms"))
 
 
+RECONCILE_MS = 3_600_000
+
+
+def reconcile_due(last_ms: Column, now_ms: Column) -> Column:
+    """Whether messages of unchanged warnings are to be compared again: never done, or an hour ago."""
+    return last_ms.isNull() | (now_ms - last_ms >= RECONCILE_MS)
+
+
+def reconciled(diff: DataFrame, active: DataFrame, due: Column) -> DataFrame:
+    """``diff`` with ``reconcile`` in place of ``noop`` where it is due and the warning has a message
+    (``active``: id, event_ids): its text is written again, and a lost message is found out."""
+    held = active.where(F.col("event_ids").isNotNull()).select(F.col("id").alias("old_key"), F.lit(True).alias("_held"))
+    step = F.when((F.col("action") == "noop") & F.coalesce("_held", F.lit(False)) & due, "reconcile").otherwise(F.col("action"))
+    return diff.join(held, "old_key", "left").select("key", "old_key", step.alias("action"))
+
+
+def after_edit(action: Column, result: Column) -> Column:
+    """What follows an attempt (ok, missing_original or failed): store, repost (the message is gone), end
+    (an all-clear, also where its message is gone), or retry in the next round."""
+    ended = action == "all_clear"
+    return F.when(result == "failed", "retry").when(ended, "end").when((result == "missing_original") & ~action.isin("new", "post"), "repost").when(result == "ok", "store").otherwise("retry")
+
+
 # -- civil warnings --------------------------------------------------------------------------------
 
 
@@ -191,13 +214,18 @@ def civil_region(data: Column) -> Column:
     return F.coalesce(F.get_json_object(data, "$.area[0].areaDesc"), F.lit("Region unbekannt"))
 
 
-def civil_diff(current: DataFrame, active: DataFrame) -> DataFrame:
-    """(id, action): ``current`` has id, key and msg_type, ``active`` has id and key.  Cancelled or gone:
-    all_clear; another version: edit; without a message: post; else noop."""
-    both = current.select("id", F.col("key").alias("new"), "msg_type").join(active.select("id", F.col("key").alias("old")), "id", "full_outer")
-    live = F.col("new").isNotNull() & (F.lower(F.coalesce("msg_type", F.lit(""))) != "cancel")
-    step = F.when(~live & F.col("old").isNull(), None).when(~live, "all_clear").when(F.col("old").isNull(), "post").when(F.col("old") != F.col("new"), "edit").otherwise("noop")
-    return both.select("id", step.alias("action")).where("action is not null")
+def civil_diff(current: DataFrame, active: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(id, action): ``current`` has id, key and msg_type, ``active`` has id and key, ``seen`` the keys (id)
+    that are handled.  A cancelled warning with a message: all_clear; without one: forget; another version
+    of a posted one: edit; without a message: post; else noop.  A warning that leaves the feed without a
+    cancellation keeps its message."""
+    new = current.select("id", F.col("key").alias("new"), "msg_type")
+    if seen is not None:
+        new = new.join(seen.select(F.col("id").alias("new")), "new", "left_anti")
+    both = new.join(active.select("id", F.col("key").alias("old")), "id", "left")
+    cancelled = F.coalesce(F.col("msg_type") == "Cancel", F.lit(False))
+    step = F.when(cancelled, F.when(F.col("old").isNull(), "forget").otherwise("all_clear")).when(F.col("old").isNull(), "post").when(F.col("old") != F.col("new"), "edit").otherwise("noop")
+    return both.select("id", step.alias("action"))
 
 
 def civil_description(data: Column, zone: str = "UTC") -> Column:

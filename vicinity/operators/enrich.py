@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.config import FilterConfig
@@ -11,9 +13,18 @@ from vicinity.operators import evidence, routing, store
 
 
 def with_sources(items: DataFrame, sources: DataFrame) -> DataFrame:
-    """Items with their source's settings; the table of sources is configuration, a row each."""
+    """Items with their source's settings; the table of sources is configuration, a row each.  Items of
+    an unknown or null source stay: they are filtered, under the common limits."""
     own = sources.select(F.col("name").alias("source_name"), "max_age_hours", "filter", "base_implied_meters", "required")
-    return items.join(F.broadcast(own), "source_name")
+    return items.join(F.broadcast(own), "source_name", "left").withColumn("filter", F.coalesce("filter", F.lit(True)))
+
+
+def own_terms_pass(required: Column, prominent: Column, rest: Column, sources: DataFrame) -> Column:
+    """Whether a source's own list is empty or one of its terms is mentioned, as keywords are.  Terms come
+    from the table of sources, which is configuration."""
+    terms = sorted(r[0] for r in sources.select(F.explode("required")).distinct().collect() if r[0] is not None)
+    named = reduce(lambda a, t: a | (F.array_contains(required, t) & text.mentions_any(prominent, rest, [t])), terms, F.lit(False))
+    return (F.size(required) == 0) | named
 
 
 def with_pages(items: DataFrame, pages: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -21,9 +32,12 @@ def with_pages(items: DataFrame, pages: DataFrame, zone: str = "UTC") -> DataFra
     no text.  The feed's own coordinates and district come first, the older date counts."""
     wanted = routing.needs_article(F.col("filter"), F.col("base_implied_meters"), F.col("article_text"), F.col("link"))
     asked = items.withColumn("_asked", wanted)
-    read = pages.select(F.col("url").alias("link"), "html").join(asked.where("_asked").select("link").distinct(), "link", "left_semi").dropDuplicates(["link"])
+    found = pages.select(F.col("url").alias("link"), "html").join(asked.where("_asked").select("link").distinct(), "link", "left_semi")
+    read = found.groupBy("link").agg(F.min_by("html", F.xxhash64("html")).alias("html"))  # of several pages of a link always the same
     parsed = read.select("link", markup.page_columns(F.col("html")).alias("_page"), markup.article_link_column(F.col("link"), F.col("html")).alias("_link"))
-    both = asked.join(parsed, "link", "left").withColumn("_got", F.col("_asked") & F.col("_page.text").isNotNull())
+    got = asked.where("_asked").join(parsed, "link", "left")
+    rest = asked.where("not _asked")  # these, many without a link, meet nothing and stay where they are
+    both = got.unionByName(rest.select("*", *[F.lit(None).cast(got.schema[c].dataType).alias(c) for c in ("_page", "_link")])).withColumn("_got", F.col("_asked") & F.col("_page.text").isNotNull())
     page = lambda n: F.when(F.col("_got"), F.col(f"_page.{n}"))
     moved = both.withColumns({
         "fetch_failed": F.col("_asked") & ~F.coalesce("_got", F.lit(False)), "article_text": F.coalesce("article_text", page("text")), "lat": F.coalesce("lat", page("lat")), "lon": F.coalesce("lon", page("lon")),
@@ -66,8 +80,8 @@ def poll_round(items: DataFrame, stored: DataFrame, retries: DataFrame, sources:
     geocoded = F.filter(F.array("geocoded"), lambda e: e.isNotNull())
     every = F.concat(area, evidence.source_evidence(F.col("base_implied_meters")), geocoded, filed, named)
     away = evidence.located_elsewhere(F.col("title"), F.col("district"), config).isNotNull()
-    own = F.exists("required", lambda t: F.contains(F.concat_ws("\n", p, r), text.normalize(t)))
-    wanted = F.when(F.col("required").isNull(), routing.keyword_pass(p, r, config)).otherwise(((F.size("required") == 0) | own) & ~text.mentions_any(p, r, config.blocklist))
+    own = own_terms_pass(F.col("required"), p, r, sources)
+    wanted = F.when(F.col("required").isNull(), routing.keyword_pass(p, r, config)).otherwise(own & ~text.mentions_any(p, r, config.blocklist))
     scored = placed.withColumns({"top": evidence.best(evidence.penalise(every, away)), "keyword_ok": wanted})
     ready = scored.select("*", *evidence.final_columns(F.col("top"))).withColumn("geocoded", F.col("geocoded").isNotNull())
     return routing.outcome(ready, config, F.lit(now)).drop("top", "prominent", "rest")

@@ -22,8 +22,8 @@ def daily_slots(spark: SparkSession, first: str, last: str, times: list[str], zo
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("day"))
     named = days.withColumn("time", F.explode(F.array(*[F.lit(t) for t in times]).cast("array<string>"))).withColumn("minutes", dates.time_of_day(F.col("time"))).where("minutes is not null")
     label = F.concat(F.lpad(F.floor(F.col("minutes") / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col("minutes") % 60).cast("string"), 2, "0"))
-    local = F.to_timestamp(F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(" "), label, F.lit(":00")))
-    return named.select(F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(" "), label).alias("slot"), F.unix_seconds(F.to_utc_timestamp(local, zone)).alias("at"))
+    slot = F.concat(F.col("day").cast("string"), F.lit(" "), label)
+    return named.select(slot.alias("slot"), dates.local_seconds(slot, zone, "yyyy-MM-dd HH:mm").alias("at"))
 
 
 def due(slots: DataFrame, ledger: DataFrame, job: str, now: int, catch_up_hours: int | None = CATCH_UP_HOURS) -> DataFrame:
@@ -40,6 +40,18 @@ def retry_at(failed_at: int, slot_at: int) -> int | None:
     return again if again <= slot_at + CATCH_UP_HOURS * 3600 else None
 
 
+def next_attempt(posts: DataFrame) -> DataFrame:
+    """(id, step, at) for slot posts (id, slot_at, started_at, failed_at, transient), seconds each: done
+    without a failure; now while the service does not answer and the post window is open; at a later
+    time within the catch-up window; else missed.  Attempts carry the slot's key, so rooms that have a
+    post get no second one."""
+    failed, again = F.col("failed_at"), F.col("failed_at") + RETRY_MINUTES * 60
+    open_ = F.col("transient") & (failed < F.col("started_at") + POST_WINDOW_MINUTES * 60)
+    late = again > F.col("slot_at") + CATCH_UP_HOURS * 3600
+    step = F.when(failed.isNull(), "done").when(open_, "now").when(late, "missed").otherwise("later")
+    return posts.select("id", step.alias("step"), F.when(step == "now", failed).when(step == "later", again).alias("at"))
+
+
 def seed(ledger: DataFrame, slots: DataFrame, job: str, now: int) -> DataFrame:
     """The next ledger: on a job's first start its latest past slot counts as done, so nothing old is
     posted; afterwards nothing changes."""

@@ -128,9 +128,9 @@ def report_hours(argument: str) -> int:
 
 def stats_report(summary: DataFrame, hours: int) -> DataFrame:
     """One row with the report's text; ``summary`` has a few rows by contract."""
-    line = F.format_string("%s: %d total, %d queued, %d candidate, %d dropped, %d retry", "source_name", *COUNTS)
+    line = F.format_string("📰 %s\n📥 %d total · 📬 %d queued\n🔎 %d candidate · 🗑️ %d dropped · 🔁 %d retry", "source_name", *COUNTS)
     lines = summary.agg(F.array_sort(F.collect_list(F.struct((-F.col("queued")).alias("a"), (-F.col("candidate")).alias("b"), (-F.col("total")).alias("c"), "source_name", line.alias("line")))).alias("l"))
-    return lines.select(F.when(F.size("l") == 0, F.lit(f"No source statistics in the last {hours}h.")).otherwise(F.concat(F.lit(f"📊 Source stats ({hours}h)\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))).alias("report"))
+    return lines.select(F.when(F.size("l") == 0, F.lit(f"🤷 No source stats in the last {hours}h.")).otherwise(F.concat(F.lit(f"📊 Source stats, last {hours}h\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n\n"))).alias("report"))
 
 
 def record_retries(retries: DataFrame, failed: DataFrame, now: int) -> DataFrame:

@@ -111,22 +111,22 @@ def warning_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warnings.rows(spark, sf_dir).select("event_id", plain.alias("plain"), F.substring(change, 7, 999).alias("change"))
 
 
-@query("WITH n AS (SELECT user_id::VARCHAR AS id, arg_min(event_id, event_id) AS first FROM events WHERE event_type = 'click' GROUP BY 1), o AS (SELECT user_id::VARCHAR AS id, min(event_id) AS first FROM events WHERE event_type = 'error' GROUP BY 1), a AS (SELECT id, coalesce(o.first, n.first) AS first FROM n FULL JOIN o USING (id)) SELECT id, first FROM a WHERE id::BIGINT % 2 = 0")
+@query("WITH n AS (SELECT user_id::VARCHAR AS id, arg_min(event_id, event_id) AS first FROM events WHERE event_type <> 'error' GROUP BY 1), o AS (SELECT user_id::VARCHAR AS id, min(event_id) AS first FROM events WHERE event_type = 'error' GROUP BY 1), a AS (SELECT id, coalesce(o.first, n.first) AS first FROM n FULL JOIN o USING (id)) SELECT id, first FROM a WHERE id::BIGINT % 2 = 0")
 def post_key_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First keys stay over later ones, and go with their warning."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    key = lambda kind: e.where(F.col("event_type") == kind).select(F.col("user_id").cast("string").alias("id"), F.lit("s").alias("source"), F.col("event_id").cast("string").alias("key"), F.col("event_id").alias("created_at"))
-    stored = store.post_keys(store.first_rows(key("error"), "id", "created_at"), key("click"))
+    key = lambda rows: rows.select(F.col("user_id").cast("string").alias("id"), F.lit("s").alias("source"), F.col("event_id").cast("string").alias("key"), F.col("event_id").alias("created_at"))
+    stored = store.post_keys(store.first_rows(key(e.where("event_type = 'error'")), "id", "created_at"), key(e.where("event_type <> 'error'")))
     current = stored.where(F.col("id").cast("bigint") % 2 == 0)
     return store.forget_keys_except(stored, "s", current).select("id", F.col("created_at").alias("first"))
 
 
-@query("WITH l AS (SELECT DISTINCT event_type AS id FROM events WHERE user_id < 40), s AS (SELECT 'digest:' || event_id AS id FROM events WHERE event_id % 3 = 0) SELECT id FROM l UNION ALL SELECT id FROM s")
+@query("WITH l AS (SELECT DISTINCT event_type AS id FROM events), s AS (SELECT 'digest:' || event_id AS id FROM events) SELECT id FROM l UNION ALL SELECT id FROM s")
 def alert_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    seen = e.where("user_id < 40").select(F.col("event_type").alias("id"), F.lit("feed").alias("source"), F.col("event_id").alias("sent_at"))
+    seen = e.select(F.col("event_type").alias("id"), F.lit("feed").alias("source"), F.col("event_id").alias("sent_at"))
     ledger = store.mark_seen(seen.limit(0), seen)
-    slots = e.where("event_id % 3 = 0").select(store.slot_id(F.lit("digest"), F.col("event_id").cast("string")).alias("id"), F.lit("digest").alias("source"), F.col("event_id").alias("sent_at"))
+    slots = e.select(store.slot_id(F.lit("digest"), F.col("event_id").cast("string")).alias("id"), F.lit("digest").alias("source"), F.col("event_id").alias("sent_at"))
     return store.mark_seen(ledger, slots).select("id")
 
 
@@ -145,10 +145,10 @@ def quake_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("event_id", F.regexp_extract(said, r"Magnitude (.*)$", 1).alias("mag"))
 
 
-@query("WITH c AS (SELECT conv_id, turn, trim(text, E' \\t\\n\\r') AS said FROM conversations WHERE role = 'user') SELECT 'at://x/' || conv_id || '-' || turn AS guid, substr(trim(list_filter(string_split(said, chr(10)), lambda l: trim(l) <> '')[1]), 1, 120) AS title, 'https://bsky.app/profile/' || CASE WHEN conv_id % 2 = 0 THEN 'h' || conv_id ELSE 'unknown' END || '/post/' || conv_id || '-' || turn AS link, 1704067200 + turn AS published_at FROM c WHERE said <> ''")
+@query("WITH c AS (SELECT conv_id, turn, trim(text, E' \\t\\n\\r') AS said FROM conversations) SELECT 'at://x/' || conv_id || '-' || turn AS guid, substr(trim(list_filter(string_split(said, chr(10)), lambda l: trim(l) <> '')[1]), 1, 120) AS title, 'https://bsky.app/profile/' || CASE WHEN conv_id % 2 = 0 THEN 'h' || conv_id ELSE 'unknown' END || '/post/' || conv_id || '-' || turn AS link, 1704067200 + turn AS published_at FROM c WHERE said <> ''")
 def social_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as pages of posts, read back as items."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     uri = F.concat(F.lit("at://x/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     made = F.date_format(F.timestamp_seconds(1704067200 + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     post = F.struct(uri.alias("uri"), F.when(F.col("conv_id") % 2 == 0, F.struct(F.concat(F.lit("h"), F.col("conv_id").cast("string")).alias("handle"))).alias("author"), F.struct("text", made.alias("createdAt")).alias("record"))

@@ -27,7 +27,7 @@ def source_stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.stats_summary(poll_stats(spark, sf_dir), NOW, 720)
 
 
-@query(f"{_STATS}, t AS (SELECT source_name, {_SUMS} FROM s WHERE ts >= {NOW} - 720 * 3600 GROUP BY source_name ORDER BY queued DESC, candidate DESC, total DESC, source_name LIMIT 25) SELECT '📊 Source stats (720h)' || chr(10) || string_agg(source_name || ': ' || total || ' total, ' || queued || ' queued, ' || candidate || ' candidate, ' || dropped || ' dropped, ' || retry_later || ' retry', chr(10) ORDER BY queued DESC, candidate DESC, total DESC, source_name) AS report FROM t")
+@query(f"{_STATS}, t AS (SELECT source_name, {_SUMS} FROM s WHERE ts >= {NOW} - 720 * 3600 GROUP BY source_name ORDER BY queued DESC, candidate DESC, total DESC, source_name LIMIT 25) SELECT '📊 Source stats, last 720h' || chr(10) || chr(10) || string_agg('📰 ' || source_name || chr(10) || '📥 ' || total || ' total · 📬 ' || queued || ' queued' || chr(10) || '🔎 ' || candidate || ' candidate · 🗑️ ' || dropped || ' dropped · 🔁 ' || retry_later || ' retry', chr(10) || chr(10) ORDER BY queued DESC, candidate DESC, total DESC, source_name) AS report FROM t")
 def source_stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.stats_report(store.stats_summary(poll_stats(spark, sf_dir), NOW, store.report_hours("720")), 720)
 
@@ -66,11 +66,11 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.insert_if_absent(old, rows.where("first % 3 <> 0").withColumn("origin", F.lit("new")), "first")
 
 
-@query(f"WITH a AS (SELECT user_id::VARCHAR AS guid, count(*)::INTEGER AS attempts, max(floor(epoch(ts)))::BIGINT AS last_at FROM events WHERE event_type = 'error' AND event_id % 2 = 0 GROUP BY 1), f AS (SELECT user_id::VARCHAR AS guid, count(*)::INTEGER AS more FROM events WHERE event_type = 'error' AND event_id % 7 = 0 GROUP BY 1), j AS (SELECT guid, (coalesce(attempts, 0) + coalesce(more, 0))::INTEGER AS attempts, CASE WHEN more IS NOT NULL THEN {NOW} ELSE last_at END AS last_at FROM a FULL JOIN f USING (guid)) SELECT * FROM j WHERE last_at >= {NOW} - 7 * 86400")
+@query(f"WITH a AS (SELECT user_id::VARCHAR AS guid, count(*)::INTEGER AS attempts, max(floor(epoch(ts)))::BIGINT AS last_at FROM events WHERE event_type = 'error' AND event_id % 2 = 0 GROUP BY 1), f AS (SELECT user_id::VARCHAR AS guid, count(*)::INTEGER AS more FROM events WHERE event_type = 'error' AND event_id % 2 = 1 GROUP BY 1), j AS (SELECT guid, (coalesce(attempts, 0) + coalesce(more, 0))::INTEGER AS attempts, CASE WHEN more IS NOT NULL THEN {NOW} ELSE last_at END AS last_at FROM a FULL JOIN f USING (guid)) SELECT * FROM j WHERE last_at >= {NOW} - 7 * 86400")
 def retry_counter_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'").select("event_id", F.col("user_id").cast("string").alias("guid"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
     old = e.where("event_id % 2 = 0").groupBy("guid").agg(F.count("*").cast("int").alias("attempts"), F.max("at").alias("last_at"))
-    return store.record_retries(old, e.where("event_id % 7 = 0"), NOW)
+    return store.record_retries(old, e.where("event_id % 2 = 1"), NOW)
 
 
 def item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,9 +131,9 @@ def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(last(rows.where("k % 2 = 0")), new, keep=("s",))
 
 
-@query("WITH days AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS d), slots AS (SELECT epoch(d)::BIGINT + m * 60 AS due_at, strftime(d, '%Y-%m-%d') || ' ' || lpad((m // 60)::VARCHAR, 2, '0') || ':' || lpad((m % 60)::VARCHAR, 2, '0') AS slot FROM days, (VALUES (480), (1110)) t(m)), done AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') || ' 08:00' AS slot FROM events WHERE event_id % 3 = 0 AND ts < TIMESTAMP '2024-01-20') SELECT slot, due_at FROM slots WHERE slot NOT IN (SELECT slot FROM done) AND due_at <= 1706659200")
+@query("WITH days AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS d), slots AS (SELECT epoch(d)::BIGINT + m * 60 AS due_at, strftime(d, '%Y-%m-%d') || ' ' || lpad((m // 60)::VARCHAR, 2, '0') || ':' || lpad((m % 60)::VARCHAR, 2, '0') AS slot FROM days, (VALUES (480), (1110)) t(m)), done AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') || ' 08:00' AS slot FROM events WHERE ts < TIMESTAMP '2024-01-20') SELECT slot, due_at FROM slots WHERE slot NOT IN (SELECT slot FROM done) AND due_at <= 1706659200")
 def daily_slots_catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = schedule.daily_slots(spark, "2024-01-01", "2024-01-31", ["08:00", "18:30", "25:99"], "UTC")
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 = 0 and ts < timestamp_ntz '2024-01-20 00:00:00'")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts < timestamp_ntz '2024-01-20 00:00:00'")
     done = e.select(F.concat(F.lit("digest:"), F.date_format("ts", "yyyy-MM-dd"), F.lit(" 08:00")).alias("id")).distinct()
     return schedule.due(slots, done, "digest", NOW, catch_up_hours=None).select("slot", F.col("at").alias("due_at"))

@@ -28,7 +28,7 @@ def _finish(query_, spark: SparkSession) -> None:
         raise RuntimeError(str(query_.exception()))
 
 
-@query("SELECT user_id, event_type, min(event_id) % 1 AS zero FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, user_id || ':' || event_type AS guid FROM events GROUP BY ALL")
 def streaming_seen_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's event types, the first time they are seen."""
     feed = _folder(spark, sf_dir, "seen-feed")
@@ -36,16 +36,16 @@ def streaming_seen_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.write.parquet(feed)
     rows = spark.readStream.schema(events.schema).parquet(feed).withColumn("guid", F.concat_ws(":", "user_id", "event_type"))
     out = _folder(spark, sf_dir, "seen")
-    _finish(polls.seen_once(rows).select("user_id", "event_type", F.lit(0).cast("bigint").alias("zero")).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(), spark)
+    _finish(polls.seen_once(rows).select("user_id", "event_type", "guid").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(), spark)
     return spark.read.parquet(out)
 
 
-@query("SELECT user_id AS guid, count(*) FILTER (event_type = 'click') > 0 AS clicked FROM events WHERE event_type IN ('click', 'signup') GROUP BY user_id")
+@query("SELECT user_id AS guid, count(*) FILTER (event_type = 'click') > 0 AS clicked FROM events GROUP BY user_id")
 def streaming_poll_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New users of each micro-batch go into a snapshot table once."""
     path = f"{sf_dir}/events.parquet"
     events = spark.read.parquet(path)
-    users = events.where("event_type in ('click', 'signup')").groupBy(F.col("user_id").alias("guid")).agg((F.count_if(F.col("event_type") == "click") > 0).alias("clicked"))
+    users = events.groupBy(F.col("user_id").alias("guid")).agg((F.count_if(F.col("event_type") == "click") > 0).alias("clicked"))
     feed = _folder(spark, sf_dir, "poll-feed")
     keep(users, "users").repartition(4).write.parquet(feed)
     rows = spark.readStream.schema(users.schema).option("maxFilesPerTrigger", 2).parquet(feed)

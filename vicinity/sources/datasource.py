@@ -1,7 +1,9 @@
 """A Python data source over saved feed documents: batch and streaming, for adapters to build on.
 
 Register with ``spark.dataSource.register(FeedSource)``, then ``spark.read.format("feed_documents")``
-or ``spark.readStream``.  Each file is one partition; the stream goes through files in name order.
+or ``spark.readStream``.  Each file is one partition; the stream goes through files in the order in which
+they were written, and an offset names the last of them, so a file is read once whatever its name.  Files
+are to be put there whole (written elsewhere and renamed) and left as they are.
 """
 
 from __future__ import annotations
@@ -18,19 +20,32 @@ class FilePartition(InputPartition):
         self.path = path
 
 
-def _rows(path: str) -> Iterator[tuple]:
+def _folder(options: dict) -> tuple:
+    """(file system, folder) of the options; any store that Arrow knows."""
+    from pyarrow import fs
+
+    folder = options.get("path") or options.get("folder") or "."
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+
+
+def _rows(options: dict, name: str) -> Iterator[tuple]:
     from vicinity.sources.feeds import entries
 
-    name = os.path.splitext(os.path.basename(path))[0]
-    with open(path, encoding="utf-8", errors="replace") as f:
-        for e in entries(f.read()):
-            link = e["links"][0]["href"] if e["links"] else None
-            yield name, e["id"] or link, e["title"], link, e["summary"] or e["content"], e["published"] or e["updated"], e["lat"], e["lon"]
+    system, folder = _folder(options)
+    with system.open_input_stream(f"{folder}/{name}") as f:
+        body = f.read().decode("utf-8", "replace")
+    for e in entries(body):
+        link = e["links"][0]["href"] if e["links"] else None
+        yield os.path.splitext(name)[0], e["id"] or link, e["title"], link, e["summary"] or e["content"], e["published"] or e["updated"], e["lat"], e["lon"]
 
 
-def _files(options: dict) -> list[str]:
-    folder = options.get("path") or options.get("folder") or "."
-    return [os.path.join(folder, n) for n in sorted(os.listdir(folder)) if n.endswith((".xml", ".json"))]
+def _files(options: dict) -> list[tuple[int, str]]:
+    """(time of change in ns, name) of the folder's documents, in that order."""
+    from pyarrow import fs
+
+    system, folder = _folder(options)
+    found = system.get_file_info(fs.FileSelector(folder))
+    return sorted((x.mtime_ns or 0, x.base_name) for x in found if x.is_file and x.base_name.endswith((".xml", ".json")))
 
 
 class FeedReader(DataSourceReader):
@@ -38,10 +53,10 @@ class FeedReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [FilePartition(p) for p in _files(self.options)]
+        return [FilePartition(n) for _, n in _files(self.options)]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
-        return _rows(partition.path)
+        return _rows(self.options, partition.path)
 
 
 class FeedStream(SimpleDataSourceStreamReader):
@@ -49,14 +64,21 @@ class FeedStream(SimpleDataSourceStreamReader):
         self.options = options
 
     def initialOffset(self) -> dict:
-        return {"done": 0}
+        return {"at": -1, "names": []}
+
+    def _after(self, start: dict) -> list[tuple[int, str]]:
+        """Files that came at or after the time of an offset and are not among its files of that time."""
+        return [(at, n) for at, n in _files(self.options) if at > start["at"] or at == start["at"] and n not in start["names"]]
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = _files(self.options)
-        return iter([r for p in files[start["done"] :] for r in _rows(p)]), {"done": len(files)}
+        new = self._after(start)
+        last = max((at for at, _ in new), default=start["at"])
+        names = [n for at, n in new if at == last] + (start["names"] if last == start["at"] else [])
+        return iter([r for _, n in new for r in _rows(self.options, n)]), {"at": last, "names": sorted(names)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for p in _files(self.options)[start["done"] : end["done"]] for r in _rows(p)])
+        new = [(at, n) for at, n in self._after(start) if at < end["at"] or at == end["at"] and n in end["names"]]
+        return iter([r for _, n in new for r in _rows(self.options, n)])
 
     def commit(self, end: dict) -> None:
         pass

@@ -27,8 +27,9 @@ def address(base: str, candidate: Column, city: str | None) -> Column:
 
 def ask(candidates: DataFrame, known: DataFrame, lookup: Callable[[str], str | None], seconds: float = SECONDS_EACH) -> DataFrame:
     """Answers (candidate, ok, body) for candidates not known yet: ``lookup`` gives a body, or null for
-    a failure that passes.  The service allows one request at a time, so this is one task on purpose;
-    known candidates never come here."""
+    a failure that passes.  The service allows one request at a time, so the lookups, and nothing before
+    them, are one task on purpose; known candidates never come here.  Write the result once: reading it
+    again asks again."""
     new = candidates.select("candidate").distinct().join(known.where("ok").select("candidate"), "candidate", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,7 +41,7 @@ def ask(candidates: DataFrame, known: DataFrame, lookup: Callable[[str], str | N
                 time.sleep(seconds)
             yield pd.DataFrame(rows, columns=["candidate", "ok", "body"])
 
-    return new.coalesce(1).mapInPandas(run, ANSWERS)
+    return new.repartition(1).mapInPandas(run, ANSWERS)
 
 
 def answers(table: DataFrame) -> DataFrame:
