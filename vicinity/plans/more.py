@@ -187,14 +187,21 @@ _ROUND = FilterConfig(area=plan_items.CONFIG.area, places=plan_items.CONFIG.plac
 
 @query()
 def poll_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A round over documents and an item for each page: sources, pages, evidence but geocoded, outcome."""
+    """A round over documents and an item for each page: seen items, sources, pages, all evidence, failed
+    lookups, last attempts, outcome."""
     n = F.col("doc_id")
-    docs = items(spark, sf_dir).select(n.cast("string").alias("guid"), "title", F.when(n % 5 == 0, F.concat(F.lit("p"), (n % 300).cast("string"))).alias("link"), F.lit(None).cast("string").alias("description"), F.when(n % 5 != 0, F.col("text")).alias("article_text"), "source_name", (F.lit(NOW) - n * 420).alias("published_at"), F.when(n % 9 == 0, F.lit(52.52)).alias("lat"), F.when(n % 9 == 0, F.lit(13.47)).alias("lon"), F.lit(None).cast("string").alias("district"))
+    docs = items(spark, sf_dir).select(n.cast("string").alias("guid"), "title", F.when(n % 5 == 0, F.concat(F.lit("p"), (n % 300).cast("string"))).alias("link"), F.when(n % 4 == 1, F.concat(F.lit("Brand in der Hofstraße "), (n % 50).cast("string"))).alias("description"), F.when(n % 5 != 0, F.col("text")).alias("article_text"), "source_name", (F.lit(NOW) - n * 420).alias("published_at"), F.when(n % 9 == 0, F.lit(52.52)).alias("lat"), F.when(n % 9 == 0, F.lit(13.47)).alias("lon"), F.lit(None).cast("string").alias("district"))
     n = F.col("page_id")
     linked = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), n.cast("string")).alias("guid"), F.col("url").alias("title"), F.concat(F.lit("p"), n.cast("string")).alias("link"), F.lit("pages").alias("source_name"), (F.lit(NOW) - n * 420).alias("published_at"))
     docs = docs.unionByName(linked, allowMissingColumns=True)
     names = docs.select(F.col("source_name").alias("name")).distinct().select("name", F.lit(96).cast("bigint").alias("max_age_hours"), (F.col("name") != "src3").alias("filter"), F.when(F.col("name") == "src4", F.lit(900.0)).alias("base_implied_meters"), F.lit(None).cast("array<string>").alias("required"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("url"), "html")
-    none = lambda schema: spark.createDataFrame([], schema)
-    done = enrich.poll_round(keep(docs, "docs"), none("guid string"), none("guid string, attempts int"), names, pages, none(f"candidate string, pos int, lat double, lon double, display_name string, suburb string, borough string, shape {geo.PATHS}"), none("candidate string"), _ROUND, plan_items.REF, NOW)
+    docs = keep(docs, "docs")
+    stored = docs.where(F.try_to_number("guid", F.lit("999999999999")) % 11 == 3).select("guid")
+    retries = docs.where("guid like 'p%7'").select("guid", F.lit(routing.MAX_ATTEMPTS).alias("attempts"))
+    # answers for house numbers below 40, further away each; lookups of the others failed
+    k, name = F.col("id"), F.concat(F.lit("Hofstraße "), F.col("id").cast("string"))
+    hits = spark.range(40).select(name.alias("candidate"), F.lit(0).alias("pos"), (F.lit(plan_items.REF[0]) + k / 1000).alias("lat"), F.lit(plan_items.REF[1]).alias("lon"), F.concat(F.lit("Hofstraße, Teil "), k.cast("string")).alias("display_name"), F.lit(None).cast("string").alias("suburb"), F.lit(None).cast("string").alias("borough"), F.array().cast(geo.PATHS).alias("shape"))
+    failed = spark.range(40, 50).select(name.alias("candidate"))
+    done = enrich.poll_round(docs, stored, retries, names, pages, hits, failed, _ROUND, plan_items.REF, NOW)
     return done.select("guid", "outcome", "reason", "score", "location_label")
