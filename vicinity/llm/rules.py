@@ -200,8 +200,8 @@ def statistics_sql(table: str = "documents") -> str:
     texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {table}),
     worded AS (SELECT *, list_filter(regexp_split_to_array(t, '[{blanks}]+'), lambda x: x <> '') AS w,
                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{blanks}]')) AS l FROM texts),
-    spots AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM worded WHERE len(w) > 2),
-    windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM spots),
+    spots AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS v FROM worded WHERE len(w) > 2),
+    windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, v) AS n FROM spots),
     repeated AS (SELECT rid, count(DISTINCT i + k) AS n FROM windows, range(3) AS r(k) WHERE n > 1 GROUP BY rid),
     counted AS (SELECT worded.rid, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[{blanks}]', '', 'g'))::BIGINT AS word_chars,
                 (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
