@@ -89,3 +89,41 @@ def test_finer_sketches_of_similar_sets_are_near():
         assert (similar.finer(a) == similar.finer(a[::-1])).all()
     far = rng.integers(0, 2**64, (2, 500), np.uint64)
     assert _unlike(*far) > 900
+
+
+def _prints_of(text):
+    hashes = similar.shingles(text)
+    return [f & (2**64 - 1) for f in similar.fingerprints(hashes)]
+
+
+def test_fingerprints_are_looked_up_by_their_segments(spark):
+    rng = random.Random(6)
+    long = [[f"w{rng.randint(0, 9000)}" for _ in range(900)] for _ in range(5)]
+    texts = [" ".join([*w[:k], "other", *w[k + 1 :]]) for w in long for k in range(0, 900, 100)] + [" ".join(w) for w in long] + _texts(5, 100)
+    prints = {i: _prints_of(t) for i, t in enumerate(texts)}
+    assert all(p[0] == similar.fingerprint_of(similar.shingles(t)) & (2**64 - 1) and p[0] != p[1] for p, t in zip(prints.values(), texts, strict=True))
+    nodes = spark.createDataFrame([(i, [f - 2**64 if f >> 63 else f for f in p]) for i, p in prints.items()], "id long, fps array<long>")
+    got = [(r["a"], r["b"]) for r in similar.near_prints(nodes).collect()]
+    near = lambda a, b: any((x ^ y).bit_count() <= 3 for x in prints[a] for y in prints[b])
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+
+    def classes(pairs):
+        label = list(range(len(texts)))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i in range(len(texts)) if label[i] == x) for x in set(label)}
+
+    assert classes(got) == classes([(a, b) for b in prints for a in range(b) if near(a, b)])
+    assert len(classes(got)) < len(texts) - 30
+
+
+def test_the_stage_takes_links_from_fingerprints_and_checks_them(spark, monkeypatch):
+    rng, bands = random.Random(8), similar.sharing
+    long = [f"w{rng.randint(0, 9000)}" for _ in range(1500)]
+    texts = [" ".join(long), " ".join([*long[:700], "other", *long[701:]]), " ".join(long[::-1]), "a b", None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert min((x ^ y).bit_count() for x, y in zip(*map(_prints_of, texts[:2]), strict=True)) <= 3
+    monkeypatch.setattr(similar, "sharing", lambda nodes: bands(nodes).where("false"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3, 4]
+    monkeypatch.setattr(similar, "near_prints", lambda nodes: nodes.selectExpr("id a", "id b").crossJoin(nodes.selectExpr("id c")).where("a < c").selectExpr("a", "c b"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3, 4]

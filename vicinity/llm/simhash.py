@@ -64,6 +64,14 @@ def fingerprint(text: str | None, words_each: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles whose hashes are at hand, as a signed 64-bit integer."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _RUN):
+        counts += _bit_counts(hashes[at : at + _RUN])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint_column(text: str, words_each: int = 3):
     """A column with the fingerprint of the string column ``text``."""
 

@@ -1,16 +1,20 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, every link checked exactly.
+"""Near-duplicates by multi-index SimHash, every link checked exactly on word shingles.
 
 Two texts are linked if the sets of their five-word shingles have a similarity of 0.8 or more.
-Candidates share one of 32 bands of four min-hashes: a pair at 0.8 shares none with a probability of
-5e-8, a closer pair with less.  What they share is only where to look: each link has been checked on
-the whole sets of both texts.
+Each set has ``PRINTS`` independent SimHash fingerprints, and ``simhash.links`` looks all of them up by
+their segments: who is within three bits in one of them is checked on the whole sets of both texts.
+
+Most pairs at 0.8 are further apart than three bits (some ten of 64), so what the fingerprints have
+linked is where the search for the rest starts: candidates share one of 32 bands of four min-hashes.  A
+pair at 0.8 shares none with a probability of 5e-8, a closer pair with less.  What they share is only
+where to look: these links are checked on the whole sets, too.
 
 A sketch of two bits of each min-hash goes along.  Whoever meets in a band is compared by sketch within
 the join, and only pairs with at most ``APART`` of 128 places unlike go on to be checked (one at 0.8 has
 more with a probability of some 1e-6); texts that only share a passage end here.
 
-Pairs within a group that is linked already say nothing new, so each value of a band first compares its
-texts with a few of them, twice.  Only texts not linked by then are compared pair by pair, and those get
+Pairs within a group that is linked already, by fingerprints or bands, say nothing new, so each value of
+a band first compares its texts with a few of them, twice.  Only texts not linked by then are compared pair by pair, and those get
 a finer sketch first, a bit of each of ``FINE`` more min-hashes: pairs below some 0.73 end within the
 join (one at 0.8 has more than ``FINE_APART`` bits unlike with a probability of some 1e-6), and others
 leave it once, at the least value they share.  A value that still has many texts is dealt over tasks,
@@ -30,11 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from vicinity.llm.common import bounded_batches, fresh, save
+from vicinity.llm.common import bounded_batches, discard_saved, fresh, save
 from vicinity.llm.components import components
+from vicinity.llm.simhash import fingerprint_of
+from vicinity.llm.simhash import links as fingerprint_links
 
 WORDS = 5
 SEED = 42
+#: Independent fingerprints of a set.
+PRINTS = 2
 BANDS, ROWS = 32, 4
 #: Places of 128 in which the sketches of a pair may differ.
 APART = 40
@@ -75,6 +83,16 @@ def finer(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((mixed >> np.uint64(40)).astype(np.uint8) & 1).view(np.int64)
 
 
+def fingerprints(hashes: np.ndarray) -> list[int]:
+    """``PRINTS`` fingerprints of a set: the first of the hashes, the next of hashes mixed once more."""
+    out = []
+    for _ in range(PRINTS):
+        out.append(fingerprint_of(hashes))
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * _MIX
+        hashes = hashes ^ (hashes >> np.uint64(29))
+    return out
+
+
 def bands(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One 64-bit value for each band, the number of the band in it; and the sketch, four 64-bit words."""
     least = minima(hashes, _FLIPS, _FACTORS)
@@ -96,14 +114,14 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 def _prints(text: str):
     bounded_batches(SparkSession.getActiveSession())
 
-    @F.pandas_udf("id long, n int, keys array<long>, sketch array<long>")
+    @F.pandas_udf("id long, n int, fps array<long>, keys array<long>, sketch array<long>")
     def prints(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for x in texts:
             s = shingles(x)
             keys, sketch = bands(s)
-            rows.append((np.uint64(xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64), len(s), keys.view(np.int64), sketch.view(np.int64)))
-        return pd.DataFrame(rows, columns=["id", "n", "keys", "sketch"])
+            rows.append((np.uint64(xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64), len(s), fingerprints(s), keys.view(np.int64), sketch.view(np.int64)))
+        return pd.DataFrame(rows, columns=["id", "n", "fps", "keys", "sketch"])
 
     return prints(F.col(text))
 
@@ -123,11 +141,31 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links whose components are those of all similar pairs that share a key of
-    ``members`` (key, id, n, s0 to s3); ``sets`` has (id, set) for each of them."""
+def near_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``nodes.id`` to be checked, whose components are those of all pairs that are
+    within three bits in one of their fingerprints ``fps``.  Of ids with one fingerprint the least
+    stands for the others; it meets each of them."""
+    held = save(nodes.select("id", F.explode("fps").alias("fp")).distinct(), "held")
+    first = save(held.groupBy("fp").agg(F.min("id").alias("first")), "first")
+    x, y = (first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    met = fingerprint_links(first.select("fp")).join(x, "a").join(y, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    equal = held.join(first, "fp").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    pairs = met.unionByName(equal).where("a <> b")
+    return save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+
+
+def sharing(nodes: DataFrame) -> DataFrame:
+    """(id, n, s0 to s3, key): ``nodes`` with each of their bands that another one has, too."""
+    keys = nodes.select("id", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(4)], F.explode("keys").alias("key"))
+    shared = save(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "shared")
+    return save(keys.join(shared, "key", "left_semi"), "members")
+
+
+def _links(near: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links whose components are those of all similar pairs that are in ``near`` (a, b) or share
+    a key of ``members`` (key, id, n, s0 to s3), which is deleted; ``sets`` has (id, set) for each of them."""
     unlike = lambda i: F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"h{i}")).bitwiseOR(F.col(f"s{i + 2}").bitwiseXOR(F.col(f"h{i + 2}"))))
-    near = unlike(0) + unlike(1) <= APART
+    close = unlike(0) + unlike(1) <= APART
     words = [f"s{i}" for i in range(4)]
     size = lambda x, y: (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
 
@@ -141,19 +179,28 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     def met(pairs: DataFrame) -> DataFrame:
         return checked(pairs.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct())
 
-    members, found = members.withColumn("root", F.col("id")), None
-    for turn in range(2):
-        hubs = F.array_distinct(F.array(*[F.min_by(F.struct("id", "n", "root", *words), F.xxhash64("id", F.lit(HUBS * turn + k))) for k in range(HUBS)]))
-        hub = members.groupBy("key").agg(hubs.alias("hubs")).select("key", F.explode("hubs").alias("h")).select("key", "h.*")
-        links = met(members.join(other(hub), "key").where((F.col("root") != F.col("hroot")) & size("n", "hn") & near))
-        found = links if found is None else found.unionByName(links)
+    def open_values(members: DataFrame) -> DataFrame:
+        """The rows of ``members``, which is deleted, with their root so far, of keys that have several roots."""
         roots = components(found, "a", "b").withColumnRenamed("node", "id").withColumnRenamed("root", "top")
         rooted = members.select("key", "id", "n", *words).join(roots, "id", "left").select("key", "id", "n", *words, F.coalesce("top", "id").alias("root"))
         rooted = save(rooted, "rooted")
+        discard_saved(members)
         several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / PART).cast("int").alias("ways")).where("low <> high").select("key", "ways")
-        members = save(rooted.join(several, "key"), "members")
+        left = save(rooted.join(several, "key"), "members")
+        discard_saved(rooted)
+        return left
+
+    found = checked(near)
+    members = open_values(members)
+    for turn in range(2):
         if members.isEmpty():
             return found
+        hubs = F.array_distinct(F.array(*[F.min_by(F.struct("id", "n", "root", *words), F.xxhash64("id", F.lit(HUBS * turn + k))) for k in range(HUBS)]))
+        hub = members.groupBy("key").agg(hubs.alias("hubs")).select("key", F.explode("hubs").alias("h")).select("key", "h.*")
+        found = found.unionByName(met(members.join(other(hub), "key").where((F.col("root") != F.col("hroot")) & size("n", "hn") & close)))
+        members = open_values(members)
+    if members.isEmpty():
+        return found
     own = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS at most
     fine = save(own.join(sets, "id").select("id", "keys", _finer("set").alias("fine")), "fine")
     members = save(members.join(fine, "id"), "members")
@@ -161,7 +208,7 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     right = other(members, F.col("keys").alias("hkeys"), F.col("fine").alias("hfine"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("part"))
     apart = F.aggregate(F.zip_with("fine", "hfine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     once = F.col("key") == F.array_min(F.array_intersect("keys", "hkeys"))
-    return found.unionByName(met(left.join(right, ["key", "part"]).where((F.col("root") < F.col("hroot")) & size("n", "hn") & near & (apart <= FINE_APART) & once)))
+    return found.unionByName(met(left.join(right, ["key", "part"]).where((F.col("root") < F.col("hroot")) & size("n", "hn") & close & (apart <= FINE_APART) & once)))
 
 
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,14 +217,13 @@ def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     uid, node = fresh(docs, "uid", "node")
     kept = save(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(node, _prints(text)), "kept")
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(uid).alias("uid"))
-    nodes = save(kept.groupBy(F.col(f"{node}.id").alias("id")).agg(F.min(order).alias("first"), F.any_value(f"{node}.n").alias("n"), F.any_value(f"{node}.keys").alias("keys"), F.any_value(f"{node}.sketch").alias("sketch")), "nodes")
-    keys = nodes.select("id", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(4)], F.explode("keys").alias("key"))
-    shared = save(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "shared")
-    members = save(keys.join(shared, "key", "left_semi"), "members")
+    nodes = save(kept.groupBy(F.col(f"{node}.id").alias("id")).agg(F.min(order).alias("first"), F.any_value(f"{node}.n").alias("n"), F.any_value(f"{node}.fps").alias("fps"), F.any_value(f"{node}.keys").alias("keys"), F.any_value(f"{node}.sketch").alias("sketch")), "nodes")
+    near, members = near_prints(nodes), sharing(nodes)
     firsts = nodes.select("id", "first")
-    if not members.isEmpty():
-        asked = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("first.uid").alias(uid))
+    if not (near.isEmpty() and members.isEmpty()):
+        either = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
+        asked = nodes.join(either, "id", "left_semi").select("id", F.col("first.uid").alias(uid))
         sets = save(kept.select(uid, F.col(text).alias("body")).join(asked, uid).select("id", _sets("body").alias("set")), "sets")
-        roots = components(_links(members, sets), "a", "b").withColumnRenamed("node", "id")
+        roots = components(_links(near, members, sets), "a", "b").withColumnRenamed("node", "id")
         firsts = firsts.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("id")).agg(F.min("first").alias("first"))
     return kept.join(firsts.select(F.col("first.uid").alias(uid)), uid, "left_semi").drop(uid, node)
