@@ -204,3 +204,19 @@ def test_equal_rows_are_spread_over_files(spark):
 def test_folders_are_found_in_any_writing(tmp_path, uri):
     system, path = idplanes._filesystem(uri.format(tmp_path))
     assert path == str(tmp_path) and system.type_name == "local"
+
+
+def test_runs_of_marks_behind_words_are_taken_apart(monkeypatch):
+    import string
+
+    rng, own, library, seen = random.Random(2), Encoder(WORDS), Tokenizer.from_file(WORDS), []
+    whole = own._encode_rest
+    monkeypatch.setattr(own, "_encode_rest", lambda units: seen.extend(units) or whole(units))
+    marks = [a + b for a in ["", *string.punctuation] for b in string.punctuation] + ["".join(rng.choices(string.punctuation, k=rng.randint(3, 9))) for _ in range(500)]
+    units = [rng.choice(["word", "Adoci\u00f3nes", "\u00dfen", "S", "t", "x" * 70, "\u00c9t\u00c9", "1a", "a1", "\u65e5", ""]) + m for m in marks for _ in range(3)]
+    texts = [" ".join(units[i : i + 7]) for i in range(0, len(units), 7)] + units
+    for part in (texts, texts[::-1]):
+        for text, ids in zip(part, own.ids_bytes_many(part), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    plain = [u for u in seen if u.decode()[:1].isalpha() and u.decode().rstrip(string.punctuation).isalpha() and max(u.decode()) <= "\u00ff"]
+    assert seen and plain and all(b"'" in u or b"<" in u for u in plain)

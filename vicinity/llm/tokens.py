@@ -12,8 +12,8 @@ import gc
 import json
 import os
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,9 @@ OVERHEAD = 140
 AT_ONCE = 10_000
 #: A number sign: between other characters it is a pre-token, and a token, of its own.
 BETWEEN = "\u00bd"
-#: Marks that are a pre-token, and tokens, of their own behind a letter.
-ENDS = b".,;:!?"
+#: Marks of which a run behind a letter is a pre-token, and tokens, of its own: all of ASCII but the one that
+#: starts suffixes and the one that special strings have.
+ENDS = b".,;:!?#*$%&|>()[]{}+-=/~^@_\"\\`"
 #: Longer units are encoded each time.
 LONGEST = 64
 
@@ -64,18 +65,12 @@ class Encoder:
             self.splits = splits_at_space(json.load(f))
         self.lowers = self.splits and any(x == "Lowercase" for x in self.steps(json.loads(self.library.to_str())))
         if self.splits:
-            from tokenizers import normalizers, pre_tokenizers
-
             marks = self.library.encode(BETWEEN, add_special_tokens=False).ids
             self.splits, self.mark = len(marks) == 1, marks[0]
-            self.ends = {bytes([c]): self._raw(chr(c)) for c in ENDS}
-            self.model = Tokenizer.from_file(path)
-            self.model.normalizer = normalizers.Sequence([])
-            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.ends: dict[bytes, bytes] = {}
+            self.model = self.library.model
+            self.model._resize_cache(0)  # no unit comes twice
             self.symbols = dict(enumerate(byte_symbols())) | {ord(" "): " "}
-            vocab = self.library.get_vocab(with_added_tokens=True)
-            self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.new: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
         self.held = 0
@@ -106,9 +101,18 @@ class Encoder:
             if collects:
                 gc.enable()
 
-    def _keep(self, ids: dict[bytes, bytes]) -> None:
-        self.new.update(ids)
-        self.held += OVERHEAD * len(ids) + sum(map(len, ids)) + sum(map(len, ids.values()))
+    def _keep(self, units: list[bytes], ids: list[bytes]) -> None:
+        self.new.update(zip(units, ids, strict=True))
+        self.held += OVERHEAD * len(units) + sum(map(len, units)) + sum(map(len, ids))
+
+    def _end(self, marks: bytes) -> bytes:
+        """The ids of a run of marks behind a letter; of short runs, of which there are few, remembered."""
+        ids = self.ends.get(marks)
+        if ids is None:
+            ids = self._raw(marks.decode())
+            if len(marks) < 4 and len(self.ends) < AT_ONCE:
+                self.ends[marks] = ids
+        return ids
 
     def _remembered(self, texts: list[str | None]) -> list[bytes]:
         """Splits the texts into units, looks each distinct one up once, and puts the ids together."""
@@ -116,71 +120,84 @@ class Encoder:
             return []
         split = pc.ascii_split_whitespace(pa.array(map(self._plain, texts), pa.binary()).view(pa.string()))
         coded, cuts = split.values.dictionary_encode(), split.offsets.to_numpy()
+        if not len(coded):
+            return [b""] * len(texts)
         found = self._lookup(coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist())
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        at, data = coded.indices.to_numpy(), np.frombuffer(b"".join(found), "<u4")
-        each = lengths[at]
-        ends = np.append(0, np.cumsum(each))
-        out = data[np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
-        stops = (4 * ends[cuts]).tolist()
-        return [out[x:y] for x, y in zip(stops[:-1], stops[1:], strict=True)]
+        whole = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, ends, data = whole.buffers()
+        stops, out = np.frombuffer(ends, np.int64, len(whole) + 1)[cuts].tolist(), memoryview(data or b"")
+        return [bytes(out[x:y]) for x, y in zip(stops[:-1], stops[1:], strict=True)]
 
     def _lookup(self, units: list[bytes]) -> list[bytes]:
         """The ids of distinct units."""
         if self.held > REMEMBERED_BYTES:  # units that are met again move on to the next memory
             self.old, self.new, self.held = self.new, {b"": b""}, 0
         new, old = self.new, self.old
-        missing = [u for u in units if u not in new]
+        found = list(map(new.get, units))
+        missing = [u for u, ids in zip(units, found, strict=True) if ids is None]
+        if not missing:
+            return found
         if old:
-            self._keep({u: old[u] for u in missing if u in old})
-            missing = [u for u in missing if u not in new]
-        words, ended, rest = self._kinds(missing)
-        words = [w for w in {*words, *(u[:-1] for u in ended)} if w not in new]
-        self._keep(dict(self._encode_words(words)))
-        self._keep({u: new[u[:-1]] + self.ends[u[-1:]] for u in ended})
-        self._keep(dict(self._encode_rest(rest)))
-        found = list(map(new.__getitem__, units))
+            again = list(map(old.get, missing))
+            self._keep([u for u, ids in zip(missing, again, strict=True) if ids is not None], [ids for ids in again if ids is not None])
+            missing = [u for u, ids in zip(missing, again, strict=True) if ids is None]
+        words, ended, bodies, rest = self._kinds(missing)
+        words = [w for w in {*words, *bodies} if w not in new]
+        self._keep(words, self._encode_words(words))
+        self._keep(ended, [new[w] + self._end(u[len(w) :]) for u, w in zip(ended, bodies, strict=True)])
+        self._keep(rest, self._encode_rest(rest))
+        found = [new[u] if ids is None else ids for u, ids in zip(units, found, strict=True)]
         for u in [u for u in {*missing, *words} if len(u) > LONGEST]:
             self.held -= OVERHEAD + len(u) + len(new.pop(u))
         return found
 
-    def _kinds(self, units: list[bytes]) -> tuple[list[bytes], list[bytes], list[bytes]]:
-        """Units of Latin-1 letters only, such units with one mark behind, and all others."""
-        words, ended, rest = [], [], []
+    def _kinds(self, units: list[bytes]) -> tuple[list[bytes], list[bytes], list[bytes], list[bytes]]:
+        """Units of Latin-1 letters only, such units with marks behind, these without their marks, and
+        all others."""
+        words, ended, bodies, rest = [], [], [], []
         for u in units:
-            kind, body = (ended, u[:-1]) if u[-1] in ENDS else (words, u)
+            body = u.rstrip(ENDS)
             if not body.isalpha():  # bytes: ASCII letters only
                 s = body.decode("utf-8", "surrogatepass")
                 if not s.isalpha() or max(s) > "\u00ff":
-                    kind = rest
-            kind.append(u)
-        return words, ended, rest
-
-    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """The ids of units of Latin-1 letters, many in one call.  Each is a pre-token, which the
-        normalizer only lowers, so they go to the library's model without either, and end where a
-        token with the mark for a word's end is."""
+                    rest.append(u)
+                    continue
+            if len(body) == len(u):
+                words.append(u)
+            else:
+                ended.append(u)
+                bodies.append(body)
+        return words, ended, bodies, rest
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of units of Latin-1 letters.  Each is a pre-token, which the normalizer only lowers, so
+        they go to the library's model without either."""
+        tokenize, out = self.model.tokenize, []
         for at in range(0, len(words), AT_ONCE):
-            part = words[at : at + AT_ONCE]
-            text = b" ".join(part).decode("utf-8").lower() if self.lowers else b" ".join(part).decode("utf-8")
-            ids = np.array(self.model.encode_batch_fast([text.encode("utf-8").decode("latin-1").translate(self.symbols)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends_word[ids]) + 1
-            yield from self._cut(part, ids, stops - np.diff(stops, prepend=0), stops)
-
-    def _encode_rest(self, units: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+            text = b" ".join(words[at : at + AT_ONCE]).decode("utf-8")
+            text = text.lower() if self.lowers else text
+            if not text.isascii():
+                text = text.encode("utf-8").decode("latin-1").translate(self.symbols)
+            tokens = list(map(tokenize, text.split(" ")))
+            raw = array("I", [t.id for word in tokens for t in word]).tobytes()
+            stops = [0, *accumulate([4 * len(word) for word in tokens])]
+            out += [raw[a:b] for a, b in pairwise(stops)]
+        return out
+
+    def _encode_rest(self, units: list[bytes]) -> list[bytes]:
         """The ids of other units, through all of the library, with a number sign between them that is
         always a token of its own."""
+        out = []
         for at in range(0, len(units), AT_ONCE):
             part = units[at : at + AT_ONCE]
             ids = np.array(self.library.encode_batch_fast([BETWEEN.encode().join(part).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
             marks = np.flatnonzero(ids == self.mark)
-            yield from self._cut(part, ids, np.append(0, marks + 1), np.append(marks, len(ids)))
-
-    def _cut(self, units: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        if len(stops) != len(units):  # as where a unit has the number sign itself
-            return ((u, self._raw(u.decode("utf-8", "surrogatepass"))) for u in units)
-        raw = ids.tobytes()
-        return zip(units, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * stops).tolist(), strict=True)], strict=True)
+            if len(marks) != len(part) - 1:  # as where a unit has the number sign itself
+                out += [self._raw(u.decode("utf-8", "surrogatepass")) for u in part]
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(raw)], strict=True)]
+        return out
 
     def ids_bytes(self, text: str | None) -> bytes:
         return self.ids_bytes_many([text])[0]
@@ -212,7 +229,7 @@ def splits_at_space(config: dict) -> bool:
         and all(x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in norm.get("normalizers", []) if x.get("type") == "Replace")
         and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
         and first.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
-        and all(not any(c.isspace() for c in x["content"]) and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in config.get("added_tokens", []))
+        and all("<" in x["content"] and not any(c.isspace() for c in x["content"]) and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in config.get("added_tokens", []))
     )
 
 
