@@ -220,3 +220,16 @@ def test_runs_of_marks_behind_words_are_taken_apart(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
     plain = [u for u in seen if u.decode()[:1].isalpha() and u.decode().rstrip(string.punctuation).isalpha() and max(u.decode()) <= "\u00ff"]
     assert seen and plain and all(b"'" in u or b"<" in u for u in plain)
+
+
+def test_pieces_of_words_with_marks(spark):
+    texts, library, own = ["word### other$$$ Word!! été,### it's## " * 700, "word*** a", None], Tokenizer.from_file(WORDS), Encoder(WORDS)
+    own.ids_bytes_many(texts)
+    assert {b"word", b"other", "été".encode()} <= own.new.keys()  # remembered without their marks
+    want = Counter()
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+        want.update((i, at // 16384, zlib.crc32(ids[at : at + 16384])) for at in range(0, len(ids), 16384))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack_documents(docs, WORDS).collect()
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == want and len(want) > 3
