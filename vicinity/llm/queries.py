@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import htmltext, idplanes, matroska, mixing, packing, quality, rules, simhash, tokencount, urlfilter
+from vicinity.llm import htmltext, idplanes, matroska, mixing, packing, quality, rules, simhash, tokencount, urlfilter, whitening
 from vicinity.llm.common import documents, save
 from vicinity.llm.tokens import default_path
 
@@ -80,8 +80,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_matroska_media, op3_bit_plane_ids, op4_token_counts, op5_best_fit_packing, op6_url_filter, op7_quality_rules, op8_temperature_mixing, mix_to_entropy, op9_quality_classifier, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_matroska_media, op3_bit_plane_ids, op4_token_counts, op5_best_fit_packing, op6_url_filter, op7_quality_rules, op8_temperature_mixing, mix_to_entropy, op9_quality_classifier, op10_html_extraction, op13_embedding_whitening)}
 
 
 #: The tables that the SQL of ``op7`` learns its list from: those that it will run on.
