@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import save
+from vicinity.llm.common import discard_saved, save
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,10 +38,21 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[label[moved]]
 
 
+#: Links taken up at least before they are contracted.
+PENDING = 1 << 16
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contracts whenever as many links wait as the forest has, so the work follows the links' number."""
     a = b = np.empty(0, np.int64)
+    waiting, held = [], 0
     for batch in batches:
-        a, b = forest(*(np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate((a, b))))
+        waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)])
+        held += batch.num_rows
+        if held >= max(PENDING, len(a)):
+            a, b = forest(*(np.concatenate([x, *(w[i] for w in waiting)]) for i, x in enumerate((a, b))))
+            waiting, held = [], 0
+    a, b = forest(*(np.concatenate([x, *(w[i] for w in waiting)]) for i, x in enumerate((a, b))))
     for i in range(0, len(a), 1 << 16):
         yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], ["node", "root"])
 
@@ -69,4 +80,5 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         both = small.unionByName(small.select(F.col("root").alias("node"), F.col("node").alias("root")))
         low = both.groupBy("node").agg(F.least(F.col("node"), F.min("root")).alias("low"))
         large = both.where("root > node").join(low, "node").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
-        stars = save(_contracted(large), "stars")
+        before, stars = stars, save(_contracted(large), "stars")
+        discard_saved(before)
