@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import htmltext, idplanes, matroska, minhash, mixing, packing, quality, rules, simhash, tokencount, urlfilter, whitening
+from vicinity.llm import htmltext, idplanes, matroska, minhash, mixing, packing, quality, rules, simhash, tokencount, trie, urlfilter, whitening
 from vicinity.llm.common import documents, save
 from vicinity.llm.tokens import default_path
 
@@ -80,6 +80,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_patricia_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -89,7 +93,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_matroska_media, op3_bit_plane_ids, op4_token_counts, op5_best_fit_packing, op6_url_filter, op7_quality_rules, op8_temperature_mixing, mix_to_entropy, op9_quality_classifier, op10_html_extraction, op12_minhash_near_dedup, op13_embedding_whitening)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_matroska_media, op3_bit_plane_ids, op4_token_counts, op5_best_fit_packing, op6_url_filter, op7_quality_rules, op8_temperature_mixing, mix_to_entropy, op9_quality_classifier, op10_html_extraction, op11_patricia_trie, op12_minhash_near_dedup, op13_embedding_whitening)}
 
 
 #: The tables that the SQL of ``op7`` learns its list from: those that it will run on.
@@ -122,6 +126,7 @@ def oracle_sql() -> dict[str, str]:
     import os
 
     out = {
+        "op11_patricia_trie": trie.conversation_trie_sql(),
         "op12_minhash_near_dedup": minhash.near_duplicates_sql(),
         "op6_url_filter": urlfilter.judge_sql(URL_RULES, urlfilter.train(urlfilter.default_labelled())),
         "op8_temperature_mixing": mixing.mix_sql(),
