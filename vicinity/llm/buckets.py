@@ -56,11 +56,12 @@ def unlike(words: list[str]) -> Column:
     return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"h{w}"))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"h{words[0]}"))))
 
 
-def sharing(members: DataFrame) -> DataFrame:
-    """The rows of ``members`` (key, id, ...) whose key several ids have, saved."""
-    several = save(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "shared")
-    out = save(members.join(several, "key", "left_semi"), "members")
-    discard_saved(several)
+def sharing(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``keys`` (key, id) whose key several ids have, with the columns of ``nodes`` (id, ...), saved."""
+    several = save(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "shared")
+    pairs = save(keys.join(several, "key", "left_semi"), "shared-keys")
+    out = save(pairs.join(nodes, "id"), "members")
+    discard_saved(several, pairs)
     return out
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import repeat
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 #: A word is a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,3 +114,15 @@ def bounded_batches(spark: SparkSession) -> None:
         now = spark.conf.get(name, None)
         if now is None or not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, most)
+
+
+SHINGLE_SEED = 42
+
+
+def shingles(text: str | None, words_each: int) -> np.ndarray:
+    """The distinct XXH64 values of a text's shingles in rising order; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
+    if not words:
+        return np.empty(0, np.uint64)
+    each = map(b" ".join, zip(*(words[i:] for i in range(words_each)), strict=False)) if len(words) > words_each else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxh64_intdigest, each, repeat(SHINGLE_SEED)), np.uint64))

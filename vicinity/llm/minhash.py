@@ -18,17 +18,15 @@ with another one; one of fewer words than a shingle is one shingle.
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
 
 from vicinity.llm import buckets
-from vicinity.llm.common import bounded_batches, discard_saved, look_up, own_names, save
+from vicinity.llm.common import bounded_batches, discard_saved, look_up, own_names, save, shingles
 
 WORDS = 4
 SEED = 42
@@ -46,15 +44,6 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUN = 1 << 18
 
 
-def shingles(text: str | None, words_each: int = WORDS) -> np.ndarray:
-    """The distinct XXH64 values of a text's shingles in rising order; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    each = map(b" ".join, zip(*(words[i:] for i in range(words_each)), strict=False)) if len(words) > words_each else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxh64_intdigest, each, repeat(SEED)), np.uint64))
-
-
 def minima(hashes: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
     """The least value of a set under each function."""
     least, run = np.full(len(a), np.iinfo(np.uint64).max, np.uint64), max(1, _RUN // len(a))
@@ -134,7 +123,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         "nodes",
     )
     words = [f"s{i}" for i in range(4)]
-    members = buckets.sharing(nodes.select(F.explode("keys").alias("key"), "id", "n", *[F.get("words", F.lit(i)).alias(w) for i, w in enumerate(words)]))
+    members = buckets.sharing(nodes.select(F.explode("keys").alias("key"), "id"), nodes.select("id", "n", *[F.get("words", F.lit(i)).alias(w) for i, w in enumerate(words)]))
     firsts = nodes.select("id", "name", "copies", F.col("first").alias("least"))
     if not members.isEmpty():
         asked = members.select("id").distinct().join(nodes.select("id", "uid"), "id")

@@ -1,129 +1,92 @@
-"""Near-duplicates by multi-index SimHash, every link checked exactly on word shingles.
-
-Two texts are linked if the sets of their five-word shingles have a similarity of 0.8 or more.
-Each set has ``PRINTS`` independent SimHash fingerprints, and ``simhash.links`` looks all of them up by
-their segments: who is within three bits in one of them is checked on the whole sets of both texts.
-
-Most pairs at 0.8 are further apart than three bits (some ten of 64), so what the fingerprints have
-linked is where the search for the rest starts: candidates share one of 32 bands of four min-hashes.  A
-pair at 0.8 shares none with a probability of 5e-8, a closer pair with less.  What they share is only
-where to look: these links are checked on the whole sets, too.
-
-A sketch of two bits of each min-hash goes along.  Whoever meets in a band is compared by sketch within
-the join, and only pairs with at most ``APART`` of 128 places unlike go on to be checked (one at 0.8 has
-more with a probability of some 1e-6); texts that only share a passage end here.
-
-Pairs within a group that is linked already, by fingerprints or bands, say nothing new, so each value of
-a band first compares its texts with a few of them, twice.  Only texts not linked by then are compared pair by pair, and those get
-a finer sketch first, a bit of each of ``FINE`` more min-hashes: pairs below some 0.73 end within the
-join (one at 0.8 has more than ``FINE_APART`` bits unlike with a probability of some 1e-6), and others
-leave it once, at the least value they share.  A value that still has many texts is dealt over tasks,
-``PART`` texts of one side in each.
-
-Words are those of ``simhash``; a text of fewer than five words is one shingle, null is an empty text.
+"""SimHash near-duplicates with long fingerprints, every link checked exactly on word shingles.
+
+Two texts are linked if the sets of their five-word shingles have a similarity of 0.8 or more.  Some ten
+of 64 bits differ then, too many for a short fingerprint's small radius.  So the fingerprint of a set has
+``SEGMENTS`` segments of 32 bits, each bit a majority over hashes of its own, and texts are candidates if
+at least one of their segments is the same but for ``RADIUS`` bits.  At 0.8 that is so for a given
+segment with a probability of 0.117, for one of 32 with 0.98; at 0.85 with 0.998, at 0.9 with 0.99999.
+
+The index is looked up in two turns.  First the segments as they are: who shares one is compared, and what
+is linked is contracted.  Then the balls around them: a segment is cut into three pieces, one of which must
+be the same for two bits to differ at most, so all segments with one piece meet in a task, which finds the
+neighbours among its distinct values (2^22 at most).  Values all of whose texts are in one group already
+are not paired.  The texts of neighbouring values are compared like those of one.
+
+Compared means: the complete distance of the fingerprints within the join, a longer fingerprint where
+texts of several groups are left in a bucket, and then the whole sets (see :mod:`vicinity.llm.buckets`).
+Equal sets are one node, named by 128 bits.
+
+Nulls are empty texts; all empty texts are one group; a text of fewer than five words is one shingle.
+Repeated rows are copies of each other; an empty table gives an empty one; rows without a key are linked
+like others; columns may have the names of those that are made inside.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
+from vicinity.llm import buckets, common
 from vicinity.llm.common import bounded_batches, discard_saved, fresh, save
-from vicinity.llm.components import components
-from vicinity.llm.simhash import fingerprint_of
-from vicinity.llm.simhash import links as fingerprint_links
 
 WORDS = 5
-SEED = 42
-#: Independent fingerprints of a set.
-PRINTS = 2
-BANDS, ROWS = 32, 4
-#: Places of 128 in which the sketches of a pair may differ.
-APART = 40
-#: Texts of a band's value that all others are compared with, in each of two turns.
-HUBS = 2
-#: Bits of the finer sketch, and how many of a pair's may differ.
-FINE, FINE_APART = 2048, 270
-#: Texts of a band's value that one task compares with all others of it.
-PART = 1024
-
-_rng = np.random.default_rng(SEED)
-_FLIPS = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
-_FACTORS = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
+SEGMENTS, RADIUS = 32, 2
+#: First bits of the three pieces of a segment, and where the last one ends.
+PIECES = (0, 11, 22, 32)
+#: Bits of 1024 in which the fingerprints of a pair may differ: 0.152 of them are expected at 0.8, 0.188 for
+#: sets of a few shingles; these limits are 4.5 standard deviations above.
+APART, APART_SMALL, SMALL = 207, 249, 64
+#: The same for the longer fingerprint.
+FINE, FINE_APART, FINE_APART_SMALL = 4096, 724, 881
+#: Values that are compared one by one within a task.
+DIRECT = 1024
+#: Groups of so many values are compared together; rows that a task takes up at once.
+FEW, TAKEN = 48, 1 << 16
+
+_rng = np.random.default_rng(42)
+_FLIPS = _rng.integers(0, 2**64, max(SEGMENTS // 2, FINE // 64), np.uint64)
+_FACTORS = _rng.integers(0, 2**64, len(_FLIPS), np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_FINE_FLIPS = _rng.integers(0, 2**64, FINE, np.uint64)
-_FINE_FACTORS = _rng.integers(0, 2**64, FINE, np.uint64) | np.uint64(1)
-_RUN = 2048
+_LANES = np.uint64(0x0101010101010101)
+NAMES = [f"w{i}" for i in range(SEGMENTS // 2)]
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The distinct XXH64 values of a text's shingles in rising order."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    each = map(b" ".join, zip(*(words[i:] for i in range(WORDS)), strict=False)) if len(words) > WORDS else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxh64_intdigest, each, repeat(SEED)), np.uint64))
-
-
-def minima(hashes: np.ndarray, flips: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """The min-hash of a set for each flip and factor."""
-    least, run = np.full(len(flips), np.iinfo(np.uint64).max, np.uint64), _RUN * BANDS * ROWS // len(flips)
-    for at in range(0, len(hashes), run):
-        np.minimum(least, ((hashes[at : at + run, None] ^ flips) * factors).min(axis=0), out=least)
-    return least
-
+    """The distinct hashes of a text's shingles in rising order; an empty text has an empty shingle."""
+    found = common.shingles(text, WORDS)
+    return found if len(found) else np.array([xxh64_intdigest(b"", common.SHINGLE_SEED)], np.uint64)
 
-def finer(hashes: np.ndarray) -> np.ndarray:
-    """The finer sketch of a set: ``FINE`` bits in 64-bit words."""
-    mixed = minima(hashes, _FINE_FLIPS, _FINE_FACTORS) * _MIX
-    return np.packbits((mixed >> np.uint64(40)).astype(np.uint8) & 1).view(np.int64)
 
+def fingerprint(hashes: np.ndarray, bits: int = 32 * SEGMENTS) -> np.ndarray:
+    """The fingerprint of a set as signed 64-bit words, each of which has hashes of its own."""
+    flips, factors = _FLIPS[: bits // 64], _FACTORS[: bits // 64]
+    counts = np.zeros((len(flips), 8, 8), np.int64)  # word, byte, bit
+    for at in range(0, len(hashes), 255):  # eight byte-wide counters a word, emptied before they overflow
+        mixed = (hashes[at : at + 255, None] ^ flips) * factors
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+        for k in range(8):
+            counts[:, :, k] += ((mixed >> np.uint64(k)) & _LANES).sum(axis=0, dtype=np.uint64).view(np.uint8).reshape(-1, 8)
+    return np.packbits(2 * counts.reshape(-1) > len(hashes), bitorder="little").view(np.int64)
 
-def fingerprints(hashes: np.ndarray) -> list[int]:
-    """``PRINTS`` fingerprints of a set: the first of the hashes, the next of hashes mixed once more."""
-    out = []
-    for _ in range(PRINTS):
-        out.append(fingerprint_of(hashes))
-        hashes = (hashes ^ (hashes >> np.uint64(31))) * _MIX
-        hashes = hashes ^ (hashes >> np.uint64(29))
-    return out
 
-
-def bands(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One 64-bit value for each band, the number of the band in it; and the sketch, four 64-bit words."""
-    least = minima(hashes, _FLIPS, _FACTORS)
-    mixed = least * _MIX  # high bits of a minimum are mostly zero
-    sketch = np.concatenate([np.packbits((mixed >> np.uint64(k)).astype(np.uint8) & 1).view(np.uint64) for k in (40, 41)])
-    least, out = least.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        out = (out ^ least[:, k]) * _MIX
-        out ^= out >> np.uint64(29)
-    return out, sketch
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have a similarity of 0.8 or more, in whole numbers."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 9 * shared >= 4 * (len(a) + len(b))
-
-
-def _prints(text: str):
+def _made(text: str) -> Column:
     bounded_batches(SparkSession.getActiveSession())
 
-    @F.pandas_udf("id long, n int, fps array<long>, keys array<long>, sketch array<long>")
-    def prints(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in texts:
-            s = shingles(x)
-            keys, sketch = bands(s)
-            rows.append((np.uint64(xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64), len(s), fingerprints(s), keys.view(np.int64), sketch.view(np.int64)))
-        return pd.DataFrame(rows, columns=["id", "n", "fps", "keys", "sketch"])
+    @F.pandas_udf("name binary, n long, words array<long>")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(x) for x in texts]
+        return pd.DataFrame({"name": [hashlib.md5(s.tobytes()).digest() for s in sets], "n": [len(s) for s in sets], "words": [fingerprint(s) for s in sets]})
 
-    return prints(F.col(text))
+    return made(F.col(text))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -132,98 +95,157 @@ def _sets(texts: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _finer(sets: pd.Series) -> pd.Series:
-    return pd.Series([finer(np.frombuffer(x, np.uint64)) for x in sets], dtype=object)
-
-
-@F.pandas_udf(T.BooleanType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-
-def near_prints(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of ``nodes.id`` to be checked, whose components are those of all pairs that are
-    within three bits in one of their fingerprints ``fps``.  Of ids with one fingerprint the least
-    stands for the others; it meets each of them."""
-    held = save(nodes.select("id", F.explode("fps").alias("fp")).distinct(), "held")
-    first = save(held.groupBy("fp").agg(F.min("id").alias("first")), "first")
-    x, y = (first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
-    met = fingerprint_links(first.select("fp")).join(x, "a").join(y, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    equal = held.join(first, "fp").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    pairs = met.unionByName(equal).where("a <> b")
-    return save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
-
-
-def sharing(nodes: DataFrame) -> DataFrame:
-    """(id, n, s0 to s3, key): ``nodes`` with each of their bands that another one has, too."""
-    keys = nodes.select("id", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(4)], F.explode("keys").alias("key"))
-    shared = save(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "shared")
-    return save(keys.join(shared, "key", "left_semi"), "members")
-
-
-def _links(near: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links whose components are those of all similar pairs that are in ``near`` (a, b) or share
-    a key of ``members`` (key, id, n, s0 to s3), which is deleted; ``sets`` has (id, set) for each of them."""
-    unlike = lambda i: F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"h{i}")).bitwiseOR(F.col(f"s{i + 2}").bitwiseXOR(F.col(f"h{i + 2}"))))
-    close = unlike(0) + unlike(1) <= APART
-    words = [f"s{i}" for i in range(4)]
-    size = lambda x, y: (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-        return save(pairs.join(x, "a").join(y, "b").where(_alike("set_a", "set_b")).select("a", "b"), "alike")
-
-    def other(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select("key", F.col("id").alias("hid"), F.col("n").alias("hn"), F.col("root").alias("hroot"), *[F.col(f"s{i}").alias(f"h{i}") for i in range(4)], *more)
-
-    def met(pairs: DataFrame) -> DataFrame:
-        return checked(pairs.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct())
-
-    def open_values(members: DataFrame) -> DataFrame:
-        """The rows of ``members``, which is deleted, with their root so far, of keys that have several roots."""
-        roots = components(found, "a", "b").withColumnRenamed("node", "id").withColumnRenamed("root", "top")
-        rooted = members.select("key", "id", "n", *words).join(roots, "id", "left").select("key", "id", "n", *words, F.coalesce("top", "id").alias("root"))
-        rooted = save(rooted, "rooted")
-        discard_saved(members)
-        several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / PART).cast("int").alias("ways")).where("low <> high").select("key", "ways")
-        left = save(rooted.join(several, "key"), "members")
-        discard_saved(rooted)
-        return left
-
-    found = checked(near)
-    members = open_values(members)
-    for turn in range(2):
-        if members.isEmpty():
-            return found
-        hubs = F.array_distinct(F.array(*[F.min_by(F.struct("id", "n", "root", *words), F.xxhash64("id", F.lit(HUBS * turn + k))) for k in range(HUBS)]))
-        hub = members.groupBy("key").agg(hubs.alias("hubs")).select("key", F.explode("hubs").alias("h")).select("key", "h.*")
-        found = found.unionByName(met(members.join(other(hub), "key").where((F.col("root") != F.col("hroot")) & size("n", "hn") & close)))
-        members = open_values(members)
-    if members.isEmpty():
+def _longer(sets: pd.Series) -> pd.Series:
+    return pd.Series([fingerprint(np.frombuffer(x, np.uint64), FINE) for x in sets], dtype=object)
+
+
+def close_values(values: np.ndarray, free: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of the distinct ``values`` that differ in at most ``RADIUS`` bits, if all agree
+    in the bits that are not ``free``.  Many values are parted by each third of the free bits in turn, one of
+    which must be the same."""
+    if len(values) <= DIRECT or len(free) < 3:
+        found = []
+        for at in range(0, len(values), 256):
+            i, j = np.nonzero(np.bitwise_count(values[at : at + 256, None] ^ values[None, at:]) <= RADIUS)
+            found.append((i[i < j] + at, j[i < j] + at))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    masks = [np.bitwise_or.reduce(np.array([1 << b for b in free[k::3]], values.dtype)) for k in range(3)]
+    left, right = [], []
+    for k, mask in enumerate(masks):
+        order = np.argsort(values & mask, kind="stable")
+        cuts = np.flatnonzero(np.diff(values[order] & mask)) + 1
+        for group in np.split(order, cuts):
+            if len(group) > 1:
+                i, j = (group[x] for x in close_values(values[group], [b for b in free if not int(mask) >> b & 1]))
+                first = np.ones(len(i), bool)  # not found by an earlier third
+                for earlier in masks[:k]:
+                    first &= ((values[i] ^ values[j]) & earlier) != 0
+                left.append(np.minimum(i, j)[first])
+                right.append(np.maximum(i, j)[first])
+    return np.concatenate(left or [np.empty(0, np.int64)]), np.concatenate(right or [np.empty(0, np.int64)])
+
+
+def _pairs_of(place: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of keys of whole groups of one place: those of a pair differ in one or two bits, do not have all
+    their texts in one root, and agree in no earlier piece, which gives them as well."""
+    found, values, piece = [], (key & 0xFFFFFFFF).astype(np.uint32), (place >> 11) % 3
+    masks = np.array([(1 << PIECES[k + 1]) - (1 << PIECES[k]) for k in range(3)], np.uint32)
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        wanted = ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
+        for earlier in range(2):
+            wanted &= (piece[i] <= earlier) | (((values[i] ^ values[j]) & masks[earlier]) != 0)
+        found.append((key[i[wanted]], key[j[wanted]]))
+
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+    sizes = np.diff([*starts, len(place)])
+    few = np.repeat(sizes <= FEW, sizes).nonzero()[0]
+    for step in range(1, FEW):  # all small groups at once: each row and the one so many rows behind it
+        i, j = few[:-step], few[step:]
+        same = place[i] == place[j]
+        if not same.any():
+            break
+        same &= np.bitwise_count(values[i] ^ values[j]) <= RADIUS
+        keep(i[same], j[same])
+    for start, size in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
+        free = [b for b in range(32) if not PIECES[piece[start]] <= b < PIECES[piece[start] + 1]]
+        keep(*(x + start for x in close_values(values[start : start + size], free)))
+    return found
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): segments near each other, of sorted rows (place, key, low, high); place: segment, piece and
+    what the piece holds; low and high: least and greatest root of the segment's texts."""
+    held, rows, most = [], 0, TAKEN
+
+    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        for at in range(0, len(a), TAKEN):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + TAKEN]), pa.array(b[at : at + TAKEN])], ["a", "b"])
+
+    for batch in batches:
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+        rows += batch.num_rows
+        if rows >= most:
+            whole = [np.concatenate([h[k] for h in held]) for k in range(4)]
+            last = int(np.searchsorted(whole[0], whole[0][-1]))  # its group may go on
+            if last and (found := _pairs_of(*(c[:last] for c in whole))):
+                yield from out(found)
+            held, rows = [[c[last:] for c in whole]], rows - last
+            most = max(TAKEN, 2 * rows)
+    if rows and (found := _pairs_of(*(np.concatenate([h[k] for h in held]) for k in range(4)))):
+        yield from out(found)
+
+
+def segments(nodes: DataFrame) -> DataFrame:
+    """(key, id, ...): each segment of ``nodes`` (id, words, ...), its number in the upper half of the key."""
+    low = lambda w: F.col(w).bitwiseAND(0xFFFFFFFF)
+    each = [F.lit(i << 32).bitwiseOR(F.shiftrightunsigned(w, 32) if i % 2 else low(w)) for i, w in ((i, NAMES[i // 2]) for i in range(SEGMENTS))]
+    return nodes.withColumn("key", F.explode(F.array(*each)))
+
+
+def neighbours(rooted: DataFrame) -> DataFrame:
+    """(a, b): keys of segments that differ in one or two bits and whose texts are not all of one root,
+    from rows (key, root); saved."""
+    values = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    segment, value = F.shiftright("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
+    places = [((segment * 3 + k) * 2048 + F.shiftright(value, PIECES[k]).bitwiseAND((1 << PIECES[k + 1] - PIECES[k]) - 1)) for k in range(3)]
+    dealt = values.select(F.explode(F.array(*places)).alias("place"), "key", "low", "high").repartition("place").sortWithinPartitions("place")
+    return save(dealt.mapInArrow(_neighbours, "a long, b long"), "neighbours")
+
+
+def near() -> Column:
+    """Whether the complete distance of two fingerprints is that of similar sets."""
+    return buckets.unlike(NAMES) <= F.when(F.least("n", "hn") < SMALL, APART_SMALL).otherwise(APART)
+
+
+def links(nodes: DataFrame, bodies: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): links between ``nodes`` (id, n, w0 to w15) found by their segments and checked on the sets of
+    texts; ``bodies`` gives (id, body) for a table of ids."""
+
+    def refine_with(sets: DataFrame):
+        def refine(keys: DataFrame) -> tuple[DataFrame, Column]:
+            apart = F.aggregate(F.zip_with("fine", "hfine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+            return keys.join(sets, "id").select("id", "keys", _longer("set").alias("fine")), apart <= F.when(F.least("n", "hn") < SMALL, FINE_APART_SMALL).otherwise(FINE_APART)
+
+        return refine
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return save(bodies(ids).select("id", _sets("body").alias("set")), "sets")
+
+    found = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    keys = segments(nodes).select("key", "id")
+    members = buckets.sharing(keys, nodes)
+    sets = sets_of(members.select("id").distinct())
+    if not members.isEmpty():
+        found = buckets.links(members, NAMES, near(), sets, found, refine_with(sets))
+    roots = save(buckets.rooted(nodes, found), "roots")
+    pairs = save(neighbours(segments(roots).select("key", "root")).withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    if pairs.isEmpty():
         return found
-    own = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS at most
-    fine = save(own.join(sets, "id").select("id", "keys", _finer("set").alias("fine")), "fine")
-    members = save(members.join(fine, "id"), "members")
-    left = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("ways")).cast("int"))
-    right = other(members, F.col("keys").alias("hkeys"), F.col("fine").alias("hfine"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("part"))
-    apart = F.aggregate(F.zip_with("fine", "hfine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    once = F.col("key") == F.array_min(F.array_intersect("keys", "hkeys"))
-    return found.unionByName(met(left.join(right, ["key", "part"]).where((F.col("root") < F.col("hroot")) & size("n", "hn") & close & (apart <= FINE_APART) & once)))
+    each = pairs.select("pair", F.explode(F.array("a", "b")).alias("key"))
+    met = save(keys.join(each, "key").select(F.col("pair").alias("key"), "id"), "met")
+    members = save(met.join(nodes, "id"), "members")
+    more = sets_of(members.select("id").distinct().join(sets.select("id"), "id", "left_anti"))
+    both = sets.unionByName(more)
+    found = buckets.links(members, NAMES, near(), both, found, refine_with(both))
+    discard_saved(pairs, met, roots)
+    return found
 
 
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, one of each component of linked texts: that with the
     smallest key (rows without one come last), and of several such rows one."""
     uid, node = fresh(docs, "uid", "node")
-    kept = save(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(node, _prints(text)), "kept")
+    kept = save(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(node, _made(text)), "kept", "zstd")
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(uid).alias("uid"))
-    nodes = save(kept.groupBy(F.col(f"{node}.id").alias("id")).agg(F.min(order).alias("first"), F.any_value(f"{node}.n").alias("n"), F.any_value(f"{node}.fps").alias("fps"), F.any_value(f"{node}.keys").alias("keys"), F.any_value(f"{node}.sketch").alias("sketch")), "nodes")
-    near, members = near_prints(nodes), sharing(nodes)
-    firsts = nodes.select("id", "first")
-    if not (near.isEmpty() and members.isEmpty()):
-        either = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
-        asked = nodes.join(either, "id", "left_semi").select("id", F.col("first.uid").alias(uid))
-        sets = save(kept.select(uid, F.col(text).alias("body")).join(asked, uid).select("id", _sets("body").alias("set")), "sets")
-        roots = components(_links(near, members, sets), "a", "b").withColumnRenamed("node", "id")
-        firsts = firsts.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("id")).agg(F.min("first").alias("first"))
+    grouped = kept.groupBy(F.col(f"{node}.name").alias("name")).agg(F.min(order).alias("first"), F.any_value(f"{node}.n").alias("n"), F.any_value(f"{node}.words").alias("words"))
+    nodes = save(grouped.select(F.monotonically_increasing_id().alias("id"), "first", "n", *[F.get("words", F.lit(i)).alias(w) for i, w in enumerate(NAMES)]), "nodes")
+
+    def bodies(ids: DataFrame) -> DataFrame:
+        asked = nodes.select("id", F.col("first.uid").alias("uid")).join(ids, "id", "left_semi")
+        return kept.select(F.col(uid).alias("uid"), F.col(text).alias("body")).join(asked, "uid").select("id", "body")
+
+    found = links(nodes.select("id", "n", *NAMES), bodies)
+    firsts = buckets.rooted(nodes.select("id", "first"), found).groupBy("root").agg(F.min("first").alias("first"))
     return kept.join(firsts.select(F.col("first.uid").alias(uid)), uid, "left_semi").drop(uid, node)
