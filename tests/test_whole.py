@@ -1,7 +1,10 @@
 """Queries whose rows are not all among the first ones."""
 
+import duckdb
+from oracle import rows
 from pyspark.sql import functions as F
 
+from vicinity import catalog
 from vicinity.operators import enrich, routing
 from vicinity.plans import more, stores
 
@@ -19,3 +22,14 @@ def test_the_round_asks_for_every_page(spark, sf_dir, monkeypatch):
     asked = seen[0].where(routing.needs_article(F.col("filter"), F.col("base_implied_meters"), F.col("article_text"), F.col("link"))).select("link").distinct()
     pages = {f"p{r['page_id']}" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id").collect()}
     assert pages and pages <= {r["link"] for r in asked.collect()} and pages <= got
+
+
+
+def test_the_sql_of_the_counts_takes_all_sources_too(spark, tmp_path):
+    spark.range(900).select(F.col("id").alias("event_id"), (F.col("id") % 450).alias("user_id"), F.lit("click").alias("event_type")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = c.sql(catalog.oracle_sql()["outcome_counts_by_source"])
+        columns, found = want.columns, want.fetchall()
+    got = stores.outcome_counts_by_source(spark, str(tmp_path))
+    assert len(found) == 450 and rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, found)

@@ -22,3 +22,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`keep` has made and that no later step reads."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

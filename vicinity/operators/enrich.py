@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.config import FilterConfig
-from vicinity.functions import dates, markup, streets, text
+from vicinity.functions import dates, markup, streets, terms
 from vicinity.operators import evidence, routing, store
 
 
@@ -21,10 +21,11 @@ def with_sources(items: DataFrame, sources: DataFrame) -> DataFrame:
 
 def own_terms_pass(required: Column, prominent: Column, rest: Column, sources: DataFrame) -> Column:
     """Whether a source's own list is empty or one of its terms is mentioned, as keywords are.  Terms come
-    from the table of sources, which is configuration."""
-    terms = sorted(r[0] for r in sources.select(F.explode("required")).distinct().collect() if r[0] is not None)
-    named = reduce(lambda a, t: a | (F.array_contains(required, t) & text.mentions_any(prominent, rest, [t])), terms, F.lit(False))
-    return (F.size(required) == 0) | named
+    from the table of sources, which is configuration; all are looked up at once."""
+    listed = sorted(r[0] for r in sources.select(F.explode("required")).distinct().collect() if r[0] is not None)
+    table = F.from_json(F.lit(json.dumps(listed)), "array<string>")
+    named = F.transform(terms.found_in(prominent, rest, listed), lambda c: F.get(table, F.floor(c / 2).cast("int")))
+    return (F.size(required) == 0) | F.coalesce(F.arrays_overlap(required, named), F.lit(False))
 
 
 def with_pages(items: DataFrame, pages: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -81,7 +82,7 @@ def poll_round(items: DataFrame, stored: DataFrame, retries: DataFrame, sources:
     every = F.concat(area, evidence.source_evidence(F.col("base_implied_meters")), geocoded, filed, named)
     away = evidence.located_elsewhere(F.col("title"), F.col("district"), config).isNotNull()
     own = own_terms_pass(F.col("required"), p, r, sources)
-    wanted = F.when(F.col("required").isNull(), routing.keyword_pass(p, r, config)).otherwise(own & ~text.mentions_any(p, r, config.blocklist))
+    wanted = F.when(F.col("required").isNull(), routing.keyword_pass(p, r, config)).otherwise(own & ~terms.any_of(p, r, config.blocklist))
     scored = placed.withColumns({"top": evidence.best(evidence.penalise(every, away)), "keyword_ok": wanted})
     ready = scored.select("*", *evidence.final_columns(F.col("top"))).withColumn("geocoded", F.col("geocoded").isNotNull())
     return routing.outcome(ready, config, F.lit(now)).drop("top", "prominent", "rest")

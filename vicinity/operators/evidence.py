@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.config import AreaGroup, FilterConfig, Place
-from vicinity.functions import geo, text
+from vicinity.functions import geo, terms, text
 
 # Kinds in rising rank; the rank breaks ties of score.
 SOURCE_DEFAULT, KEYWORD, PLACE, GEOCODED, COORDINATES = range(5)
@@ -23,32 +25,42 @@ def evidence(meters: Column, label: Column, kind: int, prominent: Column, penalt
     return F.struct(meters.cast("double").alias("meters"), label.alias("label"), F.lit(kind).alias("kind"), prominent.alias("prominent"), penalty.cast("int").alias("penalty"), F.lit(pos).alias("pos"))
 
 
+def _table(rows: list[dict], schema: str) -> Column:
+    """Rows of the configuration as one constant array."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+
+
 def area_evidence(prominent: Column, rest: Column, groups: list[AreaGroup]) -> Column:
     """An array with one entry for each area group that is mentioned: its first term in the prominent
     part, else its first in the rest."""
-    out = []
-    for pos, group in enumerate(groups):
-        found = [text.mention(prominent, rest, t, place=True) for t in group.terms]
-        meters = str(int(group.implied_meters))
-        entry = F.lit(None).cast(EVIDENCE)
-        for up in (False, True):
-            for term, m in reversed(list(zip(group.terms, found, strict=True))):
-                label = f'"{term}" ({meters}m)' if up else f'"{term}" ({meters}m, body only)'
-                entry = F.when(m == F.lit(up), evidence(F.lit(group.implied_meters), F.lit(label), KEYWORD, F.lit(up), F.lit(0), pos)).otherwise(entry)
-        out.append(entry)
-    return F.filter(F.array(*out), lambda e: e.isNotNull()) if out else F.array().cast(f"array<{EVIDENCE}>")
+    if not groups:
+        return F.array().cast(f"array<{EVIDENCE}>")
+    listed = [(pos, float(g.implied_meters), t) for pos, g in enumerate(groups) for t in g.terms]
+    rows = [{"meters": m, "up": f'"{t}" ({int(m)}m)', "down": f'"{t}" ({int(m)}m, body only)', "pos": pos} for pos, m, t in listed]
+    codes = terms.found_in(prominent, rest, [t for *_, t in listed], place=True, owners=[pos for pos, *_ in listed])
+    table = _table(rows, "meters:double,up:string,down:string,pos:int")
+
+    def entry(code: Column) -> Column:
+        row, up = F.get(table, F.floor(code / 2).cast("int")), code % 2 == 1
+        return F.struct(row["meters"].alias("meters"), F.when(up, row["up"]).otherwise(row["down"]).alias("label"), F.lit(KEYWORD).alias("kind"), up.alias("prominent"), F.lit(0).alias("penalty"), row["pos"].alias("pos")).cast(EVIDENCE)
+
+    return F.transform(codes, entry)
 
 
 def place_evidence(prominent: Column, rest: Column, places: list[Place], lat: float, lon: float, first: int = 1000) -> Column:
     """An array with one entry for each configured place that is named as whole words."""
-    out = []
-    for pos, place in enumerate(places):
-        up = down = F.lit(False)
-        for name in [place.name, *place.aliases]:
-            up, down = up | text.contains_term(prominent, name), down | text.contains_term(rest, name)
-        meters = geo.haversine(F.lit(lat), F.lit(lon), F.lit(place.lat), F.lit(place.lon))
-        out.append(F.when(up | down, evidence(meters, F.lit(place.name), PLACE, up, F.lit(0), first + pos)))
-    return F.filter(F.array(*out), lambda e: e.isNotNull()) if out else F.array().cast(f"array<{EVIDENCE}>")
+    if not places:
+        return F.array().cast(f"array<{EVIDENCE}>")
+    named = [(pos, name) for pos, p in enumerate(places) for name in [p.name, *p.aliases]]
+    codes = terms.found_in(prominent, rest, [n for _, n in named], whole=True, owners=[pos for pos, _ in named])
+    table = _table([{"name": places[pos].name, "lat": float(places[pos].lat), "lon": float(places[pos].lon), "pos": first + pos} for pos, _ in named], "name:string,lat:double,lon:double,pos:int")
+
+    def entry(code: Column) -> Column:
+        row = F.get(table, F.floor(code / 2).cast("int"))
+        meters = geo.haversine(F.lit(lat), F.lit(lon), row["lat"], row["lon"])
+        return F.struct(meters.cast("double").alias("meters"), row["name"].alias("label"), F.lit(PLACE).alias("kind"), (code % 2 == 1).alias("prominent"), F.lit(0).alias("penalty"), row["pos"].alias("pos")).cast(EVIDENCE)
+
+    return F.transform(codes, entry)
 
 
 def source_evidence(base_meters: Column) -> Column:
@@ -71,7 +83,8 @@ def is_textual(kind: Column) -> Column:
 
 def penalise(found: Column, elsewhere: Column) -> Column:
     """A point off what texts say, where the item seems to be about another place."""
-    return F.transform(found, lambda e: e.withField("penalty", F.when(elsewhere & is_textual(e["kind"]), e["penalty"] + 1).otherwise(e["penalty"])))
+    less = F.transform(found, lambda e: e.withField("penalty", F.when(is_textual(e["kind"]), e["penalty"] + 1).otherwise(e["penalty"])))
+    return F.when(elsewhere, less).otherwise(found)
 
 
 def score(e: Column) -> Column:
@@ -115,10 +128,10 @@ def located_elsewhere(title: Column, district: Column, config: FilterConfig) ->
         filed = F.when(specific & (text.squeeze_ends(d) != home), F.concat(F.lit("filed under "), district, F.lit(f", not {config.home_borough}")))
     t = text.normalize(title)
     own = [x for g in config.area for x in g.terms] + [x for p in config.places for x in [p.name, *p.aliases]]
-    names_own = F.lit(False)
-    for term in own:
-        names_own = names_own | text.mentions(t, term, place=True)
-    other = F.lit(None).cast("string")
-    for term in reversed(config.elsewhere):
-        other = F.when(text.mentions(t, term, place=True), F.lit(f"title names {term}")).otherwise(other)
+    # one look-up for both lists: other places first, as the first of them is named
+    found = terms.found_in(t, F.lit(""), config.elsewhere + own, place=True)
+    first, last = F.get(found, F.lit(0)), F.get(found, F.size(found) - 1)
+    names_own = F.coalesce(last >= 2 * len(config.elsewhere), F.lit(False))
+    listed = F.get(_table([{"term": x} for x in config.elsewhere], "term:string"), F.floor(first / 2).cast("int"))["term"]
+    other = F.when(first < 2 * len(config.elsewhere), F.concat(F.lit("title names "), listed))
     return F.coalesce(filed, F.when(~names_own, other))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.config import FilterConfig
-from vicinity.functions import text
+from vicinity.functions import terms
 
 MAX_ATTEMPTS = 6
 
@@ -33,8 +33,8 @@ def keyword_pass(prominent: Column, rest: Column, config: FilterConfig, required
     """Nothing of the block list, and something of the required terms if there are any; a source's own
     list stands in for the common one, also if it is empty."""
     wanted = config.required if required is None else required
-    blocked = text.mentions_any(prominent, rest, config.blocklist)
-    return ~blocked & (text.mentions_any(prominent, rest, wanted) if wanted else F.lit(True))
+    blocked = terms.any_of(prominent, rest, config.blocklist)
+    return ~blocked & (terms.any_of(prominent, rest, wanted) if wanted else F.lit(True))
 
 
 def final_attempt(attempts: Column) -> Column:

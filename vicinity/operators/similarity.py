@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.functions import text
-from vicinity.functions.shared import keep
+from vicinity.functions.shared import forget, keep
 
 SAME_PLACE_METERS = 300.0
 _SHARED = ["rank", "words", "link_key", "family", "class", "dates", "place", "distance_meters"]
@@ -73,21 +73,39 @@ def clusters(items: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(id, rank, cluster): the outcome of taking items best first, each joining the first opened
     cluster with a similar member or opening its own.
 
-    That is: an item without a better similar one opens a cluster, and every item belongs to the
-    first opened cluster it can reach over better and better similar items.
-    """
+    That is: an item without a better similar one opens a cluster, and every item belongs to the first
+    opened cluster it can reach over better and better similar items, which is the best item it can reach.
+    See :func:`least_reached`."""
     found = keep((edges(items) if pairs is None else pairs).select("a_rank", "b_rank"), "edges")
     nodes = items.select("id", "rank")
-    joined = found.select(F.col("a_rank").alias("rank")).distinct()
-    labels = keep(nodes.join(joined, "rank", "left_anti").select("rank", F.col("rank").alias("cluster")), "labels")
-    total = labels.agg(F.count("*"), F.sum("cluster")).first()
+    return nodes.join(least_reached(nodes.select("rank"), found), "rank").select("id", "rank", "cluster")
+
+
+def least_reached(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(rank, cluster): for each of ``nodes`` (rank) the least rank that it reaches over the saved edges
+    ``found`` (a_rank, b_rank), which lead from larger to smaller ranks.
+
+    Reach doubles: a node asks its neighbours, the best node it knows to reach, and the node that many
+    steps along its nearest better neighbours, and takes over what these know.  So a chain takes a number of
+    rounds that is the logarithm of its length.  A node whose best one has no better neighbour does not
+    ask it again, so groups do not meet on their best item.  A round is one join and one aggregation."""
+    out = found.groupBy("a_rank").agg(F.min("b_rank").alias("low"), F.max("b_rank").alias("near"))
+    at = lambda c: F.struct(F.coalesce(c, "rank").alias("to"), F.when(F.col(c).isNull(), 0).otherwise(1).alias("open")).alias(c)  # noqa: E731  open: there may be more behind it
+    state = keep(nodes.distinct().join(out.withColumnRenamed("a_rank", "rank"), "rank", "left").select("rank", at("low"), at("near")), "reach")
+    total = None
     while True:
-        reached = found.join(labels.withColumnRenamed("rank", "b_rank"), "b_rank").select(F.col("a_rank").alias("rank"), "cluster")
-        labels = keep(labels.unionByName(reached).groupBy("rank").agg(F.min("cluster").alias("cluster")), "labels")
-        now = labels.agg(F.count("*"), F.sum("cluster")).first()
-        if now == total:  # labels only fall and rows only come: equal sums mean nothing moved
-            return nodes.join(labels, "rank").select("id", "rank", "cluster")
+        now = state.agg(F.count("*"), F.sum("low.to")).first()
+        if now == total:  # what is reached only falls: an equal sum means that no edge leads to less
+            return state.select("rank", F.col("low.to").alias("cluster"))
         total = now
+        known = state.select(F.col("rank").alias("to"), F.col("low").alias("their_low"), F.col("near").alias("their_near"))
+        asks = found.select(F.col("a_rank").alias("rank"), F.col("b_rank").alias("to"), F.lit(False).alias("jump"))
+        for c, jump in (("low", False), ("near", True)):
+            asks = asks.unionByName(state.where(F.col(f"{c}.open") == 1).select("rank", F.col(f"{c}.to").alias("to"), F.lit(jump).alias("jump")))
+        answers = asks.join(known, "to").select("rank", F.col("their_low").alias("low"), F.when(F.col("jump"), F.col("their_near")).alias("near"))
+        own = state.select("rank", "low", F.when(F.col("near.open") == 0, F.col("near")).alias("near"))
+        before, state = state, keep(answers.unionByName(own).groupBy("rank").agg(F.min("low").alias("low"), F.max("near").alias("near")), "reach")
+        forget(before)
 
 
 def split_posted(items: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
