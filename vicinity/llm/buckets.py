@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinity.llm.common import discard_saved, save
+from vicinity.llm.common import discard_saved, release, save, small
 from vicinity.llm.components import components
 
 #: Ids of a bucket that all others are compared with, in each of two turns.
@@ -42,8 +42,14 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ``sets`` (id, set) have a similarity of 0.8 or more, saved."""
-    x, y = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    return save(pairs.join(x, "a").join(y, "b").where(_alike("set_a", "set_b")).select("a", "b"), "alike")
+    pairs = save(pairs, "pairs")
+    asked = {c: small(save(pairs.select(F.col(c).alias("id")).distinct(), "asked"), 16) for c in "ab"}
+    # only sets that are asked for are shuffled
+    x, y = (sets.join(asked[c], "id", "left_semi").select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    out = save(pairs.join(x, "a").join(y, "b").where(_alike("set_a", "set_b")).select("a", "b"), "alike")
+    discard_saved(pairs, *asked.values())
+    release(pairs.sparkSession)
+    return out
 
 
 def sized(x: str, y: str) -> Column:
@@ -59,9 +65,10 @@ def unlike(words: list[str]) -> Column:
 def sharing(keys: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of ``keys`` (key, id) whose key several ids have, with the columns of ``nodes`` (id, ...), saved."""
     several = save(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "shared")
-    pairs = save(keys.join(several, "key", "left_semi"), "shared-keys")
+    pairs = save(keys.join(small(several, 16), "key", "left_semi"), "shared-keys")
     out = save(pairs.join(nodes, "id"), "members")
     discard_saved(several, pairs)
+    release(nodes.sparkSession)
     return out
 
 
@@ -86,8 +93,10 @@ def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame,
         held = save(rooted(members.select("key", "id", "n", *words), found), "rooted")
         discard_saved(members)
         several = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / PART).cast("int").alias("ways")).where("low <> high").select("key", "ways")
-        left = save(held.join(several, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("ways")).cast("int")), "members")
-        discard_saved(held)
+        several = save(several, "several")
+        left = save(held.join(small(several, 32), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("ways")).cast("int")), "members")
+        discard_saved(held, several)
+        release(left.sparkSession)
         return left
 
     def met(pairs: DataFrame) -> DataFrame:

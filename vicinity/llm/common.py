@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from itertools import repeat
@@ -97,6 +98,18 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str, salt: list
     return left.join(right, [key, part], "left").drop(part)
 
 
+def small(table: DataFrame, bytes_each: int) -> DataFrame:
+    """A saved table, marked to be broadcast if its counted rows of ``bytes_each`` are at most ``BROADCAST_BYTES``;
+    else it is joined by key.  Both ways give the same rows."""
+    return F.broadcast(table) if table.count() * bytes_each <= BROADCAST_BYTES else table
+
+
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished steps when the driver collects its garbage: asks for that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def own_names(key: str, *made: str) -> None:
     """Refuses a key column that has the name of a column that is made."""
     if key.lower() in made:

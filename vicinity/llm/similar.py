@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from vicinity.llm import buckets, common
-from vicinity.llm.common import bounded_batches, discard_saved, fresh, save
+from vicinity.llm.common import bounded_batches, discard_saved, fresh, release, save, small
 
 WORDS = 5
 SEGMENTS, RADIUS = 32, 2
@@ -50,6 +50,8 @@ FINE, FINE_APART, FINE_APART_SMALL = 4096, 724, 881
 DIRECT = 1024
 #: Groups of so many values are compared together; rows that a task takes up at once.
 FEW, TAKEN = 48, 1 << 16
+#: The root of a segment whose texts have several.
+MIXED = -1
 
 _rng = np.random.default_rng(42)
 _FLIPS = _rng.integers(0, 2**64, max(SEGMENTS // 2, FINE // 64), np.uint64)
@@ -125,14 +127,14 @@ def close_values(values: np.ndarray, free: list[int]) -> tuple[np.ndarray, np.nd
     return np.concatenate(left or [np.empty(0, np.int64)]), np.concatenate(right or [np.empty(0, np.int64)])
 
 
-def _pairs_of(place: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of(place: np.ndarray, key: np.ndarray, root: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of keys of whole groups of one place: those of a pair differ in one or two bits, do not have all
     their texts in one root, and agree in no earlier piece, which gives them as well."""
     found, values, piece = [], (key & 0xFFFFFFFF).astype(np.uint32), (place >> 11) % 3
     masks = np.array([(1 << PIECES[k + 1]) - (1 << PIECES[k]) for k in range(3)], np.uint32)
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
-        wanted = ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
+        wanted = (root[i] != root[j]) | (root[i] == MIXED)
         for earlier in range(2):
             wanted &= (piece[i] <= earlier) | (((values[i] ^ values[j]) & masks[earlier]) != 0)
         found.append((key[i[wanted]], key[j[wanted]]))
@@ -154,8 +156,8 @@ def _pairs_of(place: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndar
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): segments near each other, of sorted rows (place, key, low, high); place: segment, piece and
-    what the piece holds; low and high: least and greatest root of the segment's texts."""
+    """(a, b): segments near each other, of sorted rows (place, key, root); place: segment, piece and what the
+    piece holds; root: that of all of the segment's texts, or ``MIXED``."""
     held, rows, most = [], 0, TAKEN
 
     def out(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -164,16 +166,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a[at : at + TAKEN]), pa.array(b[at : at + TAKEN])], ["a", "b"])
 
     for batch in batches:
-        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
         rows += batch.num_rows
         if rows >= most:
-            whole = [np.concatenate([h[k] for h in held]) for k in range(4)]
+            whole = [np.concatenate([h[k] for h in held]) for k in range(3)]
             last = int(np.searchsorted(whole[0], whole[0][-1]))  # its group may go on
             if last and (found := _pairs_of(*(c[:last] for c in whole))):
                 yield from out(found)
             held, rows = [[c[last:] for c in whole]], rows - last
             most = max(TAKEN, 2 * rows)
-    if rows and (found := _pairs_of(*(np.concatenate([h[k] for h in held]) for k in range(4)))):
+    if rows and (found := _pairs_of(*(np.concatenate([h[k] for h in held]) for k in range(3)))):
         yield from out(found)
 
 
@@ -187,10 +189,10 @@ def segments(nodes: DataFrame) -> DataFrame:
 def neighbours(rooted: DataFrame) -> DataFrame:
     """(a, b): keys of segments that differ in one or two bits and whose texts are not all of one root,
     from rows (key, root); saved."""
-    values = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    values = rooted.groupBy("key").agg(F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(MIXED).alias("root"))
     segment, value = F.shiftright("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
     places = [((segment * 3 + k) * 2048 + F.shiftright(value, PIECES[k]).bitwiseAND((1 << PIECES[k + 1] - PIECES[k]) - 1)) for k in range(3)]
-    dealt = values.select(F.explode(F.array(*places)).alias("place"), "key", "low", "high").repartition("place").sortWithinPartitions("place")
+    dealt = values.select(F.explode(F.array(*places)).alias("place"), "key", "root").repartition("place").sortWithinPartitions("place")
     return save(dealt.mapInArrow(_neighbours, "a long, b long"), "neighbours")
 
 
@@ -223,13 +225,15 @@ def links(nodes: DataFrame, bodies: Callable[[DataFrame], DataFrame]) -> DataFra
     pairs = save(neighbours(segments(roots).select("key", "root")).withColumn("pair", F.monotonically_increasing_id()), "pairs")
     if pairs.isEmpty():
         return found
-    each = pairs.select("pair", F.explode(F.array("a", "b")).alias("key"))
-    met = save(keys.join(each, "key").select(F.col("pair").alias("key"), "id"), "met")
+    each = save(pairs.select("pair", F.explode(F.array("a", "b")).alias("key")), "each")
+    met = save(keys.join(small(each, 24), "key").select(F.col("pair").alias("key"), "id"), "met")
+    discard_saved(pairs, each)
+    release(pairs.sparkSession)
     members = save(met.join(nodes, "id"), "members")
     more = sets_of(members.select("id").distinct().join(sets.select("id"), "id", "left_anti"))
     both = sets.unionByName(more)
     found = buckets.links(members, NAMES, near(), both, found, refine_with(both))
-    discard_saved(pairs, met, roots)
+    discard_saved(met, roots, sets, more)
     return found
 
 
