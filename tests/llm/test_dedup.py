@@ -76,7 +76,9 @@ def test_links_have_the_components_of_all_close_pairs(spark, dense, block):
     assert groups([roots.get(v, v) for v in values]) == groups(want)
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("each", [1 << 20, 100])
+def test_components_of_chains_and_stars(spark, monkeypatch, each):
+    monkeypatch.setattr("vicinity.llm.components.LINKS_EACH", each)
     chain = [(i, i + 1) for i in range(500)]
     star = [(1000, 1000 + i) for i in range(1, 400)]
     rng = random.Random(1)

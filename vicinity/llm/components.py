@@ -57,17 +57,22 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], ["node", "root"])
 
 
-def _contracted(links: DataFrame) -> DataFrame:
-    return links.mapInArrow(_contract, "node long, root long")
+#: Links that a task contracts, so that few links are not spread over many tasks.
+LINKS_EACH = 1 << 20
+
+
+def _contracted(links: DataFrame, tasks: int) -> DataFrame:
+    return links.coalesce(tasks).mapInArrow(_contract, "node long, root long")
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for each node with a link; root is the smallest node of its component.
 
     ``links`` has two long columns without nulls, in any order, repeats allowed; smallest nodes have
-    no row of their own.  An empty table gives an empty one.
+    no row of their own.  An empty table gives an empty one.  The table is read twice: save it if it is dear.
     """
-    stars = save(_contracted(links.select(F.col(a).alias("node"), F.col(b).alias("root"))), "stars")
+    tasks = 1 + links.count() // LINKS_EACH
+    stars = save(_contracted(links.select(F.col(a).alias("node"), F.col(b).alias("root")), tasks), "stars")
     while True:
         sides = stars.select(F.col("node"), F.lit(1).alias("child"), F.lit(0).alias("top")).unionByName(stars.select(F.col("root").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("top")))
         state = sides.groupBy("node").agg(F.sum("child").alias("child"), F.max("top").alias("top"))
@@ -80,5 +85,5 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         both = small.unionByName(small.select(F.col("root").alias("node"), F.col("node").alias("root")))
         low = both.groupBy("node").agg(F.least(F.col("node"), F.min("root")).alias("low"))
         large = both.where("root > node").join(low, "node").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
-        before, stars = stars, save(_contracted(large), "stars")
+        before, stars = stars, save(_contracted(large, tasks), "stars")
         discard_saved(before)

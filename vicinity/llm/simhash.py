@@ -132,7 +132,7 @@ def links(prints: DataFrame, dense: int = DENSE, block: int = BLOCK) -> DataFram
 def _classes(prints: DataFrame, first) -> DataFrame:
     """(fp, first): for each fingerprint the least ``first`` of its component."""
     nodes = save(prints.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
-    roots = components(links(nodes.select("fp")), "a", "b")
+    roots = components(save(links(nodes.select("fp")), "links"), "a", "b")
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = rooted.join(roots.select("root").distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
