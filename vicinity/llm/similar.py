@@ -4,7 +4,7 @@ Two texts are linked if the sets of their five-word shingles have a similarity o
 of 64 bits differ then, too many for a short fingerprint's small radius.  So the fingerprint of a set has
 ``SEGMENTS`` segments of 32 bits, each bit a majority over hashes of its own, and texts are candidates if
 at least one of their segments is the same but for ``RADIUS`` bits.  At 0.8 that is so for a given
-segment with a probability of 0.117, for one of 32 with 0.98; at 0.85 with 0.998, at 0.9 with 0.99999.
+segment with a probability of 0.117, for one of 48 with 0.997; at 0.85 with 0.99998.
 
 The index is looked up in two turns.  First the segments as they are: who shares one is compared, and what
 is linked is contracted.  Then the balls around them: a segment is cut into three pieces, one of which must
@@ -38,12 +38,12 @@ from vicinity.llm import buckets, common
 from vicinity.llm.common import bounded_batches, discard_saved, fresh, release, save, small
 
 WORDS = 5
-SEGMENTS, RADIUS = 32, 2
+SEGMENTS, RADIUS = 48, 2
 #: First bits of the three pieces of a segment, and where the last one ends.
 PIECES = (0, 11, 22, 32)
-#: Bits of 1024 in which the fingerprints of a pair may differ: 0.152 of them are expected at 0.8, 0.188 for
+#: Bits of 1536 in which the fingerprints of a pair may differ: 0.152 of them are expected at 0.8, 0.188 for
 #: sets of a few shingles; these limits are 4.5 standard deviations above.
-APART, APART_SMALL, SMALL = 207, 249, 64
+APART, APART_SMALL, SMALL = 296, 357, 64
 #: The same for the longer fingerprint.
 FINE, FINE_APART, FINE_APART_SMALL = 4096, 724, 881
 #: Values that are compared one by one within a task.
@@ -202,7 +202,7 @@ def near() -> Column:
 
 
 def links(nodes: DataFrame, bodies: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(a, b): links between ``nodes`` (id, n, w0 to w15) found by their segments and checked on the sets of
+    """(a, b): links between ``nodes`` (id, n, w0 to w23) found by their segments and checked on the sets of
     texts; ``bodies`` gives (id, body) for a table of ids."""
 
     def refine_with(sets: DataFrame):
