@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -24,6 +25,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def evaluated(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with columns that are computed once a row.  A projection is merged into those above it, which
+    repeats its expressions for each use; a generator is not."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that :func:`keep` has made and that no later step reads."""
     for table in tables:
