@@ -30,15 +30,14 @@ def seeds(items: DataFrame) -> DataFrame:
 
 def merge(items: DataFrame) -> DataFrame:
     """One entry for each ``cluster``: its first member stands for it, sources are named once each."""
-    member = F.struct("rank", F.col("id").alias("guid"), "source_name", "title", "link", "link_note", "score", "max_score", "distance_meters", "location_label")
-    groups = items.groupBy("cluster").agg(F.array_sort(F.collect_list(member)).alias("m"))
-    first = F.get("m", F.lit(0))
-    names = text.unique_names(F.transform("m", lambda x: x["source_name"]))
-    wide = groups.withColumns({"first": first, "names": names})
-    return wide.select(
+    top = F.struct("title", "link", "link_note", "max_score", "distance_meters", "location_label")
+    groups = items.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("guid")))).alias("m"), F.min_by(top, "rank").alias("first"), F.max("score").alias("best"))
+    named = items.groupBy("cluster", F.lower("source_name").alias("k")).agg(F.min(F.struct("rank", "source_name")).alias("name"))
+    names = named.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list("name")), lambda x: x["source_name"]).alias("names"))
+    return groups.join(names, "cluster").select(
         "cluster", F.transform("m", lambda x: x["guid"]).alias("guids"), F.array_join("names", " + ").alias("source_name"), F.size("names").alias("source_count"),
         *[F.col(f"first.{c}").alias(c) for c in ("title", "link", "link_note", "max_score", "distance_meters", "location_label")],
-        boosted(F.array_max(F.transform("m", lambda x: x["score"])), F.size("names")).alias("score"),
+        boosted(F.col("best"), F.size("names")).alias("score"),
     )
 
 
