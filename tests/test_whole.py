@@ -33,3 +33,14 @@ def test_the_sql_of_the_counts_takes_all_sources_too(spark, tmp_path):
         columns, found = want.columns, want.fetchall()
     got = stores.outcome_counts_by_source(spark, str(tmp_path))
     assert len(found) == 450 and rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, found)
+
+
+def test_sources_without_events_are_counted_too(spark, tmp_path):
+    spark.range(30).select(F.col("id").alias("event_id"), (F.col("id") % 3 + 198).alias("user_id"), F.lit("click").alias("event_type")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = c.sql(catalog.oracle_sql()["outcome_counts_by_source"])
+        columns, found = want.columns, want.fetchall()
+    got = stores.outcome_counts_by_source(spark, str(tmp_path)).collect()
+    assert {r["source_name"]: r["total"] for r in got} == {f"user {i}": 10 if i > 197 else 0 for i in range(201)}
+    assert rows(list(got[0].asDict()), [tuple(r) for r in got]) == rows(columns, found)

@@ -41,11 +41,11 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUTCOMES = "WITH o AS (SELECT 'user ' || user_id AS source_name, CASE event_type WHEN 'click' THEN 'queued' WHEN 'signup' THEN 'candidate' WHEN 'error' THEN 'dropped' ELSE 'retry' END AS outcome, 'rule ' || event_id % 4 AS reason FROM events WHERE event_type <> 'view')"
 
 
-@query(_OUTCOMES + ", u AS (SELECT DISTINCT 'user ' || user_id AS source_name FROM events WHERE user_id IS NOT NULL) SELECT source_name, count(outcome) AS total, count(*) FILTER (outcome = 'queued') AS queued, count(*) FILTER (outcome = 'candidate') AS candidate, count(*) FILTER (outcome = 'dropped') AS dropped, count(*) FILTER (outcome = 'retry') AS retry_later FROM u LEFT JOIN o USING (source_name) GROUP BY source_name")
+@query(_OUTCOMES + ", u AS (SELECT 'user ' || i AS source_name FROM range(0, 200) t(i) UNION SELECT 'user ' || user_id FROM events WHERE user_id IS NOT NULL) SELECT source_name, count(outcome) AS total, count(*) FILTER (outcome = 'queued') AS queued, count(*) FILTER (outcome = 'candidate') AS candidate, count(*) FILTER (outcome = 'dropped') AS dropped, count(*) FILTER (outcome = 'retry') AS retry_later FROM u LEFT JOIN o USING (source_name) GROUP BY source_name")
 def outcome_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All users of the events; those who only viewed have no items."""
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null").select("user_id")
-    return routing.outcome_counts(outcomes(spark, sf_dir), users.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("source_name")))
+    """All users of the events, and the first 200 numbers; those who only viewed, or did nothing, have no items."""
+    users = spark.range(200).union(spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null").select("user_id"))
+    return routing.outcome_counts(outcomes(spark, sf_dir), users.select(F.concat(F.lit("user "), F.col("id").cast("string")).alias("source_name")))
 
 
 @query(_OUTCOMES + " SELECT outcome, reason, count(*) AS n FROM o GROUP BY ALL")
