@@ -106,3 +106,28 @@ def test_event_words_and_dates(value):
     assert value(text.title_event_class(F.lit("Große Kundgebung, Konzert"))) == "protest"
     assert value(text.title_event_class(F.lit("Konzertabend"))) is None
     assert value(text.title_dates(F.lit("Am 6.7.2026 und 06.07.2026 oder 1.13.2026"))) == ["01.13.2026", "06.07.2026"]
+
+
+def test_sentences_of_texts_of_all_kinds(spark):
+    """As all sentences of the squeezed text, cut to the first distinct ones."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["A", "b", " ", "\n", "\u00a0", ". ", "!", '."', "?)", "A.", "A. "]) for _ in range(rng.randint(0, 14))) for _ in range(400)] + ["", " ", "no end", "A. A. A. B. tail", None]
+
+    def want(t):
+        t = re.sub(r"\s+", " ", t or "").strip()
+        found = list(dict.fromkeys(s.strip() for s in re.findall("[^.!?]*[.!?][)\\]}\"'”“’‘]*", t)))
+        return None if not t else " ".join(found[:2]) if found else t
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.concise_sentences(F.col("t"), 2).alias("s")).collect()
+    assert {r["i"]: r["s"] for r in got} == {i: want(t) for i, t in enumerate(texts)}
+
+
+def test_a_long_text_without_a_sentence_end_takes_no_time(spark):
+    import time
+
+    rows = spark.range(1).select(F.concat(F.lit("A. A. "), F.repeat(F.lit("word "), 200_000)).alias("t"))
+    start = time.time()
+    assert rows.select(text.concise_sentences(F.col("t"), 2)).first()[0] == "A." and time.time() - start < 20

@@ -208,11 +208,19 @@ def street_matches(candidate: Column, name: Column) -> Column:
 
 
 def concise_sentences(c: Column, most: int) -> Column:
-    """The first distinct sentences; the whole text if none ends; null if there is no text."""
-    text = squeeze(c)
-    found = F.transform(F.regexp_extract_all(text, F.lit("([^.!?]*[.!?][)\\]}\"'”“’‘]*)"), 1), lambda s: squeeze_ends(s))
-    chosen = F.slice(F.array_distinct(F.filter(found, lambda s: s != "")), 1, most)
-    return F.when(text == "", F.lit(None).cast("string")).when(F.size(chosen) == 0, text).otherwise(F.array_join(chosen, " "))
+    """The first distinct sentences; the whole text if none ends; null if there is no text.
+
+    Mostly the first sentences differ, and no more is read of a text.  White space is squeezed in sentences, which
+    do not depend on it.  What follows the last sentence is cut off before all are sought, as each of its places
+    would be tried as a sentence's start."""
+    closing = "[)\\]}\"'”“’‘]*+"
+    sentence = f"([^.!?]*+[.!?]{closing})"
+    quick = F.array(*[squeeze(F.regexp_extract(c, r"\A" + sentence * most, i + 1)) for i in range(most)])
+    tail = F.element_at(F.split(c, "[.!?]"), -1)
+    ended = F.concat(F.substr(c, F.lit(1), F.length(c) - F.length(tail)), F.regexp_extract(tail, rf"\A{closing}", 0))
+    chosen = F.slice(F.array_distinct(F.transform(F.regexp_extract_all(ended, F.lit(sentence), 1), squeeze)), 1, most)
+    found = F.when((quick[0] != "") & (F.size(F.array_distinct(quick)) == most), quick).when(c.rlike("[.!?]"), chosen).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(F.nullif(squeeze(c), F.lit("")))
 
 
 def relevant_article_text(c: Column) -> Column:
