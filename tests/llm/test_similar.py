@@ -139,3 +139,16 @@ def test_fingerprints_of_similar_sets_are_within_the_limits():
                 assert np.bitwise_count((similar.fingerprint(a, bits) ^ similar.fingerprint(b, bits)).view(np.uint64)).sum() <= most
     far = rng.integers(0, 2**64, (2, 500), np.uint64)
     assert np.bitwise_count((similar.fingerprint(far[0]) ^ similar.fingerprint(far[1])).view(np.uint64)).sum() > 430
+
+
+def test_pairs_are_checked_in_turns(spark, monkeypatch):
+    """The sets of all pairs are never shuffled at once, and turns give what one gives."""
+    sets = spark.createDataFrame([(i, np.arange(i // 4 * 100, i // 4 * 100 + 20 + i % 4, dtype=np.uint64).tobytes()) for i in range(40)], "id long, set binary")
+    pairs = spark.createDataFrame([(i, j) for i in range(40) for j in range(i + 1, min(40, i + 6))], "a long, b long")
+    saved, kept = [], buckets.save
+    monkeypatch.setattr(buckets, "save", lambda df, name, *a: saved.append(name) or kept(df, name, *a))
+    one = {tuple(r) for r in buckets.checked(pairs, sets).collect()}
+    assert saved.count("alike") == 1
+    monkeypatch.setattr(buckets, "PAIRS_EACH", 40)
+    got = [tuple(r) for r in buckets.checked(pairs, sets).collect()]
+    assert saved.count("alike") == 1 + 5 and len(got) == len(set(got)) and set(got) == one == {(i, j) for i in range(40) for j in range(i + 1, i // 4 * 4 + 4)}

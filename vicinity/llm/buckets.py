@@ -27,6 +27,8 @@ from vicinity.llm.components import components
 HUBS = 2
 #: Ids of a bucket that one task compares with others of it.
 PART = 1024
+#: Turns in which pairs are checked, and pairs that are worth a turn of their own.
+TURNS, PAIRS_EACH = 6, 1 << 14
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -41,14 +43,23 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ``sets`` (id, set) have a similarity of 0.8 or more, saved."""
+    """The pairs (a, b) whose ``sets`` (id, set) have a similarity of 0.8 or more, saved.
+
+    Pairs are checked in up to ``TURNS`` turns, by ``a``, and what a turn has shuffled is released before the
+    next: sets are large, and shuffles of all at once would be several times their size on disk."""
     pairs = save(pairs, "pairs")
-    asked = {c: small(save(pairs.select(F.col(c).alias("id")).distinct(), "asked"), 16) for c in "ab"}
-    # only sets that are asked for are shuffled
-    x, y = (sets.join(asked[c], "id", "left_semi").select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    out = save(pairs.join(x, "a").join(y, "b").where(_alike("set_a", "set_b")).select("a", "b"), "alike")
-    discard_saved(pairs, *asked.values())
     release(pairs.sparkSession)
+    turns, out = min(TURNS, 1 + pairs.count() // PAIRS_EACH), None
+    for turn in range(turns):
+        some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(turns)) == turn)
+        asked = {c: small(save(some.select(F.col(c).alias("id")).distinct(), "asked"), 16) for c in "ab"}
+        # only sets that are asked for are shuffled
+        x, y = (sets.join(asked[c], "id", "left_semi").select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+        found = save(some.join(x, "a").join(y, "b").where(_alike("set_a", "set_b")).select("a", "b"), "alike")
+        out = found if out is None else out.unionByName(found)
+        discard_saved(*asked.values())
+        release(pairs.sparkSession)
+    discard_saved(pairs)
     return out
 
 
@@ -118,8 +129,10 @@ def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame,
     finer, condition = refine(keys) if refine else (keys, F.lit(True))
     more = [c for c in finer.columns if c != "id"]
     finer = save(finer, "finer")
+    release(finer.sparkSession)
     members = save(members.join(finer, "id"), "members")
     discard_saved(finer)
+    release(members.sparkSession)
     right = other(members, *[F.col(c).alias(f"h{c}") for c in more], parts)
     once = F.col("key") == F.array_min(F.array_intersect("keys", "hkeys"))
     pairs = members.join(right, ["key", "part"]).where((F.col("root") < F.col("hroot")) & sized("n", "hn") & close & condition & once)

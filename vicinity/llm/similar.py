@@ -208,12 +208,17 @@ def links(nodes: DataFrame, bodies: Callable[[DataFrame], DataFrame]) -> DataFra
     def refine_with(sets: DataFrame):
         def refine(keys: DataFrame) -> tuple[DataFrame, Column]:
             apart = F.aggregate(F.zip_with("fine", "hfine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-            return keys.join(sets, "id").select("id", "keys", _longer("set").alias("fine")), apart <= F.when(F.least("n", "hn") < SMALL, FINE_APART_SMALL).otherwise(FINE_APART)
+            keys = save(keys, "keys")
+            asked = small(keys.select("id"), 16)
+            fine = sets.join(asked, "id", "left_semi").select("id", _longer("set").alias("fine"))  # sets are not shuffled if few are asked for
+            return keys.join(fine, "id"), apart <= F.when(F.least("n", "hn") < SMALL, FINE_APART_SMALL).otherwise(FINE_APART)
 
         return refine
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return save(bodies(ids).select("id", _sets("body").alias("set")), "sets")
+        sets = save(bodies(ids).select("id", _sets("body").alias("set")), "sets")
+        release(sets.sparkSession)
+        return sets
 
     found = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     keys = segments(nodes).select("key", "id")
