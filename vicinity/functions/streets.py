@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +26,10 @@ VENUE_CONFIDENCE = 7
 SECTIONS = ["title", "description", "lead", "rest"]
 
 
+#: A word with a street suffix, in lower case; texts without one are not cut into words.
+_SUFFIXED = re.compile(f"(?:{'|'.join(map(re.escape, STREET_SUFFIXES))})[{re.escape(TRAILING_EDGE)}]*(?:[\\s/]|\\Z)")
+
+
 def _trimmed(word: str) -> str:
     return word.lstrip(LEADING_EDGE).rstrip(TRAILING_EDGE)
 
@@ -35,6 +41,8 @@ def candidates(value: str) -> list[str]:
     suffix any capitalised word that can stand there, up to one with an adjective's ending; before a
     compound, one of the adjectives.  A bare suffix alone names nothing.  A house number follows.
     """
+    if not _SUFFIXED.search(value.lower()):
+        return []
     words = [w for w in map(_trimmed, value.replace("/", " ").split()) if w]
     lows = [w.lower() for w in words]
 
