@@ -71,3 +71,10 @@ def test_ten_thousand_terms_in_a_plan(spark):
         assert [(e["label"], e["meters"], e["pos"]) for e in r["area"]] == [(f'"Ortsteil {i * 7} Nord" ({500 + i * 7 % 4}m)', 500.0 + i * 7 % 4, i * 7 % 4)]
         assert [(e["label"], e["pos"]) for e in r["places"]] == [(f"Platz {i}", 1000 + i)]
         assert r["ok"] == (i != 9) and r["away"] is None
+
+
+def test_workers_get_batches_of_bounded_size(spark):
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.unset(name)
+    terms.found_in(F.lit("a"), F.lit("b"), ["a"])
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,20 @@ def evaluated(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+#: Rows and bytes that go to a Python worker at once, at most: both sides hold a batch, and texts may be long.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+
+
+def bounded_batches() -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` if they are larger, so that a
+    worker's memory does not follow the texts' length.  The session keeps these settings, as plans are made when they run."""
+    spark = SparkSession.getActiveSession()
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that :func:`keep` has made and that no later step reads."""
     for table in tables:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.functions import text
+from vicinity.functions.shared import bounded_batches
 
 #: Letters of a word that terms are kept by.
 START = 5
@@ -102,6 +103,7 @@ def found_in(prominent: Column, rest: Column, terms: list[str], place: bool = Fa
     more if it is in the prominent part.  With ``owners``, one for each owner of a term, in their order: its
     first term in the prominent part, else its first in the rest."""
     read = shared(TermIndex(terms, place, whole))
+    bounded_batches()
 
     def one_each(codes: list[int]) -> list[int]:
         least = {}
