@@ -152,3 +152,28 @@ def test_pairs_are_checked_in_turns(spark, monkeypatch):
     monkeypatch.setattr(buckets, "PAIRS_EACH", 40)
     got = [tuple(r) for r in buckets.checked(pairs, sets).collect()]
     assert saved.count("alike") == 1 + 5 and len(got) == len(set(got)) and set(got) == one == {(i, j) for i in range(40) for j in range(i + 1, i // 4 * 4 + 4)}
+
+
+def test_only_texts_in_question_are_looked_up(spark, monkeypatch):
+    """A text is fingerprinted if enough of its shingles are another's too: a line that all have is not enough."""
+    rng, line = random.Random(5), " ".join(f"c{i}" for i in range(25))
+    texts = [line + " " + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(150, 400))) for _ in range(60)]
+    alike = [t.rsplit(" ", 3)[0] + " x y z" for t in texts[:4]]
+    looked, segments = [], similar.segments
+    monkeypatch.setattr(similar, "segments", lambda nodes: looked.append(nodes.count()) or segments(nodes))
+    docs = spark.createDataFrame(list(enumerate([*texts, *alike, line])), "doc_id long, text string")
+    assert Counter(r["doc_id"] for r in similar.drop_similar(docs).collect()) == Counter([*range(60), 64])
+    assert looked and set(looked) <= {8, 9}
+
+
+def test_similar_sets_are_in_question(spark):
+    rng, rows, far = np.random.default_rng(6), [], []
+    for n in (1, 2, 3, 5, 12, 30, 31, 40, 80, 120, 1000):
+        for only in {0, n // 5} if n > 1 else {0}:  # similarity 0.8 at least: both, and what one set or the other has alone
+            for side in (0, 1):
+                both, mine = rng.integers(0, 2**64, n - only, np.uint64), rng.integers(0, 2**64, only, np.uint64)
+                a, b = (both, np.concatenate([both, mine])) if side else (np.concatenate([both, mine[: only // 2]]), np.concatenate([both, mine[only // 2 :]]))
+                rows += [(len(rows) + i, np.sort(x)) for i, x in enumerate((a, b))]
+        far.append((1000 + n, np.sort(rng.integers(0, 2**64, n, np.uint64))))
+    nodes = spark.createDataFrame([(i, len(s), s[: similar.LEAST].view(np.int64).tolist()) for i, s in [*rows, *far]], "id long, n long, least array<long>")
+    assert sorted(r["id"] for r in similar.in_question(nodes).collect()) == [i for i, _ in rows]

@@ -85,16 +85,17 @@ def sharing(keys: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` (id, ...) with the root of each id by the links ``found`` so far: the id itself if it has none."""
-    roots = components(found, "a", "b").withColumnRenamed("node", "id").withColumnRenamed("root", "top")
+    roots = small(components(found, "a", "b"), 16).withColumnRenamed("node", "id").withColumnRenamed("root", "top")
     return rows.join(roots, "id", "left").withColumn("root", F.coalesce("top", "id")).drop("top")
 
 
-def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame, found: DataFrame, refine: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None) -> DataFrame:
+def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame, found: DataFrame, refine: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None, sift: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``found`` (a, b) with the links of saved ``members`` (key, id, n, words), which are deleted.
 
     ``close``: the condition by sketch on a row and another one, whose columns have an ``h`` before their
     names.  ``refine`` gives (id, keys, extra columns) for ids compared pair by pair, and a condition on
-    them and on those of the other side."""
+    them and on those of the other side.  ``sift`` gives those of their distinct pairs (a, b) that are worth
+    a check on whole sets."""
 
     def other(rows: DataFrame, *more: str) -> DataFrame:
         return rows.select("key", F.col("id").alias("hid"), F.col("n").alias("hn"), F.col("root").alias("hroot"), *[F.col(w).alias(f"h{w}") for w in words], *more)
@@ -110,8 +111,9 @@ def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame,
         release(left.sparkSession)
         return left
 
-    def met(pairs: DataFrame) -> DataFrame:
-        return checked(pairs.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct(), sets)
+    def met(pairs: DataFrame, sift: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        pairs = pairs.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
+        return checked(sift(pairs) if sift else pairs, sets)
 
     parts = F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("part")
     members = open_buckets(members)
@@ -136,4 +138,4 @@ def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame,
     right = other(members, *[F.col(c).alias(f"h{c}") for c in more], parts)
     once = F.col("key") == F.array_min(F.array_intersect("keys", "hkeys"))
     pairs = members.join(right, ["key", "part"]).where((F.col("root") < F.col("hroot")) & sized("n", "hn") & close & condition & once)
-    return found.unionByName(met(pairs))
+    return found.unionByName(met(pairs, sift))

@@ -6,14 +6,17 @@ of 64 bits differ then, too many for a short fingerprint's small radius.  So the
 at least one of their segments is the same but for ``RADIUS`` bits.  At 0.8 that is so for a given
 segment with a probability of 0.117, for one of 48 with 0.997; at 0.85 with 0.99998.
 
+Texts with few of their shingles in any other text can have no link and are set aside first, so the index
+grows with the texts that are in question (see :func:`in_question`).  It gives all candidates among these.
+
 The index is looked up in two turns.  First the segments as they are: who shares one is compared, and what
 is linked is contracted.  Then the balls around them: a segment is cut into three pieces, one of which must
 be the same for two bits to differ at most, so all segments with one piece meet in a task, which finds the
 neighbours among its distinct values (2^22 at most).  Values all of whose texts are in one group already
 are not paired.  The texts of neighbouring values are compared like those of one.
 
-Compared means: the complete distance of the fingerprints within the join, a longer fingerprint where
-texts of several groups are left in a bucket, and then the whole sets (see :mod:`vicinity.llm.buckets`).
+Compared means: the complete distance of the fingerprints within the join, that of longer ones for the pairs
+that come out where texts of several groups are left in a bucket, and then the whole sets (see :mod:`vicinity.llm.buckets`).
 Equal sets are one node, named by 128 bits.
 
 Nulls are empty texts; all empty texts are one group; a text of fewer than five words is one shingle.
@@ -24,12 +27,12 @@ like others; columns may have the names of those that are made inside.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -46,6 +49,9 @@ PIECES = (0, 11, 22, 32)
 APART, APART_SMALL, SMALL = 296, 357, 64
 #: The same for the longer fingerprint.
 FINE, FINE_APART, FINE_APART_SMALL = 4096, 724, 881
+#: Least shingles of a set by hash, and how many of them another set's must have too.  Of the least of the union of
+#: two sets each is in both with a probability of 0.8 or more: fewer than these are with one of 3e-8.
+LEAST, SHARED = 32, 12
 #: Values that are compared one by one within a task.
 DIRECT = 1024
 #: Groups of so many values are compared together; rows that a task takes up at once.
@@ -58,7 +64,6 @@ _FLIPS = _rng.integers(0, 2**64, max(SEGMENTS // 2, FINE // 64), np.uint64)
 _FACTORS = _rng.integers(0, 2**64, len(_FLIPS), np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LANES = np.uint64(0x0101010101010101)
-NAMES = [f"w{i}" for i in range(SEGMENTS // 2)]
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -83,17 +88,18 @@ def fingerprint(hashes: np.ndarray, bits: int = 32 * SEGMENTS) -> np.ndarray:
 def _made(text: str) -> Column:
     bounded_batches(SparkSession.getActiveSession())
 
-    @F.pandas_udf("name binary, n long, words array<long>")
+    @F.pandas_udf("name binary, n long, least array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(x) for x in texts]
-        return pd.DataFrame({"name": [hashlib.md5(s.tobytes()).digest() for s in sets], "n": [len(s) for s in sets], "words": [fingerprint(s) for s in sets]})
+        return pd.DataFrame({"name": [hashlib.md5(s.tobytes()).digest() for s in sets], "n": [len(s) for s in sets], "least": [s[:LEAST].view(np.int64) for s in sets]})
 
     return made(F.col(text))
 
 
-@F.pandas_udf(T.BinaryType())
-def _sets(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingles(x).tobytes() for x in texts], dtype=object)
+@F.pandas_udf(T.StructType([T.StructField("set", T.BinaryType()), T.StructField("words", T.ArrayType(T.LongType()))]))
+def _printed(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingles(x) for x in texts]
+    return pd.DataFrame({"set": [s.tobytes() for s in sets], "words": [fingerprint(s) for s in sets]})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -179,10 +185,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(found)
 
 
+def in_question(nodes: DataFrame) -> DataFrame:
+    """(id) of ``nodes`` (id, n, least) that may be similar to another: enough of their least shingles are among
+    another node's.  Of those of two similar sets at most n / 4 of the union are not in both, so up to
+    4 (LEAST - SHARED) shingles this is certain."""
+    each = nodes.select("id", "n", F.explode("least").alias("shingle"))
+    met = each.withColumn("met", F.count("*").over(Window.partitionBy("shingle"))).where("met > 1")
+    certain = F.least(F.col("n"), F.lit(LEAST)) - F.floor(F.col("n") / 4)
+    asked = F.when(F.col("n") <= LEAST, certain).otherwise(F.greatest(certain, F.lit(SHARED)))
+    return met.groupBy("id").agg(F.count("*").alias("met"), F.any_value("n").alias("n")).where(F.col("met") >= asked).select("id")
+
+
 def segments(nodes: DataFrame) -> DataFrame:
     """(key, id, ...): each segment of ``nodes`` (id, words, ...), its number in the upper half of the key."""
-    low = lambda w: F.col(w).bitwiseAND(0xFFFFFFFF)
-    each = [F.lit(i << 32).bitwiseOR(F.shiftrightunsigned(w, 32) if i % 2 else low(w)) for i, w in ((i, NAMES[i // 2]) for i in range(SEGMENTS))]
+    low = lambda w: w.bitwiseAND(0xFFFFFFFF)
+    each = [F.lit(i << 32).bitwiseOR(F.shiftrightunsigned(w, 32) if i % 2 else low(w)) for i, w in ((i, F.get("words", F.lit(i // 2))) for i in range(SEGMENTS))]
     return nodes.withColumn("key", F.explode(F.array(*each)))
 
 
@@ -198,34 +215,29 @@ def neighbours(rooted: DataFrame) -> DataFrame:
 
 def near() -> Column:
     """Whether the complete distance of two fingerprints is that of similar sets."""
-    return buckets.unlike(NAMES) <= F.when(F.least("n", "hn") < SMALL, APART_SMALL).otherwise(APART)
-
+    apart = [F.bit_count(F.get("words", F.lit(i)).bitwiseXOR(F.get("hwords", F.lit(i)))) for i in range(SEGMENTS // 2)]
+    return sum(apart[1:], apart[0]) <= F.when(F.least("n", "hn") < SMALL, APART_SMALL).otherwise(APART)
 
-def links(nodes: DataFrame, bodies: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(a, b): links between ``nodes`` (id, n, w0 to w23) found by their segments and checked on the sets of
-    texts; ``bodies`` gives (id, body) for a table of ids."""
 
-    def refine_with(sets: DataFrame):
-        def refine(keys: DataFrame) -> tuple[DataFrame, Column]:
-            apart = F.aggregate(F.zip_with("fine", "hfine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-            keys = save(keys, "keys")
-            asked = small(keys.select("id"), 16)
-            fine = sets.join(asked, "id", "left_semi").select("id", _longer("set").alias("fine"))  # sets are not shuffled if few are asked for
-            return keys.join(fine, "id"), apart <= F.when(F.least("n", "hn") < SMALL, FINE_APART_SMALL).otherwise(FINE_APART)
+def links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between saved ``nodes`` (id, n, words) found by their segments and checked on their saved
+    ``sets`` (id, set)."""
 
-        return refine
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        sets = save(bodies(ids).select("id", _sets("body").alias("set")), "sets")
-        release(sets.sparkSession)
-        return sets
+    def sift(pairs: DataFrame) -> DataFrame:
+        pairs = save(pairs, "near")
+        release(pairs.sparkSession)
+        asked = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+        # sets are not shuffled if few are asked for, nor are their fingerprints
+        fine = small(save(sets.join(small(asked, 16), "id", "left_semi").select("id", F.expr("length(set) div 8").alias("n"), _longer("set").alias("fine")), "fine"), FINE // 8 + 16)
+        x, y = (fine.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"fine{c}")) for c in "ab")
+        apart = F.aggregate(F.zip_with("finea", "fineb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        return pairs.join(x, "a").join(y, "b").where(apart <= F.when(F.least("na", "nb") < SMALL, FINE_APART_SMALL).otherwise(FINE_APART)).select("a", "b")
 
     found = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     keys = segments(nodes).select("key", "id")
-    members = buckets.sharing(keys, nodes)
-    sets = sets_of(members.select("id").distinct())
+    members = buckets.sharing(keys, small(nodes, 256))
     if not members.isEmpty():
-        found = buckets.links(members, NAMES, near(), sets, found, refine_with(sets))
+        found = buckets.links(members, ["words"], near(), sets, found, sift=sift)
     roots = save(buckets.rooted(nodes, found), "roots")
     pairs = save(neighbours(segments(roots).select("key", "root")).withColumn("pair", F.monotonically_increasing_id()), "pairs")
     if pairs.isEmpty():
@@ -234,11 +246,9 @@ def links(nodes: DataFrame, bodies: Callable[[DataFrame], DataFrame]) -> DataFra
     met = save(keys.join(small(each, 24), "key").select(F.col("pair").alias("key"), "id"), "met")
     discard_saved(pairs, each)
     release(pairs.sparkSession)
-    members = save(met.join(nodes, "id"), "members")
-    more = sets_of(members.select("id").distinct().join(sets.select("id"), "id", "left_anti"))
-    both = sets.unionByName(more)
-    found = buckets.links(members, NAMES, near(), both, found, refine_with(both))
-    discard_saved(met, roots, sets, more)
+    members = save(met.join(small(nodes, 256), "id"), "members")
+    found = buckets.links(members, ["words"], near(), sets, found, sift=sift)
+    discard_saved(met, roots)
     return found
 
 
@@ -248,13 +258,14 @@ def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     uid, node = fresh(docs, "uid", "node")
     kept = save(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(node, _made(text)), "kept", "zstd")
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(uid).alias("uid"))
-    grouped = kept.groupBy(F.col(f"{node}.name").alias("name")).agg(F.min(order).alias("first"), F.any_value(f"{node}.n").alias("n"), F.any_value(f"{node}.words").alias("words"))
-    nodes = save(grouped.select(F.monotonically_increasing_id().alias("id"), "first", "n", *[F.get("words", F.lit(i)).alias(w) for i, w in enumerate(NAMES)]), "nodes")
-
-    def bodies(ids: DataFrame) -> DataFrame:
-        asked = nodes.select("id", F.col("first.uid").alias("uid")).join(ids, "id", "left_semi")
-        return kept.select(F.col(uid).alias("uid"), F.col(text).alias("body")).join(asked, "uid").select("id", "body")
-
-    found = links(nodes.select("id", "n", *NAMES), bodies)
-    firsts = buckets.rooted(nodes.select("id", "first"), found).groupBy("root").agg(F.min("first").alias("first"))
-    return kept.join(firsts.select(F.col("first.uid").alias(uid)), uid, "left_semi").drop(uid, node)
+    grouped = kept.groupBy(F.col(f"{node}.name").alias("name")).agg(F.min(order).alias("first"), *[F.any_value(f"{node}.{c}").alias(c) for c in ("n", "least")])
+    nodes = save(grouped.select(F.monotonically_increasing_id().alias("id"), "first", "n", "least"), "nodes")
+    asked = save(nodes.select("id", "n", F.col("first.uid").alias(uid)).join(small(save(in_question(nodes), "in-question"), 16), "id"), "asked")
+    printed = kept.select(uid, F.col(text).alias("body")).join(small(asked, 32), uid).select("id", "n", _printed("body").alias("made"))
+    sets = save(printed.select("id", "n", "made.*"), "sets")
+    release(sets.sparkSession)
+    found = links(sets.select("id", "n", "words"), sets.select("id", "set"))
+    firsts = save(buckets.rooted(nodes.select("id", "first"), found).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias(uid)), "firsts")
+    discard_saved(nodes, asked, sets)
+    release(sets.sparkSession)
+    return kept.join(small(firsts, 16), uid, "left_semi").drop(uid, node)
