@@ -2,6 +2,8 @@
 
 import datetime
 
+import pandas as pd
+
 from vicinity.streaming import processors
 
 START = datetime.datetime(2031, 5, 1)
@@ -51,3 +53,43 @@ def test_a_warning_is_followed_until_it_is_over(spark, tmp_path):
 
 def test_no_rows(spark, tmp_path):
     assert _run(spark, tmp_path, processors.follow, processors.FOLLOWED, WARNING, []) == []
+
+
+class _Handle:
+    """Counts requests; has one state and its timers, and refuses to list these."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked, self.value = self.asked + 1, value
+
+    def clear(self):
+        self.asked, self.value = self.asked + 1, None
+
+    def registerTimer(self, t):
+        self.asked += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.asked += 1
+        self.timers.remove(t)
+
+
+def test_a_key_and_batch_take_few_requests():
+    handle, follower = _Handle(), processors.Follower()
+    follower.init(handle)
+    hour = 3_600_000
+    start = int(START.replace(tzinfo=datetime.UTC).timestamp()) * 1000
+    for rows, most, timers in (([(0, "warn"), (0.5, "sent")], 3, {1.5}), ([(0.7, "warn")], 1, {1.5}), ([(3, "warn")], 4, {3.5}), ([(3.2, "cancel")], 3, set()), ([(4, "sent")], 1, set())):
+        handle.asked = 0
+        batch = pd.DataFrame([(_at(h), event, "1") for h, event in rows], columns=["at", "event", "version"])
+        list(follower.handleInputRows(("w",), iter([batch]), None))
+        assert handle.asked <= most and handle.timers == {start + round(h * hour) for h in timers}

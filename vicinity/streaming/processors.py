@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
@@ -20,33 +21,39 @@ FOLLOWED = "id string, at timestamp, action string, occurrence string, version s
 HOUR = 3_600_000_000  # microseconds
 
 
-def _micros(t: pd.Timestamp) -> int:
-    return t.value // 1000
-
-
 def _milliseconds(micros: int) -> int:
     """The first millisecond at which a time has come."""
     return -(-micros // 1000)
 
 
-def _sorted(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """One key's rows of a batch in order; a key with very many rows a batch wants smaller batches."""
-    return pd.concat(list(batches)).sort_values(order, kind="stable")
+def _sorted(batches: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
+    """One key's rows of a batch in order, times in microseconds; a key with very many rows a batch wants smaller
+    batches."""
+    rows = []
+    for batch in batches:
+        times = batch["at"].to_numpy().astype("datetime64[us]").astype(np.int64).tolist()
+        rows += zip(times, *(batch[c].tolist() for c in columns), strict=True)
+    return sorted(rows)
 
 
 class _Timed(StatefulProcessor):
-    """Holds at most one timer a key, and writes rows of ``columns``."""
+    """Holds at most one timer a key, and writes rows of ``columns``.
+
+    Each call of the handle or of a state is a request to the JVM, and there are several a key and batch: so the
+    timer is known from the state instead of listed, and set only if it changes."""
 
     columns: list[str]
 
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self.columns)
-        out["at"] = pd.to_datetime(out["at"], unit="us")
-        return out
-
-    def wake(self, micros: int | None) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        out = dict(zip(self.columns, zip(*rows, strict=True) if rows else [()] * len(self.columns), strict=True))
+        return pd.DataFrame({c: np.array(v, np.int64).view("datetime64[us]") if c == "at" else np.array(v, object) for c, v in out.items()})
+
+    def wake(self, before: int | None, micros: int | None) -> None:
+        """Sets the timer; ``before``: when the key was to wake, None if it had no timer or that has expired."""
+        if before == micros:
+            return
+        if before is not None:
+            self.handle.deleteTimer(_milliseconds(before))
         if micros is not None:
             self.handle.registerTimer(_milliseconds(micros))
 
@@ -67,25 +74,26 @@ class Candidates(_Timed):
         self.since = handle.getValueState("since", "since bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        since, out = (self.since.get()[0] if self.since.exists() else None), []
-        for r in _sorted(rows, ["at", "state"]).itertuples(index=False):
-            now = _micros(r.at)
+        held, out = self.since.get(), []
+        since = before = held[0] if held else None
+        for now, state in _sorted(rows, "state"):
             if since is not None and now >= since + self.term:
                 out.append((key[0], "dropped", since + self.term))
                 since = None
-            if r.state == "queued" and since is not None:
+            if state == "queued" and since is not None:
                 out.append((key[0], "queued", now))
                 since = None
-            elif r.state == "candidate" and since is None:
+            elif state == "candidate" and since is None:
                 since = now
-        self.since.clear() if since is None else self.since.update((since,))
-        self.wake(None if since is None else since + self.term)
+        if since != before:
+            self.since.clear() if since is None else self.since.update((since,))
+            self.wake(*(None if t is None else t + self.term for t in (before, since)))
         yield self.frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        since = self.since.get()[0] if self.since.exists() else None
+        held = self.since.get()
         self.since.clear()
-        yield self.frame([] if since is None else [(key[0], "dropped", since + self.term)])
+        yield self.frame([(key[0], "dropped", held[0] + self.term)] if held else [])
 
 
 class Follower(_Timed):
@@ -105,48 +113,53 @@ class Follower(_Timed):
     def checks(self, name: str, held: tuple, until: int) -> tuple[list[tuple], tuple]:
         """Checks due until a time, that included."""
         first, version, checked = held
-        n = 0 if checked is None else max(0, (until - checked) // HOUR)
-        return [(name, checked + HOUR * (i + 1), "check", f"{name}:{first}", version) for i in range(n)], (first, version, None if checked is None else checked + HOUR * n)
+        n, occurrence = (0 if checked is None else max(0, (until - checked) // HOUR)), f"{name}:{first}"
+        return [(name, checked + HOUR * (i + 1), "check", occurrence, version) for i in range(n)], (first, version, None if checked is None else checked + HOUR * n)
 
     def handleInputRows(self, key, rows, timerValues):
-        name, held, out = key[0], (tuple(self.state.get()) if self.state.exists() else None), []
-        for r in _sorted(rows, ["at", "event", "version"]).itertuples(index=False):
-            now = _micros(r.at)
+        name, held, out = key[0], self.state.get(), []
+        held = before = tuple(held) if held else None
+        for now, event, seen in _sorted(rows, "event", "version"):
             if held is not None:
                 due, held = self.checks(name, held, now)
                 out += due
             if held is None:
-                if r.event != "warn":
+                if event != "warn":
                     continue
-                held = (now, r.version, None)
-                out.append((name, now, "post", f"{name}:{now}", r.version))
+                held = (now, seen, None)
+                out.append((name, now, "post", f"{name}:{now}", seen))
                 continue
             first, version, checked = held
             sent, action = checked is not None, None
-            if r.event == "warn":
-                action = "post" if not sent else "edit" if r.version != version else None
-                version = r.version
-            elif r.event == "sent":
+            if event == "warn":
+                action = "post" if not sent else "edit" if seen != version else None
+                version = seen
+            elif event == "sent":
                 checked = checked if sent else now
-            elif r.event == "gone" and sent:
+            elif event == "gone" and sent:
                 action, checked = "repost", None
-            elif r.event == "cancel":
+            elif event == "cancel":
                 action = "all_clear" if sent else None
             if action:
                 out.append((name, now, action, f"{name}:{first}", version))
-            held = None if r.event == "cancel" else (first, version, checked)
-        self.keep(held)
+            held = None if event == "cancel" else (first, version, checked)
+        self.keep(before, held, self.due(before))
         yield self.frame(out)
 
-    def keep(self, held: tuple | None) -> None:
-        self.state.clear() if held is None else self.state.update(held)
-        self.wake(held[2] + HOUR if held is not None and held[2] is not None else None)
+    def due(self, held: tuple | None) -> int | None:
+        """When the next check is due."""
+        return None if held is None or held[2] is None else held[2] + HOUR
+
+    def keep(self, before: tuple | None, held: tuple | None, timer: int | None) -> None:
+        if held != before:
+            self.state.clear() if held is None else self.state.update(held)
+        self.wake(timer, self.due(held))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = []
-        if self.state.exists():
-            out, held = self.checks(key[0], tuple(self.state.get()), timerValues.getCurrentWatermarkInMs() * 1000)
-            self.keep(held)
+        out, before = [], self.state.get()
+        if before:
+            out, held = self.checks(key[0], tuple(before), timerValues.getCurrentWatermarkInMs() * 1000)
+            self.keep(tuple(before), held, None)  # Spark deletes the timer that has expired
         yield self.frame(out)
 
 
