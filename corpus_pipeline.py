@@ -41,8 +41,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id (rows without one come last, and of
     rows with equal ids one): similarity 0.8 or more in five-word shingles, whole texts.  All empty texts
-    are one group.  Candidates come from a multi-index SimHash (48 segments of 32 bits, balls of two bits)
-    and from nothing else; each link is checked on whole sets."""
+    are one group.  Texts with too few shingles in any other text are set aside first; candidates among the
+    rest come from a multi-index SimHash (48 segments of 32 bits, balls of two bits) and from nothing else;
+    each link is checked on whole sets."""
     return similar.drop_similar(docs)
 
 
