@@ -177,3 +177,20 @@ def test_similar_sets_are_in_question(spark):
         far.append((1000 + n, np.sort(rng.integers(0, 2**64, n, np.uint64))))
     nodes = spark.createDataFrame([(i, len(s), s[: similar.LEAST].view(np.int64).tolist()) for i, s in [*rows, *far]], "id long, n long, least array<long>")
     assert sorted(r["id"] for r in similar.in_question(nodes).collect()) == [i for i, _ in rows]
+
+
+def test_a_family_of_texts_that_are_not_similar_enough_is_one_bucket(spark, monkeypatch):
+    """Texts of one family under 0.8 have neighbouring segments in nearly every pair; these pairs are not made one by one."""
+    rng, base = random.Random(7), [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(200):
+        words = list(base)
+        for k in range(4):
+            words[50 * k + rng.randint(10, 40)] = f"x{i}-{k}"
+        texts.append(" ".join(words))
+    label, rows, kept = _components(texts), [], similar.save
+    monkeypatch.setattr(similar, "save", lambda df, name, *a: (out := kept(df, name, *a), name == "met" and rows.append(out.count()))[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter(r["doc_id"] for r in similar.drop_similar(docs).collect())
+    assert 100 < len(set(label)) and got == Counter({k: i for i, k in reversed(list(enumerate(label)))}.values())
+    assert rows and rows[0] < 20 * len(texts)

@@ -89,6 +89,50 @@ def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(roots, "id", "left").withColumn("root", F.coalesce("top", "id")).drop("top")
 
 
+def _other(rows: DataFrame, words: list[str], *more: str) -> DataFrame:
+    """``rows`` as the other side of a comparison."""
+    return rows.select("key", F.col("id").alias("hid"), F.col("n").alias("hn"), F.col("root").alias("hroot"), *[F.col(w).alias(f"h{w}") for w in words], *more)
+
+
+def _parts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("part")
+
+
+def _open(members: DataFrame, words: list[str], found: DataFrame) -> DataFrame:
+    """The rows of buckets with several roots, with their root and the tasks of the bucket."""
+    held = save(rooted(members.select("key", "id", "n", *words), found), "rooted")
+    discard_saved(members)
+    several = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / PART).cast("int").alias("ways")).where("low <> high").select("key", "ways")
+    several = save(several, "several")
+    left = save(held.join(small(several, 32), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("ways")).cast("int")), "members")
+    discard_saved(held, several)
+    release(left.sparkSession)
+    return left
+
+
+def with_hubs(members: DataFrame, words: list[str], turn: int) -> DataFrame:
+    """The rows of open buckets beside up to ``HUBS`` rows of another root in their bucket."""
+    hubs = F.array_distinct(F.array(*[F.min_by(F.struct("id", "n", "root", *words), F.xxhash64("id", F.lit(HUBS * turn + k))) for k in range(HUBS)]))
+    hub = members.groupBy("key").agg(hubs.alias("hubs"), F.max("ways").alias("ways")).select("key", "ways", F.explode("hubs").alias("h")).select("key", "ways", "h.*")
+    return members.join(_other(hub, words, _parts()), ["key", "part"]).where(F.col("root") != F.col("hroot"))
+
+
+def _met(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
+
+
+def contracted(members: DataFrame, words: list[str], close: Column, sets: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of saved ``members`` (key, id, n, words), which are deleted, in buckets of several roots, and
+    ``found`` (a, b) with the links of members to hubs of their buckets."""
+    members = _open(members, words, found)
+    for turn in range(2):
+        if members.isEmpty():
+            break
+        found = found.unionByName(checked(_met(with_hubs(members, words, turn).where(sized("n", "hn") & close)), sets))
+        members = _open(members, words, found)
+    return members, found
+
+
 def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame, found: DataFrame, refine: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None, sift: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``found`` (a, b) with the links of saved ``members`` (key, id, n, words), which are deleted.
 
@@ -96,35 +140,7 @@ def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame,
     names.  ``refine`` gives (id, keys, extra columns) for ids compared pair by pair, and a condition on
     them and on those of the other side.  ``sift`` gives those of their distinct pairs (a, b) that are worth
     a check on whole sets."""
-
-    def other(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select("key", F.col("id").alias("hid"), F.col("n").alias("hn"), F.col("root").alias("hroot"), *[F.col(w).alias(f"h{w}") for w in words], *more)
-
-    def open_buckets(members: DataFrame) -> DataFrame:
-        """The rows of buckets with several roots, with their root and the tasks of the bucket."""
-        held = save(rooted(members.select("key", "id", "n", *words), found), "rooted")
-        discard_saved(members)
-        several = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / PART).cast("int").alias("ways")).where("low <> high").select("key", "ways")
-        several = save(several, "several")
-        left = save(held.join(small(several, 32), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("ways")).cast("int")), "members")
-        discard_saved(held, several)
-        release(left.sparkSession)
-        return left
-
-    def met(pairs: DataFrame, sift: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-        pairs = pairs.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
-        return checked(sift(pairs) if sift else pairs, sets)
-
-    parts = F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("part")
-    members = open_buckets(members)
-    for turn in range(2):
-        if members.isEmpty():
-            return found
-        hubs = F.array_distinct(F.array(*[F.min_by(F.struct("id", "n", "root", *words), F.xxhash64("id", F.lit(HUBS * turn + k))) for k in range(HUBS)]))
-        hub = members.groupBy("key").agg(hubs.alias("hubs"), F.max("ways").alias("ways")).select("key", "ways", F.explode("hubs").alias("h")).select("key", "ways", "h.*")
-        met_hubs = members.join(other(hub, parts), ["key", "part"]).where((F.col("root") != F.col("hroot")) & sized("n", "hn") & close)
-        found = found.unionByName(met(met_hubs))
-        members = open_buckets(members)
+    members, found = contracted(members, words, close, sets, found)
     if members.isEmpty():
         return found
     keys = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # as many as an id has buckets
@@ -135,7 +151,8 @@ def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame,
     members = save(members.join(finer, "id"), "members")
     discard_saved(finer)
     release(members.sparkSession)
-    right = other(members, *[F.col(c).alias(f"h{c}") for c in more], parts)
+    right = _other(members, words, *[F.col(c).alias(f"h{c}") for c in more], _parts())
     once = F.col("key") == F.array_min(F.array_intersect("keys", "hkeys"))
     pairs = members.join(right, ["key", "part"]).where((F.col("root") < F.col("hroot")) & sized("n", "hn") & close & condition & once)
-    return found.unionByName(met(pairs, sift))
+    pairs = _met(pairs)
+    return found.unionByName(checked(sift(pairs) if sift else pairs, sets))

@@ -73,6 +73,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     tasks = 1 + links.count() // LINKS_EACH
     stars = save(_contracted(links.select(F.col(a).alias("node"), F.col(b).alias("root")), tasks), "stars")
+    if tasks == 1:
+        return stars  # one task has contracted all links
     while True:
         sides = stars.select(F.col("node"), F.lit(1).alias("child"), F.lit(0).alias("top")).unionByName(stars.select(F.col("root").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("top")))
         state = sides.groupBy("node").agg(F.sum("child").alias("child"), F.max("top").alias("top"))

@@ -9,11 +9,13 @@ segment with a probability of 0.117, for one of 48 with 0.997; at 0.85 with 0.99
 Texts with few of their shingles in any other text can have no link and are set aside first, so the index
 grows with the texts that are in question (see :func:`in_question`).  It gives all candidates among these.
 
-The index is looked up in two turns.  First the segments as they are: who shares one is compared, and what
-is linked is contracted.  Then the balls around them: a segment is cut into three pieces, one of which must
-be the same for two bits to differ at most, so all segments with one piece meet in a task, which finds the
-neighbours among its distinct values (2^22 at most).  Values all of whose texts are in one group already
-are not paired.  The texts of neighbouring values are compared like those of one.
+The index is looked up in two turns.  First the segments as they are: who shares one is compared with a few
+others of it, and what is linked is contracted.  Those whose complete fingerprints are nearer than unrelated ones
+are a family, with all that hang together so.  Then the balls around the segments: a segment is cut into three
+pieces, one of which must be the same for two bits to differ at most, so all segments with one piece meet in a
+task, which finds the neighbours among its distinct values (2^22 at most).  Values all of whose texts are in one
+family already are not paired: a family is compared once, as one bucket, since in a large one nearly all pairs of
+texts have neighbouring segments.  Texts of several families with one value or neighbouring values are compared too.
 
 Compared means: the complete distance of the fingerprints within the join, that of longer ones for the pairs
 that come out where texts of several groups are left in a bucket, and then the whole sets (see :mod:`vicinity.llm.buckets`).
@@ -47,7 +49,9 @@ PIECES = (0, 11, 22, 32)
 #: Bits of 1536 in which the fingerprints of a pair may differ: 0.152 of them are expected at 0.8, 0.188 for
 #: sets of a few shingles; these limits are 4.5 standard deviations above.
 APART, APART_SMALL, SMALL = 296, 357, 64
-#: The same for the longer fingerprint.
+#: Bits in which texts of one family differ from another of it: unrelated texts differ in 768, with a deviation of 20.
+LOOSE = 592
+#: The same as APART, APART_SMALL for the longer fingerprint.
 FINE, FINE_APART, FINE_APART_SMALL = 4096, 724, 881
 #: Least shingles of a set by hash, and how many of them another set's must have too.  Of the least of the union of
 #: two sets each is in both with a probability of 0.8 or more: fewer than these are with one of 3e-8.
@@ -213,10 +217,15 @@ def neighbours(rooted: DataFrame) -> DataFrame:
     return save(dealt.mapInArrow(_neighbours, "a long, b long"), "neighbours")
 
 
+def apart() -> Column:
+    """The complete distance of two fingerprints."""
+    each = [F.bit_count(F.get("words", F.lit(i)).bitwiseXOR(F.get("hwords", F.lit(i)))) for i in range(SEGMENTS // 2)]
+    return sum(each[1:], each[0])
+
+
 def near() -> Column:
     """Whether the complete distance of two fingerprints is that of similar sets."""
-    apart = [F.bit_count(F.get("words", F.lit(i)).bitwiseXOR(F.get("hwords", F.lit(i)))) for i in range(SEGMENTS // 2)]
-    return sum(apart[1:], apart[0]) <= F.when(F.least("n", "hn") < SMALL, APART_SMALL).otherwise(APART)
+    return apart() <= F.when(F.least("n", "hn") < SMALL, APART_SMALL).otherwise(APART)
 
 
 def links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -230,24 +239,26 @@ def links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
         # sets are not shuffled if few are asked for, nor are their fingerprints
         fine = small(save(sets.join(small(asked, 16), "id", "left_semi").select("id", F.expr("length(set) div 8").alias("n"), _longer("set").alias("fine")), "fine"), FINE // 8 + 16)
         x, y = (fine.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"fine{c}")) for c in "ab")
-        apart = F.aggregate(F.zip_with("finea", "fineb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        return pairs.join(x, "a").join(y, "b").where(apart <= F.when(F.least("na", "nb") < SMALL, FINE_APART_SMALL).otherwise(FINE_APART)).select("a", "b")
+        differ = F.aggregate(F.zip_with("finea", "fineb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        return pairs.join(x, "a").join(y, "b").where(differ <= F.when(F.least("na", "nb") < SMALL, FINE_APART_SMALL).otherwise(FINE_APART)).select("a", "b")
 
     found = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     keys = segments(nodes).select("key", "id")
-    members = buckets.sharing(keys, small(nodes, 256))
-    if not members.isEmpty():
-        found = buckets.links(members, ["words"], near(), sets, found, sift=sift)
-    roots = save(buckets.rooted(nodes, found), "roots")
+    left, found = buckets.contracted(buckets.sharing(keys, small(nodes, 256)), ["words"], near(), sets, found)
+    loose = save(buckets.with_hubs(left, ["words"], 0).where(apart() <= LOOSE).select(F.col("id").alias("a"), F.col("hid").alias("b")), "loose")
+    roots = save(buckets.rooted(nodes, found.unionByName(loose)), "roots")
     pairs = save(neighbours(segments(roots).select("key", "root")).withColumn("pair", F.monotonically_increasing_id()), "pairs")
-    if pairs.isEmpty():
-        return found
     each = save(pairs.select("pair", F.explode(F.array("a", "b")).alias("key")), "each")
-    met = save(keys.join(small(each, 24), "key").select(F.col("pair").alias("key"), "id"), "met")
-    discard_saved(pairs, each)
-    release(pairs.sparkSession)
-    members = save(met.join(small(nodes, 256), "id"), "members")
-    found = buckets.links(members, ["words"], near(), sets, found, sift=sift)
+    # texts of a family, of one value and of two neighbouring values, where those are of several families
+    family = roots.select("id", F.col("root").alias("family"))
+    of_value = left.select("key", "id").join(small(family, 16), "id")
+    mixed = of_value.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low <> high").select("key")
+    kinds = [family.select("family", "id"), of_value.join(mixed, "key", "left_semi").select("key", "id"), keys.join(small(each, 24), "key").select("pair", "id")]
+    met = [rows.select(F.xxhash64(F.lit(kind), rows.columns[0]).alias("key"), "id") for kind, rows in enumerate(kinds)]
+    met = save(met[0].unionByName(met[1]).unionByName(met[2]), "met")
+    discard_saved(pairs, each, loose, left)
+    release(met.sparkSession)
+    found = buckets.links(buckets.sharing(met, small(nodes, 256)), ["words"], near(), sets, found, sift=sift)
     discard_saved(met, roots)
     return found
 
