@@ -194,3 +194,39 @@ def test_a_family_of_texts_that_are_not_similar_enough_is_one_bucket(spark, monk
     got = Counter(r["doc_id"] for r in similar.drop_similar(docs).collect())
     assert 100 < len(set(label)) and got == Counter({k: i for i, k in reversed(list(enumerate(label)))}.values())
     assert rows and rows[0] < 20 * len(texts)
+
+
+def test_rows_grow_with_the_texts_of_a_group_not_with_its_pairs(spark, monkeypatch):
+    """Nearly all pairs of these texts are close by fingerprint and few are similar: no table has a row for each."""
+    rng, base, texts = random.Random(11), [f"w{i}" for i in range(200)], []
+    for i in range(300):
+        words = list(base)
+        for k in range(3):
+            words[65 * k + rng.randint(5, 60)] = f"x{i}-{k}"
+        texts.append(" ".join(words))
+    rows, kept = {}, similar.save
+    for module in (similar, buckets):
+        monkeypatch.setattr(module, "save", lambda df, name, *a: (out := kept(df, name, *a), rows.update({name: max(out.count(), rows.get(name, 0))}))[0])
+    least = {k: i for i, k in reversed(list(enumerate(_components(texts))))}
+    got = similar.drop_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter(least.values())
+    assert max(rows.values()) <= similar.SEGMENTS * len(texts), rows
+
+
+def test_nothing_is_lost_where_no_families_are_merged(spark, monkeypatch):
+    """Stars of neighbouring values alone, of several families each, give the links of the pairs."""
+    monkeypatch.setattr(similar, "LOOSE", -1)
+    monkeypatch.setattr(similar, "MANY", 0)
+    texts = _texts(9, 250)
+    least = {k: i for i, k in reversed(list(enumerate(_components(texts))))}
+    got = similar.drop_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter(least.values())
+
+
+def test_a_place_full_of_neighbours_gives_stars():
+    values = np.unique(np.array([sum(1 << b for b in c) for i in range(21) for c in ((i,), (i, (i + 1) % 21))] + [0], np.int64)) << 11
+    place, key = np.zeros(len(values), np.int64), np.sort(values)
+    for root in (np.arange(len(values)), np.full(len(values), similar.MIXED)):
+        pairs = [p for a, b in similar._pairs_of(place, key, root) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sorted(pairs) == [(0, int(k)) for k in key[1:]]
+    assert all(not len(a) for a, _ in similar._pairs_of(place, key, np.full(len(values), 5)))

@@ -133,13 +133,12 @@ def contracted(members: DataFrame, words: list[str], close: Column, sets: DataFr
     return members, found
 
 
-def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame, found: DataFrame, refine: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None, sift: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame, found: DataFrame, refine: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None) -> DataFrame:
     """``found`` (a, b) with the links of saved ``members`` (key, id, n, words), which are deleted.
 
     ``close``: the condition by sketch on a row and another one, whose columns have an ``h`` before their
     names.  ``refine`` gives (id, keys, extra columns) for ids compared pair by pair, and a condition on
-    them and on those of the other side.  ``sift`` gives those of their distinct pairs (a, b) that are worth
-    a check on whole sets."""
+    them and on those of the other side."""
     members, found = contracted(members, words, close, sets, found)
     if members.isEmpty():
         return found
@@ -154,5 +153,4 @@ def links(members: DataFrame, words: list[str], close: Column, sets: DataFrame,
     right = _other(members, words, *[F.col(c).alias(f"h{c}") for c in more], _parts())
     once = F.col("key") == F.array_min(F.array_intersect("keys", "hkeys"))
     pairs = members.join(right, ["key", "part"]).where((F.col("root") < F.col("hroot")) & sized("n", "hn") & close & condition & once)
-    pairs = _met(pairs)
-    return found.unionByName(checked(sift(pairs) if sift else pairs, sets))
+    return found.unionByName(checked(_met(pairs), sets))

@@ -14,11 +14,14 @@ others of it, and what is linked is contracted.  Those whose complete fingerprin
 are a family, with all that hang together so.  Then the balls around the segments: a segment is cut into three
 pieces, one of which must be the same for two bits to differ at most, so all segments with one piece meet in a
 task, which finds the neighbours among its distinct values (2^22 at most).  Values all of whose texts are in one
-family already are not paired: a family is compared once, as one bucket, since in a large one nearly all pairs of
-texts have neighbouring segments.  Texts of several families with one value or neighbouring values are compared too.
-
-Compared means: the complete distance of the fingerprints within the join, that of longer ones for the pairs
-that come out where texts of several groups are left in a bucket, and then the whole sets (see :mod:`vicinity.llm.buckets`).
+family already are not paired, and where nearly all others are neighbours they are linked as stars.  Families with
+neighbouring values whose texts are nearer than unrelated ones are merged; one is compared once, as one bucket, since
+in a large one nearly all pairs of texts have neighbouring segments.  What is left are values whose texts are of several
+families, and stars of neighbouring values of several: they are buckets too, with each text of theirs once.
+
+Compared means: with hubs, the complete distance of the fingerprints within the join and then the whole sets (see
+:mod:`vicinity.llm.buckets`); where texts of several groups are left in a bucket, block by block within a task, the
+fingerprints, longer ones, and the whole sets.  A block gives the links that join its groups, not its pairs.
 Equal sets are one node, named by 128 bits.
 
 Nulls are empty texts; all empty texts are one group; a text of fewer than five words is one shingle.
@@ -41,6 +44,7 @@ from xxhash import xxh64_intdigest
 
 from vicinity.llm import buckets, common
 from vicinity.llm.common import bounded_batches, discard_saved, fresh, release, save, small
+from vicinity.llm.components import forest
 
 WORDS = 5
 SEGMENTS, RADIUS = 48, 2
@@ -62,6 +66,10 @@ DIRECT = 1024
 FEW, TAKEN = 48, 1 << 16
 #: The root of a segment whose texts have several.
 MIXED = -1
+#: Pairs a value of a place on average, beyond which its values are linked as stars.
+MANY = 4
+#: Texts of a bucket on either side of a block, in parts of ``buckets.PART``, and the shingles of their sets.
+BLOCK_PARTS, BLOCK_SHINGLES = 4, 1 << 22
 
 _rng = np.random.default_rng(42)
 _FLIPS = _rng.integers(0, 2**64, max(SEGMENTS // 2, FINE // 64), np.uint64)
@@ -106,19 +114,19 @@ def _printed(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"set": [s.tobytes() for s in sets], "words": [fingerprint(s) for s in sets]})
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _longer(sets: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(np.frombuffer(x, np.uint64), FINE) for x in sets], dtype=object)
-
-
-def close_values(values: np.ndarray, free: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def close_values(values: np.ndarray, free: list[int], root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j), i < j, of the distinct ``values`` that differ in at most ``RADIUS`` bits, if all agree
-    in the bits that are not ``free``.  Many values are parted by each third of the free bits in turn, one of
-    which must be the same."""
+    in the bits that are not ``free``; with ``root``, those that are not all of one root.  Many values are parted
+    by each third of the free bits in turn, one of which must be the same."""
+    if root is not None and root[0] != MIXED and (root == root[0]).all():
+        return (np.empty(0, np.int64),) * 2
     if len(values) <= DIRECT or len(free) < 3:
         found = []
         for at in range(0, len(values), 256):
-            i, j = np.nonzero(np.bitwise_count(values[at : at + 256, None] ^ values[None, at:]) <= RADIUS)
+            close = np.bitwise_count(values[at : at + 256, None] ^ values[None, at:]) <= RADIUS
+            if root is not None:
+                close &= (root[at : at + 256, None] != root[None, at:]) | (root[at : at + 256, None] == MIXED)
+            i, j = np.nonzero(close)
             found.append((i[i < j] + at, j[i < j] + at))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
     masks = [np.bitwise_or.reduce(np.array([1 << b for b in free[k::3]], values.dtype)) for k in range(3)]
@@ -128,7 +136,7 @@ def close_values(values: np.ndarray, free: list[int]) -> tuple[np.ndarray, np.nd
         cuts = np.flatnonzero(np.diff(values[order] & mask)) + 1
         for group in np.split(order, cuts):
             if len(group) > 1:
-                i, j = (group[x] for x in close_values(values[group], [b for b in free if not int(mask) >> b & 1]))
+                i, j = (group[x] for x in close_values(values[group], [b for b in free if not int(mask) >> b & 1], None if root is None else root[group]))
                 first = np.ones(len(i), bool)  # not found by an earlier third
                 for earlier in masks[:k]:
                     first &= ((values[i] ^ values[j]) & earlier) != 0
@@ -139,7 +147,8 @@ def close_values(values: np.ndarray, free: list[int]) -> tuple[np.ndarray, np.nd
 
 def _pairs_of(place: np.ndarray, key: np.ndarray, root: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of keys of whole groups of one place: those of a pair differ in one or two bits, do not have all
-    their texts in one root, and agree in no earlier piece, which gives them as well."""
+    their texts in one root, and agree in no earlier piece, which gives them as well.  Where a group has over ``MANY``
+    of them a value, pairs of each value and the least that hangs together with it stand for them."""
     found, values, piece = [], (key & 0xFFFFFFFF).astype(np.uint32), (place >> 11) % 3
     masks = np.array([(1 << PIECES[k + 1]) - (1 << PIECES[k]) for k in range(3)], np.uint32)
 
@@ -147,7 +156,7 @@ def _pairs_of(place: np.ndarray, key: np.ndarray, root: np.ndarray) -> list[tupl
         wanted = (root[i] != root[j]) | (root[i] == MIXED)
         for earlier in range(2):
             wanted &= (piece[i] <= earlier) | (((values[i] ^ values[j]) & masks[earlier]) != 0)
-        found.append((key[i[wanted]], key[j[wanted]]))
+        found.append((i[wanted], j[wanted]))
 
     starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
     sizes = np.diff([*starts, len(place)])
@@ -161,8 +170,14 @@ def _pairs_of(place: np.ndarray, key: np.ndarray, root: np.ndarray) -> list[tupl
         keep(i[same], j[same])
     for start, size in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
         free = [b for b in range(32) if not PIECES[piece[start]] <= b < PIECES[piece[start] + 1]]
-        keep(*(x + start for x in close_values(values[start : start + size], free)))
-    return found
+        keep(*(x + start for x in close_values(values[start : start + size], free, root[start : start + size])))
+    if not found:
+        return []
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    dense = (np.bincount(group[i], minlength=len(sizes)) > MANY * sizes)[group[i]]
+    node, least = forest(i[dense], j[dense])
+    return [(key[i[~dense]], key[j[~dense]]), (key[least], key[node])]
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,38 +243,87 @@ def near() -> Column:
     return apart() <= F.when(F.least("n", "hn") < SMALL, APART_SMALL).otherwise(APART)
 
 
+def merged(pairs: DataFrame, touched: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): roots of families to be merged, since texts of theirs with neighbouring values are nearer than unrelated
+    ones; saved.  ``pairs`` (a, b) of values, ``touched`` (key, id, root): their texts.  Two texts of each two families
+    are compared, however many values they share."""
+    text = F.struct("root", "id")
+    ends = touched.groupBy("key").agg(F.min(text).alias("first"), F.max(text).alias("last"))
+    x, y = (ends.select(F.col("key").alias(c), F.array("first", "last").alias(f"of_{c}")) for c in "ab")
+    met = pairs.join(x, "a").join(y, "b").select(F.explode(F.arrays_zip("of_a", "of_b")).alias("m")).select(F.least("m.of_a", "m.of_b").alias("x"), F.greatest("m.of_a", "m.of_b").alias("y")).where("x.root <> y.root")
+    asked = met.groupBy(F.col("x.root").alias("a"), F.col("y.root").alias("b")).agg(F.min(F.struct("x.id", F.col("y.id").alias("hid"))).alias("low"), F.max(F.struct("x.id", F.col("y.id").alias("hid"))).alias("high"))
+    asked = asked.select("a", "b", F.explode(F.array_distinct(F.array("low", "high"))).alias("m")).select("a", "b", "m.*")
+    return save(asked.join(nodes.select("id", "words"), "id").join(nodes.select(F.col("id").alias("hid"), F.col("words").alias("hwords")), "hid").where(apart() <= LOOSE).select("a", "b"), "merged")
+
+
+def _linked(block: pd.DataFrame) -> pd.DataFrame:
+    """Links that join the groups of a block: its texts of one part with those of another one, or among themselves."""
+    if block["root"].nunique() < 2:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    block = block.sort_values(["part", "id"], ignore_index=True)
+    ids, n, label = (block[c].to_numpy() for c in ("id", "n", "root"))
+    label, words, sets = label.copy(), np.stack(block["words"].to_numpy()).view(np.uint64), [np.frombuffer(x, np.uint64) for x in block["set"]]
+    most, fine_most = np.where(n < SMALL, APART_SMALL, APART), np.where(n < SMALL, FINE_APART_SMALL, FINE_APART)
+    two = block["p"].iloc[0] != block["q"].iloc[0]
+    cut = int((block["part"] == block["p"]).sum()) if two else 0  # the other part starts there
+    fine: dict[int, np.ndarray] = {}
+    found = []
+
+    def longer(i: int) -> np.ndarray:
+        if i not in fine:
+            fine[i] = fingerprint(sets[i], FINE).view(np.uint64)
+        return fine[i]
+
+    for i in range(cut if two else len(ids)):
+        j = np.arange(max(cut, i + 1), len(ids))
+        j = j[(label[j] != label[i]) & (5 * n[j] >= 4 * n[i]) & (5 * n[i] >= 4 * n[j])]
+        j = j[np.bitwise_count(words[j] ^ words[i]).sum(axis=1) <= np.maximum(most[i], most[j])]
+        for k in j.tolist():
+            if label[k] != label[i] and np.bitwise_count(longer(i) ^ longer(k)).sum() <= max(fine_most[i], fine_most[k]) and buckets.alike(sets[i], sets[k]):
+                found.append((ids[i], ids[k]))
+                label[label == label[k]] = label[i]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that join the groups of the buckets of saved ``members`` (key, id, n, words, root), saved.  Texts
+    of a bucket are dealt to parts, and each part meets itself and each other one in a block."""
+    ways = F.greatest(F.ceil(F.count("*") / (BLOCK_PARTS * buckets.PART)), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = save(members.groupBy("key").agg(ways.alias("ways")), "sizes")
+    dealt = members.select("key", "id", "n", "root", "words").join(small(sizes, 24), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("ways")).cast("int"))
+    dealt = dealt.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "n", "root", "words", "set")
+    return save(dealt.groupBy("key", "p", "q").applyInPandas(_linked, "a long, b long"), "linked")
+
+
 def links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between saved ``nodes`` (id, n, words) found by their segments and checked on their saved
     ``sets`` (id, set)."""
-
-    def sift(pairs: DataFrame) -> DataFrame:
-        pairs = save(pairs, "near")
-        release(pairs.sparkSession)
-        asked = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
-        # sets are not shuffled if few are asked for, nor are their fingerprints
-        fine = small(save(sets.join(small(asked, 16), "id", "left_semi").select("id", F.expr("length(set) div 8").alias("n"), _longer("set").alias("fine")), "fine"), FINE // 8 + 16)
-        x, y = (fine.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"fine{c}")) for c in "ab")
-        differ = F.aggregate(F.zip_with("finea", "fineb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        return pairs.join(x, "a").join(y, "b").where(differ <= F.when(F.least("na", "nb") < SMALL, FINE_APART_SMALL).otherwise(FINE_APART)).select("a", "b")
-
     found = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-    keys = segments(nodes).select("key", "id")
-    left, found = buckets.contracted(buckets.sharing(keys, small(nodes, 256)), ["words"], near(), sets, found)
+    left, found = buckets.contracted(buckets.sharing(segments(nodes).select("key", "id"), small(nodes, 256)), ["words"], near(), sets, found)
     loose = save(buckets.with_hubs(left, ["words"], 0).where(apart() <= LOOSE).select(F.col("id").alias("a"), F.col("hid").alias("b")), "loose")
     roots = save(buckets.rooted(nodes, found.unionByName(loose)), "roots")
-    pairs = save(neighbours(segments(roots).select("key", "root")).withColumn("pair", F.monotonically_increasing_id()), "pairs")
-    each = save(pairs.select("pair", F.explode(F.array("a", "b")).alias("key")), "each")
-    # texts of a family, of one value and of two neighbouring values, where those are of several families
-    family = roots.select("id", F.col("root").alias("family"))
-    of_value = left.select("key", "id").join(small(family, 16), "id")
-    mixed = of_value.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low <> high").select("key")
-    kinds = [family.select("family", "id"), of_value.join(mixed, "key", "left_semi").select("key", "id"), keys.join(small(each, 24), "key").select("pair", "id")]
+    pairs = neighbours(segments(roots).select("key", "root"))
+    # each pair of values goes to the star of its first one
+    stars = save(pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct()), "pair-stars")
+    values = save(stars.select(F.col("b").alias("key")).unionByName(left.select("key")).distinct(), "values")
+    touched = save(segments(roots).select("key", "id", "root").join(small(values, 16), "key", "left_semi"), "touched")
+    more = merged(pairs, touched, nodes)
+    families = save(buckets.rooted(roots.select("id", F.col("root").alias("own")), found.unionByName(loose).unionByName(more)), "families")
+    top = save(families.select(F.col("own").alias("root"), F.col("root").alias("top")).distinct(), "tops")
+    # values and stars whose texts are of several families
+    spans = save(touched.select("key", "root").distinct().join(small(top, 16), "root").groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high")), "spans")
+    mixed = spans.where("low <> high").select("key")
+    open_stars = stars.join(spans.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("a")
+    asked = save(stars.join(open_stars, "a", "left_semi").select("a", F.col("b").alias("key")), "open-stars")
+    kinds = [families.select("root", "id"), touched.join(mixed, "key", "left_semi").select("key", "id"), touched.join(small(asked, 16), "key").select("a", "id")]
     met = [rows.select(F.xxhash64(F.lit(kind), rows.columns[0]).alias("key"), "id") for kind, rows in enumerate(kinds)]
-    met = save(met[0].unionByName(met[1]).unionByName(met[2]), "met")
-    discard_saved(pairs, each, loose, left)
+    met = save(met[0].unionByName(met[1]).unionByName(met[2]).distinct(), "met")
+    discard_saved(pairs, stars, values, touched, more, families, top, spans, asked, loose, left, roots)
     release(met.sparkSession)
-    found = buckets.links(buckets.sharing(met, small(nodes, 256)), ["words"], near(), sets, found, sift=sift)
-    discard_saved(met, roots)
+    members, found = buckets.contracted(buckets.sharing(met, small(nodes, 256)), ["words"], near(), sets, found)
+    found = found.unionByName(compared(members, sets))
+    discard_saved(met, members)
     return found
 
 
