@@ -5,6 +5,7 @@ from oracle import rows
 from pyspark.sql import functions as F
 
 from vicinity import catalog
+from vicinity.functions import streets
 from vicinity.operators import enrich, routing
 from vicinity.plans import more, stores
 
@@ -44,3 +45,11 @@ def test_sources_without_events_are_counted_too(spark, tmp_path):
     got = stores.outcome_counts_by_source(spark, str(tmp_path)).collect()
     assert {r["source_name"]: r["total"] for r in got} == {f"user {i}": 10 if i > 197 else 0 for i in range(201)}
     assert rows(list(got[0].asDict()), [tuple(r) for r in got]) == rows(columns, found)
+
+
+def test_a_street_counts_after_sixty_others(spark):
+    mentions = spark.range(90).select(F.lit("a").alias("id"), F.concat(F.lit("Gasse "), "id").alias("candidate"), F.lit(5).alias("confidence"), F.lit(True).alias("prominent"), F.col("id").alias("pos"))
+    hits = spark.createDataFrame([("Gasse 80", 0, 0.0, 0.01, "Ferne Gasse", None, None, []), ("Gasse 89", 0, 0.0, 0.001, "Letzte Gasse", None, None, [])], "candidate string, pos int, lat double, lon double, display_name string, suburb string, borough string, shape array<array<struct<lat:double,lon:double>>>")
+    texts = spark.createDataFrame([("a", "x", "", None)], "id string, prominent_text string, rest_text string, district string")
+    got = streets.nearest_street(mentions, hits, texts, 0.0, 0.0).collect()
+    assert [(r["id"], r["label"]) for r in got] == [("a", "Letzte Gasse")]

@@ -20,7 +20,6 @@ LEADING_EDGE, TRAILING_EDGE = "(\"'„“‚»«[#", ",.;:!?)\"'“”«»]"
 EVENT_STEMS = "brand feuer unfall verletz polizei sperr einsatz warnung raub diebstahl überfall messer schuss verkehr störung rettung evaku gefähr".split()
 STREET_FIELDS = "road pedestrian footway path square cycleway bridge place".split()
 CITY_FIELDS = "city town village municipality state county".split()
-MAX_CANDIDATES = 60
 LEAST_CONFIDENCE = 3
 VENUE_CONFIDENCE = 7
 SECTIONS = ["title", "description", "lead", "rest"]
@@ -116,9 +115,10 @@ def nearest_street(mentions: DataFrame, hits: DataFrame, texts: DataFrame, ref_l
 
     ``texts``: (item, prominent_text, rest_text, district).  Of a street's hits the first in the item's
     district, or else in a suburb or borough that it names, is meant; parts of the street are the hits
-    of that area, or else within five kilometres.
+    of that area, or else within five kilometres.  All mentions are looked up: the limit of 60 that a
+    service with one request a second asks for has no place where the answers are a table.
     """
-    kept = mentions.withColumn("n", F.row_number().over(W.partitionBy(item).orderBy("pos"))).where(F.col("n") <= MAX_CANDIDATES).where(F.col("confidence") >= LEAST_CONFIDENCE).drop("n")
+    kept = mentions.where(F.col("confidence") >= LEAST_CONFIDENCE)
     area = F.coalesce("suburb", "borough")
     whole = F.concat_ws("\n", F.lit(" "), "prominent_text", "rest_text", F.lit(" "))
     named = lambda c: F.coalesce(text.normalize(F.col(c)) != "", F.lit(False)) & F.coalesce(F.contains(whole, text.normalize(F.col(c))), F.lit(False))
