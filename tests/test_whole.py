@@ -5,7 +5,7 @@ from oracle import rows
 from pyspark.sql import functions as F
 
 from vicinity import catalog
-from vicinity.functions import streets
+from vicinity.functions import streets, terms, text
 from vicinity.operators import enrich, routing
 from vicinity.plans import more, stores
 
@@ -53,3 +53,28 @@ def test_a_street_counts_after_sixty_others(spark):
     texts = spark.createDataFrame([("a", "x", "", None)], "id string, prominent_text string, rest_text string, district string")
     got = streets.nearest_street(mentions, hits, texts, 0.0, 0.0).collect()
     assert [(r["id"], r["label"]) for r in got] == [("a", "Letzte Gasse")]
+
+
+def test_texts_of_a_round_are_gone_through_once(spark, sf_dir):
+    """What they say is saved: the plan behind it neither calls Python nor reads articles."""
+    plan = more.poll_round(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "find(" not in plan and "codes(" not in plan and "article_text" not in plan
+
+
+def test_sections_are_those_of_split_lead(spark):
+    texts = ["", None, "kurz", "ä" * 599 + " ende", "ä" * 600 + "b c", "ä" * 601, "a" * 1200, "a" * 1199 + "ß x", "a" * 1500 + " b", "a" * 1400 + "\u00a0b", "a" * 1300 + " b" + "c d" * 300, "wort " * 400 + "Impressum weg", "Newsletter", "a" * 1190 + "😀" * 5 + " z"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, article_text string")
+    lead, rest = text.split_lead(text.relevant_article_text(F.col("article_text")))
+    want = {r["i"]: (r["l"], r["r"]) for r in rows.select("i", lead.alias("l"), rest.alias("r")).collect()}
+    assert {r["i"]: (r["_lead"], r["_rest"]) for r in streets.with_sections(rows).collect()} == want
+
+
+def test_few_terms_are_those_of_the_index():
+    index = terms.TermIndex(["ort", "--foo", "alte post", "hof", "a-bcd", "(x", "größe"], place=True)
+    for value in ("ort", "orte", "der ort-park", "x--foobar", " --foobar", "alte postille", "a-bcde", "(xy", "(x", "grösse größen", "hof-laden", "", None):
+        assert index.mentioned(value) == index.found(value)
+    assert index.found(" --foobar") == {1}
+
+
+def test_capitals_that_are_not_ascii_name_streets():
+    assert streets.candidates("an der Ölbergstraße, im „Ärztering“ und Über Allee/ÄUSSERER RING 5 bring ring") == ["Ölbergstraße", "Ärztering", "ÄUSSERER RING 5"]

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vicinity.functions import geo, text
+from vicinity.functions.shared import evaluated
 from vicinity.functions.text import STREET_SUFFIXES
 
 # Words, limits and fields that results depend on.
@@ -25,7 +26,9 @@ VENUE_CONFIDENCE = 7
 SECTIONS = ["title", "description", "lead", "rest"]
 
 
-#: A word with a street suffix, in lower case; texts without one are not cut into words.
+#: A word from its first letter on that may be a capital: street names end in a capitalised word.
+_CAPITAL = re.compile("[A-Z\x80-\U0010ffff][^\\s/]*")
+#: A word with a street suffix, in lower case; texts without one among their capitalised words are not cut into words.
 _SUFFIXED = re.compile(f"(?:{'|'.join(map(re.escape, STREET_SUFFIXES))})[{re.escape(TRAILING_EDGE)}]*(?:[\\s/]|\\Z)")
 
 
@@ -40,7 +43,7 @@ def candidates(value: str) -> list[str]:
     suffix any capitalised word that can stand there, up to one with an adjective's ending; before a
     compound, one of the adjectives.  A bare suffix alone names nothing.  A house number follows.
     """
-    if not _SUFFIXED.search(value.lower()):
+    if not _SUFFIXED.search("\n".join(_CAPITAL.findall(value)).lower()):
         return []
     words = [w for w in map(_trimmed, value.replace("/", " ").split()) if w]
     lows = [w.lower() for w in words]
@@ -84,15 +87,44 @@ def confidence(section: Column, value: Column) -> Column:
     return base + F.when(text.contains_any_normalized(value, EVENT_STEMS), 2).otherwise(0)
 
 
+def _mention(at: int):
+    return lambda c, n: F.struct(F.lit(at).alias("at"), n.alias("n"), c.alias("candidate"), F.col(f"_c{at}").alias("confidence"))
+
+
+def with_named_streets(rows: DataFrame) -> DataFrame:
+    """Rows with ``named``: an array of (at, n, candidate, confidence) of all streets in title, description,
+    _lead and _rest, in order.  Texts stay in their row; whether they tell of an event is asked once for a
+    section, and only where a street is named."""
+    sections = [F.col("title"), F.coalesce("description", F.lit("")), F.col("_lead"), F.col("_rest")]
+    found = rows.withColumns({f"_s{i}": street_candidates(c) for i, c in enumerate(sections)})
+    sure = evaluated(found, **{f"_c{i}": F.when(F.size(f"_s{i}") > 0, confidence(F.lit(s), c)) for i, (s, c) in enumerate(zip(SECTIONS, sections, strict=True))})
+    each = [F.transform(f"_s{i}", _mention(i)) for i in range(len(sections))]
+    return sure.withColumn("named", F.flatten(F.array(*each))).drop(*[f"_{k}{i}" for k in "sc" for i in range(len(sections))])
+
+
+def first_mentions(rows: DataFrame, item: str = "id") -> DataFrame:
+    """(item, candidate, confidence, prominent, pos) from ``named`` of :func:`with_named_streets`: the first
+    mention of each name counts."""
+    each = rows.select(item, F.inline("named"))
+    first = each.withColumn("k", F.row_number().over(W.partitionBy(item, F.lower("candidate")).orderBy("at", "n"))).where("k = 1")
+    return first.select(item, "candidate", "confidence", (F.col("at") < SECTIONS.index("rest")).alias("prominent"), (F.col("at") * 1000 + F.col("n")).alias("pos"))
+
+
+def with_sections(items: DataFrame) -> DataFrame:
+    """Items with ``_lead`` and ``_rest`` of their article_text, each worked out once a row."""
+    low = evaluated(items, _low=F.lower(F.coalesce("article_text", F.lit(""))))
+    body = evaluated(low, _body=text.relevant_article_text(F.col("article_text"), F.col("_low"))).drop("_low")
+    front = evaluated(body, _front=text.lead_front(F.col("_body")))
+    end = evaluated(front, _end=text.lead_end(F.col("_body"), F.col("_front")))
+    lead, rest = text.split_at(F.col("_body"), F.col("_end"))
+    return evaluated(end, _lead=lead, _rest=rest).drop("_body", "_front", "_end")
+
+
 def street_evidence(items: DataFrame, item: str = "id") -> DataFrame:
     """(item, candidate, confidence, prominent, pos) from the columns title, description and article_text:
     the first mention of each name counts."""
-    lead, rest = text.split_lead(text.relevant_article_text(F.col("article_text")))
-    parts = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(s).alias("section"), c.alias("value")) for i, (s, c) in enumerate(zip(SECTIONS, (F.col("title"), F.coalesce("description", F.lit("")), lead, rest), strict=True))])
-    rows = items.select(F.col(item), F.explode(parts).alias("p")).select(item, "p.*")
-    named = rows.select(item, "at", "section", confidence(F.col("section"), F.col("value")).alias("confidence"), F.posexplode(street_candidates("value")).alias("n", "candidate"))
-    first = named.withColumn("k", F.row_number().over(W.partitionBy(item, F.lower("candidate")).orderBy("at", "n"))).where("k = 1")
-    return first.select(item, "candidate", "confidence", (F.col("section") != "rest").alias("prominent"), (F.col("at") * 1000 + F.col("n")).alias("pos"))
+    rows = with_sections(items.select(item, "title", "description", "article_text"))
+    return first_mentions(with_named_streets(rows), item)
 
 
 def validated_hits(answers: DataFrame, city: str | None) -> DataFrame:
@@ -122,11 +154,14 @@ def nearest_street(mentions: DataFrame, hits: DataFrame, texts: DataFrame, ref_l
     area = F.coalesce("suburb", "borough")
     whole = F.concat_ws("\n", F.lit(" "), "prominent_text", "rest_text", F.lit(" "))
     named = lambda c: F.coalesce(text.normalize(F.col(c)) != "", F.lit(False)) & F.coalesce(F.contains(whole, text.normalize(F.col(c))), F.lit(False))
-    found = kept.drop("pos").join(texts, item).join(hits.withColumnRenamed("pos", "hit_pos"), "candidate")
     in_district = F.coalesce(text.normalize(F.col("borough")) == text.normalize(F.col("district")), F.lit(False)) | F.coalesce(text.normalize(F.col("suburb")) == text.normalize(F.col("district")), F.lit(False))
     rank = F.when(in_district, 0).when(named("suburb") | named("borough"), 1).otherwise(2)
     one = W.partitionBy(item, "candidate")
-    marked = found.select(item, "candidate", "confidence", "prominent", "hit_pos", "lat", "lon", "display_name", area.alias("area"), "shape", rank.alias("rank"))
+    # texts are only read for hits with a suburb or borough that they might name
+    found = kept.drop("pos").join(hits.withColumnRenamed("pos", "hit_pos"), "candidate")
+    zoned = F.col("suburb").isNotNull() | F.col("borough").isNotNull()
+    given = [item, "candidate", "confidence", "prominent", "hit_pos", "lat", "lon", "display_name", area.alias("area"), "shape"]
+    marked = found.where(zoned).join(texts, item).select(*given, rank.alias("rank")).unionByName(found.where(~zoned).join(texts.select(item), item, "left_semi").select(*given, F.lit(2).alias("rank")))
     picked = marked.withColumn("p", F.first(F.struct("lat", "lon", "area", "rank", "display_name")).over(one.orderBy("rank", "hit_pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     same = F.when(F.col("p.rank") < 2, F.col("area").eqNullSafe(F.col("p.area"))).otherwise(geo.haversine(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon")) <= geo.SAME_STREET_METERS)
     ranged = picked.where(same).withColumn("d", geo.distance_range(F.lit(ref_lat), F.lit(ref_lon), F.col("lat"), F.col("lon"), F.col("shape")))

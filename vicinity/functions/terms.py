@@ -26,6 +26,8 @@ from vicinity.functions.shared import bounded_batches
 START = 5
 #: Bytes of an index that may be broadcast: some 500,000 terms.
 MOST_BYTES = 64 << 20
+#: Terms up to which each is sought in a text: that is faster than taking the text's words, which pays from some 70 terms on.
+FEW = 32
 
 _WORD = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 _ALNUM = regex.compile(r"[\p{Alphabetic}\p{N}]")
@@ -53,8 +55,11 @@ class TermIndex:
             if not literal:
                 continue  # an empty term is never mentioned
             ends = whole or len(literal) < 5 or literal[-1] in "0123456789"
-            word = _WORD.search(literal)  # without one, every text is looked at
-            self.by_start.setdefault(word.group()[:START] if word else "", []).append(Term(number, literal, ends, place and not whole))
+            word = _WORD.search(literal)  # without one, or if a short one may go on in a text, every text is looked at
+            known = word and (ends or word.end() < len(literal) or len(word.group()) >= START)
+            self.by_start.setdefault(word.group()[:START] if known else "", []).append(Term(number, literal, ends, place and not whole))
+        every = [t for kept in self.by_start.values() for t in kept]
+        self.few = every if len(every) <= FEW else None
 
     def found(self, value: str | None) -> set[int]:
         """Numbers of the terms that a normalised text mentions."""
@@ -64,6 +69,12 @@ class TermIndex:
         starts.add("")
         return {t.number for s in starts & self.by_start.keys() for t in self.by_start[s] if _mentioned(value, t)}
 
+    def mentioned(self, value: str | None) -> set[int]:
+        """As :meth:`found`, by the faster way for the number of terms."""
+        if self.few is None:
+            return self.found(value)
+        return {t.number for t in self.few if _mentioned(value, t)} if value else set()
+
 
 def _mentioned(value: str, term: Term) -> bool:
     at = value.find(term.literal)
@@ -115,8 +126,8 @@ def found_in(prominent: Column, rest: Column, terms: list[str], place: bool = Fa
     def codes(up: pd.Series, down: pd.Series) -> pd.Series:
         index, out = read(), []
         for a, b in zip(up, down, strict=True):
-            above = index.found(a)
-            got = sorted([2 * n + 1 for n in above] + [2 * n for n in index.found(b) - above])
+            above = index.mentioned(a)
+            got = sorted([2 * n + 1 for n in above] + [2 * n for n in index.mentioned(b) - above])
             out.append(one_each(got) if owners is not None else got)
         return pd.Series(out, dtype=object)
 

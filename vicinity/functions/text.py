@@ -64,6 +64,28 @@ def normalized_key(c: Column) -> Column:
     return null_if_blank(normalize(c))
 
 
+# As split_lead, in steps that may be evaluated once a row each; letters in which a lead's end is sought first.
+NEAR = 256
+
+
+def lead_front(c: Column, limit: int = LEAD_BYTES) -> Column:
+    """Letters in the first ``limit`` bytes; null if the text has no more."""
+    front = F.length(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(c, "utf-8"), 1, limit).cast("string")), "�+$", ""))
+    return F.when(F.octet_length(c) > limit, front)
+
+
+def lead_end(c: Column, front: Column) -> Column:
+    """Letters up to the next white space behind the first ``front``; null if that is."""
+    space = lambda tail: F.nullif(F.regexp_instr(tail, F.lit(r"(?U)\s")), F.lit(0))
+    near, tail = F.substr(c, front + 1, F.lit(NEAR)), F.substr(c, front + 1)
+    return F.when(front.isNotNull(), front + F.coalesce(space(near) - 1, space(tail) - 1, F.length(tail)))
+
+
+def split_at(c: Column, end: Column) -> tuple[Column, Column]:
+    """(lead, rest) of a text whose lead has ``end`` letters; all of it is lead if that is null."""
+    return F.when(end.isNull(), c).otherwise(F.substr(c, F.lit(1), end)), F.when(end.isNull(), F.lit("")).otherwise(F.substr(c, end + 1))
+
+
 def split_lead(c: Column, limit: int = LEAD_BYTES) -> tuple[Column, Column]:
     """(lead, rest): the lead goes on from ``limit`` bytes to the next white space."""
     whole = F.octet_length(c) <= limit
@@ -223,10 +245,11 @@ def concise_sentences(c: Column, most: int) -> Column:
     return F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(F.nullif(squeeze(c), F.lit("")))
 
 
-def relevant_article_text(c: Column) -> Column:
-    """The text up to the first of the closing markers as whole words; null is empty."""
+def relevant_article_text(c: Column, low: Column | None = None) -> Column:
+    """The text up to the first of the closing markers as whole words; null is empty.  ``low``: the text in
+    lower case, if it is at hand; else each marker that is sought makes it anew."""
     marks, whole = "|".join(rf"\Q{m}\E" for m in ARTICLE_END_MARKERS), F.coalesce(c, F.lit(""))
-    low = F.lower(whole)
+    low = F.lower(whole) if low is None else low
     return F.when(~contains_any(low, ARTICLE_END_MARKERS), whole).otherwise(F.regexp_replace(whole, rf"(?isU)(?<!{ALNUM})(?:{marks})(?!{ALNUM}).*\z", ""))
 
 
